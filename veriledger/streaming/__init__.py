@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of this library is a batch operator.
+
+Appending new observations or runs is done with plain append writes (see
+``veriledger.sources.sinks``); no operator keeps streaming state.
+"""
