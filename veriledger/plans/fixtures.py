@@ -8,6 +8,7 @@ Defects are injected by arithmetic on the row's own counts, at every scale.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -202,13 +203,20 @@ def _with(names: list[str], tail: str) -> str:
     return (f"WITH {', '.join(ctes)} " if ctes else "") + tail
 
 
+def given(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """Name of the session view over a given table, so its footer is read once per session."""
+    name = f"given_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}_{table}"
+    if not spark.catalog.tableExists(name):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(name)
+    return name
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _with(_needs(name)[:-1], VIEWS[name]) if name in VIEWS else f"SELECT * FROM @{name}"
     sql = re.sub(r"SHA256\(", "sha2_hex(", sql)
     sql = sql.replace("LIST(", "array(").replace("MAPOF(", "map_from_arrays(").replace("EXPLODE(", "explode(")
     sql = re.sub(r"sha2_hex\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", sql)
-    sql = re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql)
-    return spark.sql(sql)
+    return spark.sql(re.sub(r"@(\w+)", lambda m: given(spark, sf_dir, m.group(1)), sql))
 
 
 def oracle(sql: str) -> str:
