@@ -135,6 +135,11 @@ def primary_object(names: Column) -> Column:
     return F.coalesce(F.array_min(tensors), F.array_min(names))
 
 
+def primary_object_of(name: Column) -> Column:
+    """The same choice as an aggregate over rows, combinable map-side."""
+    return F.min_by(name, F.struct((~F.endswith(name, F.lit(".safetensors"))).alias("other"), name.alias("name")))
+
+
 def git_object_id(body: Column) -> Column:
     """Object id of binary commit bytes: sha1 over the typed, length-prefixed object."""
     head = F.concat(F.lit("commit "), F.octet_length(body).cast("string")).cast("binary")

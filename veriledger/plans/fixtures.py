@@ -13,6 +13,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLE = r"@(region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\b"
 AS_OF = "2024-06-01"
 
 VIEWS: dict[str, str] = {}
@@ -183,6 +184,83 @@ FROM fp_sources WHERE subject % 3 < 2 GROUP BY subject"""
 VIEWS["fb_blobs"] = """
 SELECT sha256, MIN(doc_id) AS doc_id, MIN(body) AS body FROM (SELECT SHA256(text) AS sha256, doc_id, text AS body FROM @documents) d GROUP BY sha256"""
 
+# ------------------------------------------------------------ addresses, bodies, objects
+VIEWS["fu_urls"] = """
+SELECT page_id, url AS page_url, sha,
+  CASE page_id % 10
+    WHEN 0 THEN CONCAT('https://huggingface.co/api/models/org', CAST(page_id % 3 AS STRING), '/m', CAST(page_id % 7 AS STRING), '/revision/', SUBSTRING(sha, 1, 40))
+    WHEN 1 THEN CONCAT('https://huggingface.co/api/datasets/org/ds', CAST(page_id % 4 AS STRING), '/tree/', SUBSTRING(sha, 1, 40), CASE WHEN page_id % 4 = 1 THEN '/data/part' ELSE '' END)
+    WHEN 2 THEN CONCAT('https://huggingface.co/org/m/resolve/', SUBSTRING(sha, 1, 40), '/model-', CAST(page_id AS STRING), '.safetensors')
+    WHEN 3 THEN CONCAT('https://raw.githubusercontent.com/org/repo', CAST(page_id % 3 AS STRING), '/main/README.md')
+    WHEN 4 THEN CONCAT('https://api.github.com/repos/org/repo', CAST(page_id % 3 AS STRING), '/git/trees/', SUBSTRING(sha, 1, 40), '?recursive=1')
+    WHEN 5 THEN CONCAT('https://arxiv.org/abs/2401.', LPAD(CAST(page_id AS STRING), 5, '0'))
+    WHEN 6 THEN CONCAT('https://huggingface.co/datasets/org/ds', CAST(page_id % 4 AS STRING), '/blob/latest/x')
+    WHEN 7 THEN CONCAT('https://export.arxiv.org/api/query?search_query=abs%3A%22Model%20', CAST(page_id % 5 AS STRING), '%22%20AND%20abs%3A%22',
+                       CASE WHEN page_id % 3 = 0 THEN 'from%20scratch' ELSE 'reproduce' END, '%22%20AND%20%28cat%3Acs.CL%29&start=0&max_results=100')
+    WHEN 8 THEN CONCAT(url, '/HEAD/file') ELSE url END AS url
+FROM fx_pages"""
+VIEWS["fu_bodies"] = """
+SELECT page_id, sha,
+  CASE WHEN page_id % 11 = 0 THEN CONCAT('  version https://git-lfs.github.com/spec/v1', chr(10), 'oid sha256:', sha, chr(10), 'size ', CAST(LENGTH(html) AS STRING), chr(10))
+       WHEN page_id % 13 = 0 THEN CONCAT('tiny ', CAST(page_id AS STRING))
+       WHEN page_id % 7 = 0 THEN CONCAT('Checking your BROWSER ', html)
+       WHEN page_id % 5 = 0 THEN CONCAT(SUBSTRING(html, 1, 900), ' Please LOG IN to continue')
+       WHEN page_id % 9 = 0 THEN CONCAT(html, ' API rate limit exceeded')
+       WHEN page_id % 3 = 0 THEN CONCAT('rate limit reached ', html) ELSE html END AS body,
+  CASE WHEN page_id % 17 = 0 THEN '404' WHEN page_id % 6 = 0 THEN '403' WHEN page_id % 19 = 0 THEN '429' WHEN page_id % 23 = 0 THEN '503' ELSE '200' END AS status
+FROM fx_pages"""
+VIEWS["fu_dates"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '1997-02-30' WHEN o_orderkey % 11 = 0 THEN '97-1-1' WHEN o_orderkey % 13 = 0 THEN ''
+       ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS text FROM @orders"""
+VIEWS["fu_heads"] = """
+SELECT doc_id, CASE WHEN doc_id % 6 < 3 THEN 'model.safetensors' ELSE 'model.bin' END AS name,
+  CASE doc_id % 6 WHEN 0 THEN unhex('2000000000000000') || TOBIN('{"') || TOBIN(text)
+                  WHEN 1 THEN unhex('FFFFFFFFFFFFFFFF') || TOBIN('{"') || TOBIN(text)
+                  WHEN 2 THEN CASE WHEN doc_id % 4 = 0 THEN unhex('2000') ELSE TOBIN(text) END
+                  WHEN 3 THEN unhex('504B0304') || TOBIN(text)
+                  WHEN 4 THEN TOBIN(CONCAT('version https://git-lfs.github.com/spec/v1', chr(10), text))
+                  ELSE TOBIN(text) END AS body
+FROM @documents"""
+VIEWS["fu_commits"] = """
+SELECT doc_id, CONCAT('tree ', SUBSTRING(SHA256(text), 1, 40), chr(10), 'author A <a@example.org> 1700000000 +0000', chr(10),
+       'committer Committer <user', CAST(doc_id % 9 AS STRING), '@example.org> 1700000000 +0000', chr(10),
+       CASE WHEN doc_id % 3 = 0 THEN CONCAT('gpgsig -----BEGIN PGP SIGNATURE-----', chr(10), ' abc', chr(10)) ELSE '' END, chr(10),
+       'Update ', CAST(doc_id % 5 AS STRING), chr(10), chr(10), text) AS body
+FROM @documents"""
+VIEWS["fs_feeds"] = """
+SELECT doc_id, CONCAT('<feed><opensearch:totalResults xmlns="u">', CAST(n_chars AS STRING), '</opensearch:totalResults><entry>',
+       CASE WHEN doc_id % 4 = 0 THEN '' ELSE CONCAT('<id> http://arxiv.org/abs/24', CAST(doc_id AS STRING), '.1v1 </id>') END,
+       '<title>Paper ', chr(10), '  ', CAST(doc_id AS STRING), '</title><summary>', text, '</summary><arxiv:primary_category x="y" term="cs.', UPPER(lang), '"/></entry><entry><id>http://arxiv.org/abs/25',
+       CAST(doc_id AS STRING), '.2</id><title>Second</title><arxiv:primary_category term="stat.', source, '"/></entry></feed>') AS body
+FROM @documents"""
+VIEWS["fs_lists"] = """
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'yaml_dash_list' WHEN 1 THEN 'hf_tree_json' ELSE 'unknown' END AS kind,
+       CASE WHEN page_id % 6 = 4 THEN '' ELSE 'https://host/base/' END AS base,
+       CASE page_id % 3 WHEN 0 THEN CONCAT('paths:', chr(10), '    - ', url, chr(10), '  - no', chr(10), '    - second/', CAST(page_id AS STRING), chr(10))
+         ELSE CONCAT('[{"type": "file", "path": "a/', CAST(page_id AS STRING), '"}, {"type": "directory", "path": "d"}, {"type": "file", "path": "b"}]') END AS body
+FROM fx_pages"""
+VIEWS["fs_revisions"] = """
+SELECT p_partkey, CONCAT('org/m', CAST(p_partkey AS STRING)) AS repo, SUBSTRING(SHA256(p_name), 1, 40) AS revision,
+       CASE WHEN p_partkey % 17 = 0 THEN '<html>busy</html>' ELSE
+       CONCAT('{"sha": "', CASE WHEN p_partkey % 5 = 0 THEN 'f00' ELSE SUBSTRING(SHA256(p_name), 1, 40) END, '", "id": "org/m',
+              CAST(CASE WHEN p_partkey % 7 = 0 THEN p_partkey + 1 ELSE p_partkey END AS STRING),
+              '", "siblings": [{"rfilename": "model-', CAST(p_size AS STRING), '.safetensors"}, {"rfilename": "model.safetensors.index.json"}, {"rfilename": "index-a.bin"}, {"rfilename": "sub/x.bin"}, {"rfilename": "a.bin"}]}') END AS body
+FROM @part"""
+VIEWS["fs_facts"] = """
+SELECT page_id, CONCAT('{"facts": {"fact-', CAST(page_id AS STRING), '": {"value": ', CAST(LENGTH(html) AS STRING),
+       ', "unit": "chars", "method": {"name": "byte_length"}, "evidence": {"url": "', url, '", "sha256": "', sha, '"}}}}') AS body FROM fx_pages"""
+VIEWS["fs_cites"] = """
+SELECT o.o_orderkey AS cell, CASE WHEN o.o_orderkey % 9 = 0 THEN SHA256(CONCAT(d.text, 'x')) ELSE SHA256(d.text) END AS sha256
+FROM @orders o JOIN @documents d ON d.doc_id = o.o_custkey"""
+VIEWS["fs_observed"] = """
+SELECT url, CASE WHEN page_id % 7 = 0 THEN SHA256(url) ELSE sha END AS observed_sha256,
+       LENGTH(html) * (CASE WHEN page_id % 10 = 0 THEN 100000 ELSE 1 END) AS n_bytes, page_id % 4 <> 0 AS has_body
+FROM fx_pages WHERE page_id % 11 <> 0"""
+VIEWS["fs_wanted"] = """
+SELECT url, sha AS sha256, page_id % 2 = 0 AS volatile, CASE WHEN page_id % 12 = 5 THEN 'bytes=0-9' END AS range FROM fx_pages"""
+VIEWS["fs_stored"] = """
+SELECT sha AS sha256 FROM fx_pages WHERE page_id % 3 = 0"""
+
 
 def _needs(name: str) -> list[str]:
     """A view and everything it reads, in definition order."""
@@ -214,9 +292,9 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> str:
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _with(_needs(name)[:-1], VIEWS[name]) if name in VIEWS else f"SELECT * FROM @{name}"
     sql = re.sub(r"SHA256\(", "sha2_hex(", sql)
-    sql = sql.replace("LIST(", "array(").replace("MAPOF(", "map_from_arrays(").replace("EXPLODE(", "explode(")
+    sql = sql.replace("LIST(", "array(").replace("MAPOF(", "map_from_arrays(").replace("EXPLODE(", "explode(").replace("TOBIN(", "binary(")
     sql = re.sub(r"sha2_hex\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", sql)
-    return spark.sql(re.sub(r"@(\w+)", lambda m: given(spark, sf_dir, m.group(1)), sql))
+    return spark.sql(re.sub(TABLE, lambda m: given(spark, sf_dir, m.group(1)), sql))
 
 
 def oracle(sql: str) -> str:
@@ -226,5 +304,5 @@ def oracle(sql: str) -> str:
     if names:
         ctes = _with(names, "").rstrip()
         head = f"{ctes}, {head[4:].lstrip()}" if head[:5].upper() == "WITH " else f"{ctes} {head}"
-    head = re.sub(r"\bSHA256\(", "sha256(", head).replace("LIST(", "list_value(").replace("MAPOF(", "map(").replace("EXPLODE(", "unnest(")
-    return re.sub(r"@(\w+)", r"\1", head)
+    head = re.sub(r"\bSHA256\(", "sha256(", head).replace("LIST(", "list_value(").replace("MAPOF(", "map(").replace("EXPLODE(", "unnest(").replace("TOBIN(", "encode(")
+    return re.sub(TABLE, r"\1", head)

@@ -184,6 +184,11 @@ def required_fields(method: Column) -> Column:
     return F.coalesce(lookup(REQUIRED_FIELDS, method), F.array().cast("array<string>"))
 
 
+def cost_of(rows: DataFrame, costs: DataFrame) -> DataFrame:
+    """Attach what an axis would cost a publisher; a missing entry is flagged, never blank."""
+    return rows.join(costs.select("axis", "cost"), "axis", "left").withColumn("cost_missing", F.col("cost").isNull())
+
+
 # --- the same tables as small DataFrames (for users who want to join or print them) ---
 
 def axes_table(spark: SparkSession) -> DataFrame:
