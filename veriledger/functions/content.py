@@ -159,7 +159,9 @@ def commit_fields(text: Column) -> Column:
 def occurrences(text: Column, literal: Column) -> Column:
     """Non-overlapping, case-insensitive occurrences of a literal in a text."""
     low, lit_low = F.lower(text), F.lower(literal)
-    return ((F.length(low) - F.length(F.replace(low, lit_low, F.lit("")))) / F.length(lit_low)).cast("long")
+    removed = F.length(low) - F.length(F.replace(low, lit_low, F.lit("")))
+    empty = F.length(lit_low) == 0  # an empty literal occurs at every byte boundary
+    return F.when(empty, F.octet_length(low) + 1).otherwise(F.try_divide(removed, F.length(lit_low))).cast("long")
 
 
 def affected_axes(text: Column) -> Column:

@@ -261,6 +261,131 @@ SELECT url, sha AS sha256, page_id % 2 = 0 AS volatile, CASE WHEN page_id % 12 =
 VIEWS["fs_stored"] = """
 SELECT sha AS sha256 FROM fx_pages WHERE page_id % 3 = 0"""
 
+# ---------------------------------------------------------------- checks over archived bytes
+VIEWS["fc_docs"] = """
+SELECT a.doc_id, a.text, SHA256(a.text) AS sha, b.text AS ntext, SHA256(b.text) AS nsha
+FROM @documents a LEFT JOIN @documents b ON b.doc_id = a.doc_id + 1"""
+VIEWS["fc_items"] = """
+SELECT d.doc_id, b.text AS item FROM (SELECT doc_id, doc_id % (SELECT COUNT(*) FROM @benchmark) AS item_id FROM @documents) d
+JOIN @benchmark b ON b.item_id = d.item_id"""
+VIEWS["fc_checks"] = """
+SELECT d.doc_id AS cell,
+  CASE d.doc_id % 6 WHEN 0 THEN LIST(SUBSTRING(d.text, 3, 10), SUBSTRING(d.text, 20, 8)) WHEN 1 THEN LIST('license', 'the')
+    WHEN 2 THEN LIST(i.item) WHEN 3 THEN LIST(SUBSTRING(d.text, 3, 10), SUBSTRING(COALESCE(d.ntext, 'nothing follows'), 3, 10))
+    WHEN 4 THEN LIST('tion', 'here') END AS literals,
+  CASE WHEN d.doc_id % 14 = 0 THEN 5 WHEN d.doc_id % 15 = 1 THEN NULL WHEN d.doc_id % 3 = 0 AND d.nsha IS NOT NULL THEN 2 ELSE 1 END AS expect_artifacts,
+  CASE WHEN d.doc_id % 4 < 3 THEN CAST(d.doc_id % 4 AS BIGINT) END AS expect_count
+FROM fc_docs d JOIN fc_items i ON i.doc_id = d.doc_id"""
+VIEWS["fc_cites"] = """
+SELECT doc_id AS cell, CASE WHEN doc_id % 10 = 0 THEN SHA256(CONCAT(text, 'x')) ELSE sha END AS sha256 FROM fc_docs
+UNION ALL SELECT doc_id, nsha FROM fc_docs WHERE doc_id % 3 = 0 AND nsha IS NOT NULL"""
+VIEWS["fc_ranged"] = """
+SELECT p.page_id AS cell, CASE WHEN p.page_id % 7 = 0 THEN 'https://other/'
+    WHEN p.page_id % 3 = 0 THEN CASE WHEN p.page_id % 2 = 0 THEN p.url ELSE CONCAT('second/', CAST(p.page_id AS STRING)) END
+    ELSE CASE WHEN p.page_id % 2 = 0 THEN CONCAT('https://host/base/a/', CAST(p.page_id AS STRING)) ELSE 'https://host/base/b' END END AS url,
+  CONCAT('bytes=0-', CAST(OCTETS(d.text) - (CASE WHEN p.page_id % 9 = 0 THEN 2 ELSE 1 END) AS STRING)) AS range,
+  CASE WHEN p.page_id % 13 = 0 THEN SHA256(CONCAT(d.text, 'x')) ELSE SHA256(d.text) END AS sha256,
+  CASE WHEN p.page_id % 10 = 9 THEN NULL WHEN p.page_id % 11 = 0 THEN CAST(1 - p.page_id % 2 AS INT) ELSE CAST(p.page_id % 2 AS INT) END AS index
+FROM fx_pages p JOIN @documents d ON d.doc_id = p.page_id"""
+VIEWS["fc_ranges"] = """
+SELECT * FROM fc_ranged UNION ALL SELECT * FROM fc_ranged WHERE cell % 17 = 1"""
+VIEWS["fc_listings"] = """
+SELECT page_id AS cell, kind, body, base FROM fs_lists WHERE page_id % 6 <> 2"""
+VIEWS["fc_entries"] = """
+SELECT cell, path, CASE WHEN line = 1 AND cell % 8 <> 5 THEN NULL WHEN line = 2 AND cell % 5 = 0 AND qty > 48 THEN 'ABC'
+       WHEN cell % 6 = 1 AND qty = 1 AND line > 1 THEN NULL ELSE SHA256(path) END AS oid
+FROM (SELECT l_suppkey AS cell, l_linenumber AS line, l_quantity AS qty,
+             CONCAT('d/', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), CASE WHEN l_linenumber = 1 THEN '.md' ELSE '.bin' END) AS path FROM @lineitem) x"""
+VIEWS["fc_claims"] = """
+SELECT cell, COUNT(*) + (CASE WHEN cell % 7 = 0 THEN 1 ELSE 0 END) AS expect_files,
+       CASE WHEN cell % 9 = 4 THEN NULL WHEN cell % 9 = 5 THEN 'bin|md' WHEN cell % 9 = 6 THEN '-[2-6][.]bin$' ELSE '[.]bin$' END AS content_pattern,
+       CASE WHEN cell % 4 = 0 THEN SUM(CASE WHEN LENGTH(oid) = 64 THEN 1 ELSE 0 END) + (CASE WHEN cell % 12 = 0 THEN 1 ELSE 0 END) END AS bound_items
+FROM fc_entries GROUP BY cell"""
+VIEWS["fc_declared"] = """
+SELECT DISTINCT cell, path FROM fc_entries WHERE path LIKE '%.md' AND cell % 3 <> 2
+UNION ALL SELECT s_suppkey, 'ghost.txt' FROM @supplier WHERE s_suppkey % 10 = 6"""
+VIEWS["fc_weights"] = """
+SELECT *, CASE WHEN cell % 23 = 0 THEN SHA256(url) ELSE SHA256(content) END AS sha256, SHA256(content) AS expect_evidence_sha256,
+  CASE WHEN cell % 29 = 0 THEN NULL ELSE content END AS body
+FROM (SELECT p_partkey AS cell, repo AS subject_repo, CAST(CASE WHEN p_partkey % 31 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_ranged,
+  CONCAT('https://huggingface.co/', CASE WHEN p_partkey % 19 = 0 THEN 'org/else' ELSE repo END, '/resolve/', revision, '/', CASE WHEN p_partkey % 3 = 0 THEN 'a.bin' ELSE CONCAT('model-', CAST(p_size AS STRING), '.safetensors') END) AS url,
+  CASE WHEN p_partkey % 37 = 0 THEN 'bytes=1-9' ELSE CONCAT('bytes=0-', CAST(LENGTH(p_name) + 9 AS STRING)) END AS range,
+  CASE WHEN p_partkey % 41 = 0 THEN 'f00' WHEN p_partkey % 2 = 0 THEN revision END AS pinned_commit,
+  CASE WHEN p_partkey % 3 = 0 THEN unhex('504B030400000000') ELSE CASE WHEN p_partkey % 11 = 0 THEN unhex('0000000000000000') ELSE unhex('2000000000000000') END END || TOBIN('{"') || TOBIN(p_name) AS content,
+  CONCAT('https://huggingface.co/api/models/', repo, '/revision/', revision) AS listing_url, body AS listing_body,
+  CASE WHEN p_partkey % 43 = 0 THEN 'other.bin' WHEN p_partkey % 3 = 0 THEN 'a.bin' ELSE CONCAT('model-', CAST(p_size AS STRING), '.safetensors') END AS expect_file,
+  CAST(LENGTH(p_name) + 10 AS BIGINT) AS expect_range_bytes
+FROM (SELECT p.p_partkey, p.p_name, p.p_size, r.repo, r.revision, r.body FROM @part p JOIN fs_revisions r ON r.p_partkey = p.p_partkey) y) x"""
+VIEWS["fc_shards"] = """
+SELECT DISTINCT l_orderkey AS cell, CONCAT('s', CAST(l_linenumber AS STRING), '.bin') AS file FROM @lineitem"""
+VIEWS["fc_pointers"] = """
+SELECT cell, file, lfs_oid, CASE WHEN k % 89 = 0 THEN SHA256(file) ELSE SHA256(content) END AS sha256, CASE WHEN k % 83 = 0 THEN NULL ELSE content END AS body
+FROM (SELECT l_orderkey AS cell, l_partkey AS k, CASE WHEN l_partkey % 79 = 0 THEN 'x.bin' ELSE CONCAT('s', CAST(l_linenumber AS STRING), '.bin') END AS file,
+             SHA256(CONCAT(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))) AS lfs_oid,
+             CASE WHEN l_partkey % 61 = 0 THEN 'version 1' ELSE CONCAT('version https://git-lfs.github.com/spec/v1', chr(10), 'oid sha256:',
+               SHA256(CONCAT(CAST(l_orderkey AS STRING), CASE WHEN l_partkey % 97 = 0 THEN '+' ELSE '-' END, CAST(l_linenumber AS STRING))), chr(10)) END AS content
+      FROM @lineitem WHERE NOT (l_linenumber = 7 AND l_orderkey % 5 = 0)) x"""
+VIEWS["fc_shard_claims"] = """
+SELECT cell, COUNT(*) + (CASE WHEN cell % 13 = 0 THEN 1 ELSE 0 END) AS expect_shards FROM fc_shards GROUP BY cell"""
+VIEWS["fc_signed"] = """
+SELECT doc_id AS subject, CASE WHEN doc_id % 41 = 1 THEN NULL ELSE body END AS body,
+  CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 21 = 0 THEN CONCAT('U', CAST(doc_id AS STRING)) ELSE CONCAT('F', CAST(doc_id % 4 AS STRING)) END END AS fingerprint,
+  doc_id % 27 <> 0 AS intact,
+  CASE WHEN doc_id % 11 = 0 THEN 'f00' WHEN doc_id % 37 = 0 THEN NULL ELSE sha1(TOBIN(CONCAT('commit ', CAST(OCTETS(body) AS STRING))) || unhex('00') || TOBIN(body)) END AS expect_revision,
+  CASE WHEN doc_id % 7 = 1 THEN 'someone@example.org' ELSE CONCAT('user', CAST(doc_id % 9 AS STRING), '@example.org') END AS expect_committer,
+  CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN doc_id % 3 <> 0 ELSE doc_id % 3 = 0 END AS expect_signed,
+  CASE WHEN doc_id % 3 <> 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'OTHER' WHEN doc_id % 21 = 0 THEN CONCAT('U', CAST(doc_id AS STRING)) ELSE CONCAT('F', CAST(doc_id % 4 AS STRING)) END AS expect_fingerprint,
+  CASE WHEN doc_id % 31 = 0 THEN 'Other' ELSE CONCAT('Update ', CAST(doc_id % 5 AS STRING)) END AS expect_subject_line,
+  CASE WHEN doc_id % 19 = 0 THEN NULL ELSE doc_id % 5 <> 0 END AS expect_shared
+FROM fu_commits"""
+VIEWS["fc_tree"] = """
+SELECT l_suppkey AS cell, CONCAT('f', CAST(l_linenumber AS STRING), '/', CAST(l_partkey % 9 AS STRING), '.py') AS path,
+       CASE WHEN l_returnflag = 'R' THEN 'tree' ELSE 'blob' END AS type,
+       CAST(CASE WHEN l_linenumber = 7 THEN l_quantity ELSE l_quantity * 40 END AS BIGINT) AS size FROM @lineitem"""
+VIEWS["fc_tree_claims"] = """
+SELECT s_suppkey AS cell, s_suppkey % 9 = 0 AS truncated,
+       CASE WHEN s_suppkey % 8 = 3 THEN NULL WHEN s_suppkey % 8 = 4 THEN 'nope.txt' ELSE 'f3/0.py' END AS manifest FROM @supplier"""
+VIEWS["fc_required"] = """
+SELECT s_suppkey AS cell, EXPLODE(LIST('f1/1.py', 'f2/2.py', CASE WHEN s_suppkey % 6 = 1 THEN 'f9/1.py' WHEN s_suppkey % 5 = 2 THEN 'f7/3.py' ELSE 'f4/4.py' END)) AS path FROM @supplier"""
+VIEWS["fc_published"] = """
+SELECT p_brand AS cell, CONCAT(REPLACE(p_name, ' ', '_'), '.', LOWER(p_type)) AS path, CASE WHEN p_partkey % 211 = 5 THEN 'directory' ELSE 'file' END AS type FROM @part"""
+VIEWS["fc_published_claims"] = """
+SELECT cell, COUNT(DISTINCT CASE WHEN type = 'file' AND (path LIKE '%.promo' OR path LIKE 'red_%') THEN path END)
+       + (CASE WHEN cell IN ('Brand#3', 'Brand#7') THEN 1 ELSE 0 END) AS expect_matches FROM fc_published GROUP BY cell"""
+VIEWS["fn_counted"] = """
+SELECT doc_id, source AS subject, lang AS term, 2 * COUNT(*) OVER (PARTITION BY source, lang) AS total FROM @documents"""
+VIEWS["fn_pages"] = """
+SELECT doc_id, subject, term, total,
+  CONCAT('https://export.arxiv.org/api/query?search_query=abs%3A%22', subject, '%22%20AND%20abs%3A%22', term, '%22&start=', CAST(doc_id AS STRING)) AS url,
+  CASE WHEN subject = 'src11' AND term = 'fr' THEN NULL ELSE
+  CONCAT('<feed>', CASE WHEN subject = 'src13' THEN '' ELSE CONCAT('<opensearch:totalResults>', CAST(total + (CASE WHEN subject IN ('src3', 'src8') AND term <> 'en' THEN 1 ELSE 0 END) AS STRING), '</opensearch:totalResults>') END,
+         '<entry><id>http://arxiv.org/abs/24', CAST(doc_id AS STRING), '.1</id></entry><entry ><id>http://arxiv.org/abs/25', CAST(doc_id AS STRING), '.2</id></entry></feed>') END AS body
+FROM fn_counted"""
+VIEWS["fn_responses"] = """
+SELECT doc_id, subject, term, total, url, SHA256(url) AS sha256, body FROM fn_pages"""
+VIEWS["fn_claims"] = """
+SELECT subject, CASE WHEN subject = 'src5' THEN 'somebody' ELSE subject END AS name, COUNT(DISTINCT term) + (CASE WHEN subject = 'src7' THEN 1 ELSE 0 END) AS expect_queries,
+       CASE WHEN subject = 'src9' THEN 1 WHEN subject = 'src10' THEN NULL ELSE 0 END AS positives, CASE WHEN subject = 'src6' THEN 1 ELSE 0 END AS score
+FROM fn_responses GROUP BY subject"""
+VIEWS["fn_totals"] = """
+SELECT DISTINCT subject, term, total + (CASE WHEN subject IN ('src2', 'src3') AND term <> 'en' THEN 1 ELSE 0 END) AS total FROM fn_responses"""
+VIEWS["fn_digests"] = """
+SELECT subject, sha256 FROM fn_responses WHERE NOT (subject = 'src1' AND doc_id % 3 = 0)"""
+VIEWS["fn_verdicts"] = """
+SELECT subject, subject = 'src4' AS hit, subject <> 'src12' AS has_axis17, CASE WHEN subject = 'src14' THEN 1 ELSE 0 END AS axis17 FROM fn_claims WHERE subject <> 'src15'"""
+VIEWS["fc_manifest"] = """
+SELECT url, CASE WHEN page_id % 6 = 1 THEN SHA256(url) ELSE sha END AS manifest_sha256, page_id % 4 <> 3 AS stored FROM fx_pages WHERE page_id % 9 <> 0"""
+VIEWS["fc_archive"] = """
+SELECT sha AS sha256, CASE WHEN page_id % 8 = 0 THEN CONCAT(html, ' ') ELSE html END AS body FROM fx_pages WHERE page_id % 10 <> 2"""
+VIEWS["fc_facts"] = """
+SELECT CONCAT('doc-', CAST(doc_id AS STRING)) AS name,
+  CASE doc_id % 6 WHEN 0 THEN 'byte_length' WHEN 1 THEN 'count_lines_matching' WHEN 2 THEN 'token_ids_below' WHEN 3 THEN 'count_json_entries' WHEN 4 THEN 'byte_length' ELSE 'http_206' END AS method,
+  CASE WHEN doc_id % 6 = 2 THEN CAST(FLOOR(OCTETS(text) / (CASE WHEN doc_id % 4 = 2 THEN 2.0 ELSE 4.0 END)) AS BIGINT) WHEN doc_id % 6 = 1 THEN 1 ELSE CAST(OCTETS(text) AS BIGINT) + (CASE WHEN doc_id % 6 = 4 THEN doc_id % 2 ELSE 0 END) - doc_id % 2 END AS value,
+  CASE WHEN doc_id % 7 = 0 THEN SHA256(CONCAT(text, 'x')) ELSE SHA256(text) END AS sha256,
+  '[A-Z][a-z]+' AS pattern, CASE WHEN doc_id % 4 = 1 THEN 'e' END AS also_all_contain, 'k' AS field, '1' AS match,
+  CASE WHEN doc_id % 4 = 2 THEN 'uint16' ELSE 'uint32' END AS width, CAST(CASE WHEN doc_id % 4 = 2 THEN 32768 ELSE 2100000000 END AS BIGINT) AS below
+FROM @documents"""
+
 
 def _needs(name: str) -> list[str]:
     """A view and everything it reads, in definition order."""
@@ -289,11 +414,21 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> str:
     return name
 
 
+def _spark_digests(sql: str) -> str:
+    """``SHA256(x)`` as Spark's ``sha2(x, 256)``, innermost last."""
+    while (start := sql.find("SHA256(")) >= 0:
+        depth, end = 1, start + 7
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:start]}sha2({sql[start + 7:end - 1]}, 256){sql[end:]}"
+    return sql
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _with(_needs(name)[:-1], VIEWS[name]) if name in VIEWS else f"SELECT * FROM @{name}"
-    sql = re.sub(r"SHA256\(", "sha2_hex(", sql)
-    sql = sql.replace("LIST(", "array(").replace("MAPOF(", "map_from_arrays(").replace("EXPLODE(", "explode(").replace("TOBIN(", "binary(")
-    sql = re.sub(r"sha2_hex\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", sql)
+    sql = _spark_digests(sql).replace("LIST(", "array(").replace("MAPOF(", "map_from_arrays(")
+    sql = sql.replace("EXPLODE(", "explode(").replace("TOBIN(", "binary(").replace("OCTETS(", "octet_length(")
     return spark.sql(re.sub(TABLE, lambda m: given(spark, sf_dir, m.group(1)), sql))
 
 
@@ -304,5 +439,5 @@ def oracle(sql: str) -> str:
     if names:
         ctes = _with(names, "").rstrip()
         head = f"{ctes}, {head[4:].lstrip()}" if head[:5].upper() == "WITH " else f"{ctes} {head}"
-    head = re.sub(r"\bSHA256\(", "sha256(", head).replace("LIST(", "list_value(").replace("MAPOF(", "map(").replace("EXPLODE(", "unnest(").replace("TOBIN(", "encode(")
+    head = re.sub(r"\bSHA256\(", "sha256(", head).replace("LIST(", "list_value(").replace("MAPOF(", "map(").replace("EXPLODE(", "unnest(").replace("TOBIN(", "encode(").replace("OCTETS(", "strlen(")
     return re.sub(TABLE, r"\1", head)
