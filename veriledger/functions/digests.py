@@ -25,16 +25,16 @@ def row_digest(*cols: Column) -> Column:
     return F.sha2(F.concat_ws(SEPARATOR, *parts), 256)
 
 
-def digest_sums(digest: Column) -> list[Column]:
+def digest_sums(digest: Column, prefix: str = "w") -> list[Column]:
     """Mergeable aggregates: eight word sums of a hex digest column."""
     return [
-        F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{i}")
+        F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"{prefix}{i}")
         for i in range(8)
     ]
 
 
-def close_digest(n: Column) -> Column:
-    words = [F.coalesce(F.col(f"w{i}").cast("string"), F.lit("0")) for i in range(8)]
+def close_digest(n: Column, prefix: str = "w") -> Column:
+    words = [F.coalesce(F.col(f"{prefix}{i}").cast("string"), F.lit("0")) for i in range(8)]
     return F.sha2(F.concat_ws(":", n.cast("string"), *words), 256)
 
 

@@ -386,6 +386,83 @@ SELECT CONCAT('doc-', CAST(doc_id AS STRING)) AS name,
   CASE WHEN doc_id % 4 = 2 THEN 'uint16' ELSE 'uint32' END AS width, CAST(CASE WHEN doc_id % 4 = 2 THEN 32768 ELSE 2100000000 END AS BIGINT) AS below
 FROM @documents"""
 
+# ----------------------------------------------------------------------- search and screens
+VIEWS["fn_corpus"] = """
+SELECT doc_id AS id, text, lang AS category, SUBSTRING(text, 1, 120) AS title FROM @documents"""
+VIEWS["fn_names"] = """
+SELECT EXPLODE(LIST('mit', 'apache', 'ccbync', 'gnu', 'none')) AS subject"""
+VIEWS["fn_queries"] = """
+SELECT subject, term, total, total - (CASE WHEN subject IN ('src2', 'src9') THEN 2 ELSE 0 END) AS retrieved,
+       CASE WHEN subject = 'src4' THEN FALSE WHEN subject = 'src8' THEN NULL ELSE TRUE END AS complete
+FROM fn_counted GROUP BY subject, term, total"""
+VIEWS["fn_adjudged"] = """
+SELECT s_suppkey AS subject, s_suppkey % 5 = 0 AS hit, CASE WHEN s_suppkey % 10 = 0 THEN ' ' ELSE 'https://arxiv.org/abs/1' END AS url,
+       CASE WHEN s_suppkey % 15 = 0 THEN NULL ELSE 'we reproduce it' END AS quote,
+       CASE s_suppkey % 4 WHEN 0 THEN 'axis 17 only' WHEN 1 THEN 'axis 16 and axis 17' WHEN 2 THEN 'axis 3' ELSE 'the model' END AS affects,
+       CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'read in full' END AS rationale
+FROM @supplier WHERE s_suppkey % 7 <> 0"""
+VIEWS["fn_known"] = """
+SELECT item_id AS case, CONCAT('24.', CAST(item_id * 7 AS STRING)) AS record, CASE item_id % 4 WHEN 0 THEN 'mit' WHEN 1 THEN 'apache' WHEN 2 THEN 'ccbync' ELSE 'gnu' END AS subject,
+       CASE WHEN item_id % 5 = 4 THEN 'off_corpus' ELSE 'in_pool' END AS expect FROM @benchmark"""
+
+# -------------------------------------------------------------------- snapshots and history
+VIEWS["fr_last"] = """
+SELECT user_id, ts >= TIMESTAMP '2024-01-16 00:00:00' AS late, max_by(event_type, ts) AS et, max_by(event_id, ts) AS eid,
+       max_by(regexp_extract(props, '([0-9]+)', 1), ts) AS k FROM @events GROUP BY user_id, ts >= TIMESTAMP '2024-01-16 00:00:00'"""
+VIEWS["fr_pair"] = """
+SELECT a.user_id, b.et AS new_type,
+  CONCAT('{"event_type": "', a.et, '", "k": ', a.k, ', "downloads": ', CAST(a.eid AS STRING), '}') AS old_body,
+  CONCAT('{"downloads": ', CAST(a.eid AS STRING), ',"k":', a.k, ',"event_type":"', a.et, '"}') AS same_body,
+  CONCAT('{"event_type": "', a.et, '", "k": ', a.k, ', "downloads": ', CAST(b.eid AS STRING), ', "likes": 3}') AS meta_body,
+  CONCAT('{"event_type": "', b.et, '", "k": ', b.k, ', "downloads": ', CAST(b.eid AS STRING), '}') AS new_body
+FROM fr_last a JOIN fr_last b ON a.user_id = b.user_id WHERE NOT a.late AND b.late"""
+VIEWS["fr_snap"] = """
+SELECT user_id, new_type, CASE user_id % 10 WHEN 3 THEN '[1, 2]' ELSE old_body END AS old_body,
+  CASE user_id % 10 WHEN 0 THEN same_body WHEN 1 THEN old_body WHEN 2 THEN 'not json' WHEN 3 THEN CASE WHEN user_id % 20 = 3 THEN '[1,2]' ELSE '[1, 3]' END WHEN 4 THEN meta_body ELSE new_body END AS new_body
+FROM fr_pair"""
+VIEWS["fr_cited"] = """
+SELECT CONCAT('s', CAST(user_id AS STRING), '/axis1') AS label, CONCAT('https://h/', CAST(user_id AS STRING)) AS url, SHA256(old_body) AS sha256, user_id % 6 = 5 AS volatile FROM fr_snap
+UNION ALL SELECT CONCAT('s', CAST(user_id AS STRING), '/axis2'), CONCAT('https://h/', CAST(user_id AS STRING)), SHA256(old_body), FALSE FROM fr_snap WHERE user_id % 3 = 0"""
+VIEWS["fr_blobs"] = """
+SELECT SHA256(old_body) AS sha256, MIN(old_body) AS body FROM fr_snap WHERE user_id % 11 <> 0 GROUP BY SHA256(old_body)"""
+VIEWS["fr_seen"] = """
+SELECT CONCAT('https://h/', CAST(user_id AS STRING)) AS url, CASE WHEN new_type = 'error' THEN 'limited' WHEN user_id % 13 = 0 THEN 'gone' ELSE 'ok' END AS status,
+       SHA256(new_body) AS sha256, new_body AS body FROM fr_snap WHERE user_id % 17 <> 0"""
+VIEWS["fr_cites"] = """
+SELECT CONCAT('c', CAST(page_id AS STRING)) AS label, CONCAT(page_url, CASE WHEN page_id % 3 = 0 THEN '/main/x' ELSE '' END) AS url, sha AS sha256 FROM fu_urls"""
+VIEWS["fr_pins"] = """
+SELECT url, REPLACE(url, '/main/', CONCAT('/', SUBSTRING(MIN(sha256), 1, 40), '/')) AS pinned, MIN(sha256) AS pinned_sha256 FROM fr_cites WHERE url LIKE '%/main/%' GROUP BY url"""
+VIEWS["fr_shared_cites"] = """
+SELECT CONCAT('c', CAST(page_id AS STRING)) AS label, url, sha AS sha256 FROM fu_urls"""
+VIEWS["fr_shared_pins"] = """
+SELECT url, CONCAT('pinned:', url) AS pinned, MIN(sha256) AS pinned_sha256 FROM fr_shared_cites WHERE url NOT LIKE '%/latest/%' GROUP BY url"""
+VIEWS["fr_claims"] = """
+SELECT p_partkey AS id, CASE WHEN p_size = 7 THEN 1 ELSE (SELECT COUNT(*) FROM @part) - p_partkey END AS claimed FROM @part
+UNION ALL SELECT p_partkey + 100000000, CASE WHEN p_size = 3 THEN p_partkey END FROM @part WHERE p_size < 5"""
+VIEWS["fr_days"] = """
+SELECT CAST(EXTRACT(DAY FROM ts) AS INT) AS run, COUNT(*) AS n FROM @events GROUP BY CAST(EXTRACT(DAY FROM ts) AS INT)"""
+VIEWS["fr_runs"] = """
+SELECT run, CAST(FLOOR((run - 1) / 7.0) AS INT) AS round, CASE WHEN run % 10 = 5 THEN 3 ELSE 1000 + CAST(FLOOR(run / 3.0) AS BIGINT) * 10 - CASE WHEN run IN (20, 21) THEN 50 ELSE 0 END END AS controls_total,
+       CAST(FLOOR(run / 3.0) AS BIGINT) AS watched, CASE WHEN n > 0 THEN 0 ELSE 1 END AS never_executes, CONCAT('s', CAST(CAST(FLOOR(run / 6.0) AS BIGINT) AS STRING)) AS source_fingerprint, 'i0' AS inputs_fingerprint
+FROM fr_days"""
+VIEWS["fr_stored_runs"] = """
+SELECT run, round, controls_total + (CASE WHEN run = 4 THEN 1 ELSE 0 END) AS controls_total, watched, never_executes, source_fingerprint, inputs_fingerprint FROM fr_runs
+UNION ALL SELECT MAX(run) + 1, 9, 1, 1, 1, 's', 'i' FROM fr_runs"""
+VIEWS["fr_named"] = """
+SELECT run, round, controls_total, watched, never_executes + 1 AS never_executes FROM fr_runs WHERE run = 12
+UNION ALL SELECT run, round, controls_total, watched, never_executes FROM fr_runs WHERE run = 13"""
+VIEWS["fr_rows"] = """
+SELECT CAST(EXTRACT(DAY FROM ts) AS INT) AS line, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS source, event_type AS class FROM @events"""
+VIEWS["fr_rows_again"] = """
+SELECT CAST(EXTRACT(DAY FROM ts) AS INT) AS line, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS source, CASE WHEN event_id % 97 = 0 THEN 'other' ELSE event_type END AS class FROM @events"""
+VIEWS["fm_keys"] = """
+SELECT subject, axis, score, method, CASE WHEN method IS NULL THEN 'none' ELSE pk END AS policy_key,
+  CASE WHEN method IS NULL THEN 'none' ELSE CONCAT(pk, '|', CAST(n % 4 AS STRING), '|', CASE WHEN n % 4 = 3 THEN CAST(score AS STRING) ELSE '' END) END AS check_key,
+  CASE WHEN method IS NULL THEN 0 ELSE n % 2 END AS artifacts, method IS NULL OR n % 4 <> 3 OR score = 2 AS replays, CONCAT(CAST(subject % 3 AS STRING), '/', COALESCE(pk, 'none')) AS moved_key
+FROM (SELECT x.*, CONCAT(method, '|', CAST(subject % 2 AS STRING), '|', CAST(axis % 3 AS STRING)) AS pk FROM
+  (SELECT subject, axis, score, n, CASE WHEN score = 1 AND n % 4 = 0 THEN NULL WHEN axis = 6 THEN 'repo_tree_probe' WHEN axis = 12 THEN 'hf_probe.weight_object' WHEN axis = 13 THEN 'hf_probe.all_shard_digests'
+    WHEN axis = 4 THEN 'http_range' WHEN axis IN (16, 17) THEN 'reproduction_search' ELSE 'grep_retrieved' END AS method FROM fx_cells WHERE score > 0) x) y"""
+
 
 def _needs(name: str) -> list[str]:
     """A view and everything it reads, in definition order."""
