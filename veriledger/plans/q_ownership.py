@@ -86,7 +86,7 @@ z AS (SELECT cell_no, subject, axis, score, CASE
         WHEN m = 'http_status' THEN 'no executor' END AS reason FROM g)
 SELECT *, CASE WHEN reason IS NOT NULL THEN 'fail' WHEN score = 1 THEN 'pass' ELSE 'execute' END AS verdict FROM z""")
 def o10(spark, d):
-    return ownership.gate(ledger(spark, d))
+    return ownership.gate(ledger(spark, d, keep=True))
 
 
 @query("o11_settled_blocks", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime-settable options that every job of this library relies on.  Skewed
@@ -23,8 +25,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names; no-op if none is set."""
+    """Reliable checkpoint into the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own; a cluster without it
+    falls back to ``persist``, which survives lost executors by recomputation.
+    """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    return df
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        if not folder:
+            return df.persist()
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
