@@ -20,7 +20,7 @@ LEDGER = {
 
 
 def test_read_ledger(spark, tmp_path):
-    path = tmp_path / "cells.json"
+    path = tmp_path / "ledger.json"
     path.write_text(json.dumps(LEDGER, indent=1))
     docs = ledger.read_ledger(spark, str(path), lines=False)
     cells = {r.axis: r for r in ledger.cells_of(docs).collect()}
@@ -33,7 +33,7 @@ def test_read_ledger(spark, tmp_path):
 
 
 def test_ledger_without_floor_is_refused(spark, tmp_path):
-    path = tmp_path / "cells.json"
+    path = tmp_path / "ledger.json"
     path.write_text(json.dumps({**LEDGER, "zero_bounds_floor": None}))
     with pytest.raises(ValueError):
         ledger.read_ledger(spark, str(path))

@@ -353,7 +353,8 @@ VIEWS["fc_published_claims"] = """
 SELECT cell, COUNT(DISTINCT CASE WHEN type = 'file' AND (path LIKE '%.promo' OR path LIKE 'red_%') THEN path END)
        + (CASE WHEN cell IN ('Brand#3', 'Brand#7') THEN 1 ELSE 0 END) AS expect_matches FROM fc_published GROUP BY cell"""
 VIEWS["fn_counted"] = """
-SELECT doc_id, source AS subject, lang AS term, 2 * COUNT(*) OVER (PARTITION BY source, lang) AS total FROM @documents"""
+SELECT d.doc_id, d.source AS subject, d.lang AS term, 2 * c.n AS total
+FROM @documents d JOIN (SELECT source, lang, COUNT(*) AS n FROM @documents GROUP BY source, lang) c ON c.source = d.source AND c.lang = d.lang"""
 VIEWS["fn_pages"] = """
 SELECT doc_id, subject, term, total,
   CONCAT('https://export.arxiv.org/api/query?search_query=abs%3A%22', subject, '%22%20AND%20abs%3A%22', term, '%22&start=', CAST(doc_id AS STRING)) AS url,
