@@ -3,7 +3,6 @@
 import random
 from itertools import combinations
 
-from pyspark.sql import functions as F
 
 from veriledger.functions.ranking import global_rank
 from veriledger.operators import scoring, sensitivity

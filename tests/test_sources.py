@@ -5,7 +5,6 @@ import hashlib
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from veriledger.sources import blobs, documents, ledger, sinks
 

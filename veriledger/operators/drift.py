@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from veriledger.functions import urls
 from veriledger.functions.digests import close_digest, digest_sums, row_digest
-from veriledger.operators.validation import broken_dependency
 from veriledger.sources import registry
 
 CLASSES = ["ok", "limited", "gone", "volatile", "serialisation", "metadata", "material"]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriledger.functions import urls
-from veriledger.operators.validation import Ledger, broken_dependency, evidence_with_cell, violations
+from veriledger.operators.validation import Ledger, broken_dependency, violations
 from veriledger.sources import registry
 
 KEY = ["subject", "axis"]

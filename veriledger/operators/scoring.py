@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from veriledger.functions.digests import close_digest, digest_sums, multiset_digest, row_digest
 from veriledger.sources import registry
 
-SCORE = F.col
-
 
 def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))

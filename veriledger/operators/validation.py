@@ -299,7 +299,7 @@ def no_sources(led: Ledger) -> DataFrame:
     return violations(bare, "V31", "subject", "axis", "score")
 
 
-def undeclared_evidence(led: Ledger, key: str = "axis") -> DataFrame:
+def undeclared_evidence(led: Ledger) -> DataFrame:
     """Distinct (subject, axis, source) cited outside the subject's declared sources, with an owner."""
     used = (
         evidence_with_cell(led).filter(F.col("score") != 0)

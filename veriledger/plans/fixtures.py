@@ -115,7 +115,7 @@ FROM fl_paged"""
 VIEWS["fl_evidence"] = """
 SELECT cell_no, subject, axis, 0 AS pos, score, n, s, a,
        CASE WHEN n % 24 = 0 THEN REPLACE(REPLACE(url, 'https:', 'ftp:'), 'http:', 'ftp:')
-            WHEN n % 26 = 0 THEN CONCAT(url, '/main/README.md')
+            WHEN n % 9 = 4 THEN CONCAT(url, '/main/README.md')
             WHEN axis = 9 AND n % 4 = 1 THEN CONCAT(url, '?copy=', CAST(n AS STRING)) ELSE url END AS url,
        CASE WHEN n % 18 = 0 THEN '2024-02-31' WHEN n % 20 = 0 THEN '2999-01-01' WHEN n % 30 = 1 THEN 'yesterday'
             ELSE CONCAT('2024-01-', LPAD(CAST(a AS STRING), 2, '0')) END AS retrieved,

@@ -75,12 +75,13 @@ def n6(spark, d):
 @query("n7_screen_recount", f"""
 WITH {SENT}{NEAR},
 ct AS (SELECT subject, count(*) AS n FROM s3 GROUP BY subject UNION ALL SELECT '*', count(*) FROM s3),
-sd AS (SELECT subject, count(*) AS n FROM s2k GROUP BY subject UNION ALL SELECT '*', count(*) FROM s2k)
+sd AS (SELECT subject, count(*) + (CASE WHEN subject = 'mit' THEN 1 ELSE 0 END) AS n FROM s2k GROUP BY subject UNION ALL SELECT '*', count(*) FROM s2k)
 SELECT coalesce(sd.subject, ct.subject) AS subject, sd.n AS stored, coalesce(ct.n, 0) AS recomputed FROM sd FULL JOIN ct ON ct.subject = sd.subject WHERE sd.n IS DISTINCT FROM coalesce(ct.n, 0)""")
 def n7(spark, d):
-    # the stored figures are those of the earlier screen, so every subject the last screen cuts is reported
+    # the stored figures are those of the earlier screen, one of them miscounted
     screened = _stage2(spark, d)
     stored = screened.rollup("subject").agg(F.count(F.lit(1)).alias("n")).withColumn("subject", F.coalesce("subject", F.lit("*")))
+    stored = stored.withColumn("n", F.col("n") + (F.col("subject") == "mit").cast("int"))
     return reconcile.screen_recount(stored, funnel.stage3_proximity(screened, NAMES, TERMS))
 
 
