@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriledger.llm import decontaminate, url_aliases
+from veriledger.llm import decontaminate, suffix_dedup, url_aliases
 
 
 def _table(spark, sf_dir, name):
@@ -13,8 +13,12 @@ def op1_redirect_equivalence(spark, sf_dir):
     return url_aliases.judge(_table(spark, sf_dir, "pages"))
 
 
+def op2_prefix_interval_dedup(spark, sf_dir):
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op5_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op5_benchmark_decontamination)}
