@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriledger.llm import decontaminate, suffix_dedup, url_aliases
+from veriledger.llm import decontaminate, suffix_dedup, url_aliases, weighted_fingerprints
 
 
 def _table(spark, sf_dir, name):
@@ -21,4 +21,9 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op5_benchmark_decontamination)}
+def op9_consistent_weighted_sampling(spark, sf_dir):
+    return weighted_fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op5_benchmark_decontamination,
+                                   op9_consistent_weighted_sampling)}
