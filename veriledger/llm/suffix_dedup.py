@@ -15,7 +15,7 @@ sorted shard by shard:
 4. ``_removed`` concatenates the distinct runs of a shard, builds their Burrows-Wheeler transform, and
    derives common prefixes by increasing value with breadth-first backward extension
    (``short_prefixes``), stopping at ``length``: what is left between two shorter prefixes are equal windows.
-5. ``_digest_batch`` unites the removed ranges of every document.
+5. ``_cut_texts`` unites the removed ranges of every document.
 
 Edge cases: null text is empty; texts shorter than ``length`` bytes lose nothing.  A repeat within one
 document, or between rows that share a ``doc_id``, is no repeat.  Rows that repeat id and text are
@@ -28,13 +28,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 50
-SEED = 24
+SEED = 20
 SHARD_BYTES = 12 << 20
 HOT = 20_000
 CHUNK = 1 << 20
@@ -121,8 +120,55 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+def _planes(column: np.ndarray) -> bytes:
+    """Bytes of equal significance side by side, so that constant ones compress to nothing."""
+    return np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, at: int, kind, n: int) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel(), at + n * size
+
+
+def _pack(value, row, start, size, hot) -> bytes:
+    """Run entries: 48 bits of the value, then document, start, windows and the mark of a hot value.
+
+    A shorter value can only mark a run too many; what is removed is decided on the bytes.
+    """
+    return b"".join((_planes(value)[2 * len(value):], _planes(row), _planes(start.astype(np.int32)),
+                     _planes(size.astype(np.int32)), _planes(hot.astype(np.uint8))))
+
+
+def _unpack(ns, blobs) -> list[np.ndarray]:
+    kinds = (np.int64, np.int32, np.int32, np.uint8)
+    columns = [[np.zeros(0, k)] for k in (np.uint64, *kinds)]
+    for n, data in zip(ns, blobs, strict=True):
+        value, _ = _from_planes(bytes(2 * n) + data[:6 * n], 0, np.uint64, n)
+        columns[0].append(value)
+        at = 6 * n
+        for kind, column in zip(kinds, columns[1:], strict=True):
+            found, at = _from_planes(data, at, kind, n)
+            column.append(found)
+    return [np.concatenate(c) for c in columns]
+
+
+def _dealt(at: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, indices) of every shard that is met."""
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        yield s, order[cuts[s]:cuts[s + 1]]
+
+
+def _home(ids: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of a document; ``_home_column`` is the same for a column."""
+    return (ids ^ (ids >> 7) ^ (ids >> 17)) % shards
+
+
+def _home_column(shards: int):
+    i = F.col("doc_id")
+    return F.pmod(i.bitwiseXOR(F.shiftright(i, 7)).bitwiseXOR(F.shiftright(i, 17)), F.lit(shards)).cast("int")
 
 
 def _runs_of_batch(shards: int, length: int):
@@ -130,148 +176,138 @@ def _runs_of_batch(shards: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, th = _doc_ids(batch.column(0)), batch.column(2).to_numpy()
-            data, offsets = _bytes_of(batch.column(1))
-            value, doc, start, size = _runs(data, offsets, length)
+            ids = _doc_ids(batch.column(0))
+            value, doc, start, size = _runs(*_bytes_of(batch.column(1)), length)
             if not len(value):
                 continue
             row = ids[doc]
+            value &= ~np.uint64(0xFFFF)
             order = np.lexsort((row, value))
-            value, doc, row, start, size = (x[order] for x in (value, doc, row, start, size))
-            new = np.append(True, value[1:] != value[:-1])
-            group = np.cumsum(new) - 1
-            heads = np.flatnonzero(new)
-            tails = np.append(heads[1:], len(value)) - 1
-            several = (row[heads] != row[tails])[group]
-            # known to repeat: passed on under any shard; one entry of each tells its value's shard
-            entry = ~several | new
+            value, row, start, size = (x[order] for x in (value, row, start, size))
+            heads = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            counts = np.diff(np.append(heads, len(value)))
+            several = np.repeat(row[heads] != row[heads + counts - 1], counts)
+            hot = np.repeat(counts > HOT, counts)
+            # entries known to repeat go on as they are; one of each tells the value's shard (start -1)
+            entry = ~several
+            entry[heads] = True
             told = np.where(several, -1, start)
-            hot = (tails - heads + 1 > HOT)[group]
-            where = (value >> np.uint64(20)) % np.uint64(shards)
-            spread = doc % shards
-            parts = []
-            for sure, pick, at, begin in ((0, entry, where, told), (1, several, spread, start)):
+            rows = []
+            for sure, pick, at, begin in ((0, entry, (value >> np.uint64(20)) % np.uint64(shards), told), (1, several, _home(row, shards), start)):
                 take = np.flatnonzero(pick)
-                take = take[np.argsort(at[take], kind="stable")]
-                cuts = np.searchsorted(at[take], np.arange(shards + 1))
-                for s in range(shards):
-                    if cuts[s] < cuts[s + 1]:
-                        k = take[cuts[s]:cuts[s + 1]]
-                        parts.append((s, sure, len(k), _pack(
-                            value[k], row[k], th[doc[k]], begin[k].astype(np.int32), size[k].astype(np.int32), hot[k])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()),
-                 pa.array([p[2] for p in parts], pa.int32()), pa.array([p[3] for p in parts], pa.binary())],
-                names=["shard", "sure", "n", "data"])
+                for s, k in _dealt(at[take].astype(np.int64), shards):
+                    k = take[k]
+                    rows.append((s, sure, len(k), _pack(value[k], row[k], begin[k], size[k], hot[k])))
+            yield _batch_of(rows)
 
     return run
 
 
-def _unpack(frame: pd.DataFrame) -> list[np.ndarray]:
-    kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.bool_)
-    columns = [[] for _ in kinds]
-    for n, data in zip(frame["n"], frame["data"], strict=True):
-        at = 0
-        for kind, column in zip(kinds, columns, strict=True):
-            column.append(np.frombuffer(data, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)]
-
-
-def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
-    """Runs of one shard whose value is met in two documents."""
-    value, row, th, start, size, _ = _unpack(frame[frame["sure"] == 0])
-    sure = _unpack(frame[frame["sure"] == 1])
-    order = np.argsort(value, kind="stable")
-    value, row, th, start, size = (x[order] for x in (value, row, th, start, size))
-    new = np.append(True, value[1:] != value[:-1]) if len(value) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    if len(value):
-        several = np.minimum.reduceat(row, heads) != np.maximum.reduceat(row, heads)
-        several |= np.minimum.reduceat(start, heads) < 0
-        many = np.diff(np.append(heads, len(value))) > HOT
-        keep = several[group] & (start >= 0)
-    else:
-        many, keep = np.zeros(0, bool), np.zeros(0, bool)
-    hot = many[group][keep]
-    return pd.DataFrame({
-        "doc_id": np.concatenate([row[keep], sure[1]]), "th": np.concatenate([th[keep], sure[2]]),
-        "value": np.concatenate([value[keep], sure[0]]).view(np.int64), "start": np.concatenate([start[keep], sure[3]]),
-        "size": np.concatenate([size[keep], sure[4]]), "hot": np.concatenate([hot, sure[5]]),
-    })
-
-
-def _flat_marks(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Offsets per row and the fields of a column of lists of structs (null: empty)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = column.flatten()
-    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
-    return np.append(0, np.cumsum(lengths)), fields
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "kind", "n", "data"])
+
+
+def _repeated(shards: int):
+    """Runs of one shard whose value is met in two documents, packed for the documents' shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, n, data = (table.column(c).to_pylist() for c in ("kind", "n", "data"))
+        told = [i for i, k in enumerate(kind) if k == 0]
+        value, row, start, size, _ = _unpack([n[i] for i in told], [data[i] for i in told])
+        order = np.argsort(value, kind="stable")
+        value, row, start, size = (x[order] for x in (value, row, start, size))
+        keep, hot = np.zeros(0, bool), np.zeros(0, bool)
+        if len(value):
+            heads = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            counts = np.diff(np.append(heads, len(value)))
+            several = np.minimum.reduceat(row, heads) != np.maximum.reduceat(row, heads)
+            several |= np.minimum.reduceat(start, heads) < 0
+            keep, hot = np.repeat(several, counts) & (start >= 0), np.repeat(counts > HOT, counts)
+        rows = [(s, 0, len(k), _pack(value[keep][k], row[keep][k], start[keep][k], size[keep][k], hot[keep][k]))
+                for s, k in _dealt(_home(row[keep], shards), shards)]
+        rows += [(table.column("shard")[i].as_py(), 1, n[i], data[i]) for i, k in enumerate(kind) if k == 1]
+        return pa.Table.from_batches([_batch_of(rows)])
+
+    return run
 
 
 def _texts_of_runs(shards: int, length: int):
-    """Rows ``(shard, doc_id, th, start, end, n, data)``: removed ranges (n = 0), or packed distinct runs of a shard."""
+    """Rows ``(shard, kind, n, data)``: packed distinct runs of a shard (0), or removed ranges of a document shard (1)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, th = _doc_ids(batch.column(0)), batch.column(2).to_numpy()
-            data, offsets = _bytes_of(batch.column(1))
-            raw = data.tobytes()
-            cuts, marks = _flat_marks(batch.column(3))
-            doc = np.repeat(np.arange(len(ids)), np.diff(cuts))
-            order = np.argsort(ids[doc], kind="stable")
-            fits = marks["start"] + marks["size"] + length - 1 <= np.diff(offsets)[doc]
-            order = order[fits[order]]
-            first: dict[bytes, int] = {}
-            out_doc, out_start, out_end = [], [], []
-            kept: list[tuple[int, int, int, bytes]] = []
-            for k in order.tolist():
-                d, s, size = doc[k], int(marks["start"][k]), int(marks["size"][k])
-                base = int(offsets[d])
-                if marks["hot"][k]:
-                    pieces = [(None, s + j, 1, raw[base + s + j:base + s + j + length]) for j in range(size)]
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows or not found.num_rows:
+            return pa.Table.from_batches([_batch_of([])])
+        ids, th = _doc_ids(docs.column("doc_id").combine_chunks()), docs.column("th").to_numpy()
+        data, offsets = _bytes_of(docs.column("text").combine_chunks())
+        raw = data.tobytes()
+        value, row, start, size, hot = _unpack(found.column("n").to_pylist(), found.column("data").to_pylist())
+        by_id = np.argsort(ids, kind="stable")
+        low, high = np.searchsorted(ids[by_id], row, "left"), np.searchsorted(ids[by_id], row, "right")
+        count = high - low  # several rows may share an id
+        mark = np.repeat(np.arange(len(row)), count)
+        doc = by_id[np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))]
+        order = np.argsort(ids[doc], kind="stable")
+        fits = start[mark] + size[mark] + length - 1 <= np.diff(offsets)[doc]
+        order = order[fits[order]]
+        first: dict[bytes, int] = {}
+        gone: list[tuple[int, int, int]] = []
+        kept: list[tuple[int, int, int, bytes]] = []
+        picked = zip(doc[order].tolist(), ids[doc[order]].tolist(), offsets[doc[order]].tolist(), *(
+            x[mark[order]].tolist() for x in (value, start, size, hot)), strict=True)
+        for d, name, base, v, s, z, many in picked:
+            if many:
+                pieces = [(None, s + j, raw[base + s + j:base + s + j + length]) for j in range(z)]
+            else:
+                pieces = [(v, s, raw[base + s:base + s + z + length - 1])]
+            for v, s, text in pieces:
+                if first.setdefault(text, name) < name:
+                    gone.append((d, s, s + len(text)))
                 else:
-                    pieces = [(int(marks["value"][k]), s, size, raw[base + s:base + s + size + length - 1])]
-                for value, s, size, text in pieces:
-                    seen = first.setdefault(text, ids[d])
-                    if seen < ids[d]:
-                        out_doc.append(d)
-                        out_start.append(s)
-                        out_end.append(s + len(text))
-                    else:
-                        if value is None:
-                            value = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
-                        kept.append(((value >> 20) % shards, d, s, text))
-            kept.sort(key=lambda p: p[0])
-            rows = {n: [] for n in ("shard", "n", "data")}
-            at = 0
-            while at < len(kept):
-                to = at
-                while to < len(kept) and kept[to][0] == kept[at][0]:
-                    to += 1
-                part = kept[at:to]
-                d = np.array([p[1] for p in part])
-                rows["shard"].append(part[0][0])
-                rows["n"].append(len(part))
-                rows["data"].append(_pack(ids[d], th[d], np.array([p[2] for p in part], np.int32),
-                                          np.array([len(p[3]) for p in part], np.int32)) + b"".join(p[3] for p in part))
-                at = to
-            m, o = len(rows["shard"]), len(out_doc)
-            out_doc = np.array(out_doc, np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(rows["shard"] + (np.arange(o) % shards).tolist(), pa.int32()),
-                pa.array(np.append(np.zeros(m, np.int64), ids[out_doc])),
-                pa.array(np.append(np.zeros(m, np.int64), th[out_doc])),
-                pa.array([0] * m + out_start, pa.int32()), pa.array([0] * m + out_end, pa.int32()),
-                pa.array(rows["n"] + [0] * o, pa.int32()), pa.array(rows["data"] + [b""] * o, pa.binary()),
-            ], names=["shard", "doc_id", "th", "start", "end", "n", "data"])
+                    if v is None:
+                        v = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") & ~0xFFFF
+                    kept.append((v, d, s, text))
+        kept.sort(key=lambda p: p[0])
+        v, d, s = (np.array([p[j] for p in kept], k) for j, k in ((0, np.uint64), (1, np.int64), (2, np.int32)))
+        z = np.array([len(p[3]) for p in kept], np.int32)
+        rows = [(at, 0, len(k), b"".join((_planes(ids[d[k]]), _planes(th[d[k]]), _planes(s[k]), _planes(z[k]), *(kept[i][3] for i in k.tolist()))))
+                for at, k in _dealt(((v >> np.uint64(20)) % np.uint64(shards)).astype(np.int64), shards)]
+        ranges = np.array(gone, np.int64).reshape(-1, 3)
+        rows += _ranges_by_home(ids[ranges[:, 0]], th[ranges[:, 0]], ranges[:, 1], ranges[:, 2], shards)
+        return pa.Table.from_batches([_batch_of(rows)])
 
     return run
 
 
+def _ranges_by_home(ids, th, start, end, shards: int) -> list[tuple]:
+    """Rows (document shard, 1, n, data) of ranges, those that touch united."""
+    order = np.lexsort((start, th, ids))
+    ids, th, start, end = (x[order] for x in (ids, th, start, end))
+    if len(ids):
+        # within a document the largest end so far: shifting documents apart makes one running maximum do
+        doc = np.cumsum(np.append(0, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])))
+        reach = np.maximum.accumulate(end + doc * (1 << 32))
+        new = np.append(True, (start + doc * (1 << 32))[1:] > reach[:-1])
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(ids)) - 1
+        ids, th, start, end = ids[heads], th[heads], start[heads], reach[tails] - doc[tails] * (1 << 32)
+    return [(s, 1, len(k), b"".join((_planes(ids[k]), _planes(th[k]), _planes(start[k].astype(np.int32)), _planes(end[k].astype(np.int32)))))
+            for s, k in _dealt(_home(ids, shards), shards)]
+
+
+def _quads(ns, blobs) -> list[np.ndarray]:
+    """(document, hash, start, end or size) of packed rows."""
+    kinds = (np.int64, np.int64, np.int32, np.int32)
+    columns = [[np.zeros(0, k)] for k in kinds]
+    for n, data in zip(ns, blobs, strict=True):
+        at = 0
+        for kind, column in zip(kinds, columns, strict=True):
+            found, at = _from_planes(data, at, kind, n)
+            column.append(found)
+    return [np.concatenate(c) for c in columns]
+
+
 def sorted_suffixes(data: np.ndarray, depth: int) -> np.ndarray:
     """Suffix order of ``data`` by the first ``depth`` (or more) symbols, by prefix doubling; past the end counts as smallest."""
     n = len(data)
@@ -364,20 +400,20 @@ def repeats(texts: list[bytes], docs: np.ndarray, length: int) -> Iterator[tuple
         yield t, a - int(starts[t]), b - int(starts[t]) + length
 
 
-def _removed(length: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        known = frame[frame["n"] == 0][["doc_id", "th", "start", "end"]]
+def _removed(shards: int, length: int):
+    """Removed ranges of one shard of runs, packed for the documents' shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, n, data = (table.column(c).to_pylist() for c in ("kind", "n", "data"))
         # equal runs of several batches: the smallest document stands for them, the others go whole
         first: dict[bytes, tuple[int, ...]] = {}  # document, then hash and start of each place
         out: list[tuple[int, int, int, int]] = []
-        for n, data in zip(frame["n"], frame["data"], strict=True):
-            if not n:
+        for k, m, packed in zip(kind, n, data, strict=True):
+            if k == 1:
                 continue
-            ids, th = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n)
-            start, size = np.frombuffer(data, np.int32, n, 16 * n), np.frombuffer(data, np.int32, n, 20 * n)
-            at = 24 * n
-            for d, t, s, z in zip(ids.tolist(), th.tolist(), start.tolist(), size.tolist(), strict=True):
-                text = data[at:at + z]
+            at = 24 * m
+            for d, t, s, z in zip(*(x.tolist() for x in _quads([m], [packed])), strict=True):
+                text = packed[at:at + z]
                 at += z
                 old = first.get(text)
                 if old is None:
@@ -391,12 +427,13 @@ def _removed(length: int):
                     first[text] = (*old, t, s)
         if first:
             texts = list(first)
-            docs = np.array([first[t][0] for t in texts], np.int64)
-            for k, a, b in repeats(texts, docs, length):
+            for k, a, b in repeats(texts, np.array([first[t][0] for t in texts], np.int64), length):
                 places = first[texts[k]]
                 out.extend((places[0], places[j], places[j + 1] + a, places[j + 1] + b) for j in range(1, len(places), 2))
-        more = pd.DataFrame(out, columns=["doc_id", "th", "start", "end"])
-        return pd.concat([known, more]).astype({"doc_id": "int64", "th": "int64", "start": "int32", "end": "int32"})
+        found = np.array(out, np.int64).reshape(-1, 4)
+        rows = _ranges_by_home(found[:, 0], found[:, 1], found[:, 2], found[:, 3], shards)
+        rows += [(table.column("shard")[i].as_py(), 1, n[i], data[i]) for i, k in enumerate(kind) if k == 1]
+        return pa.Table.from_batches([_batch_of(rows)])
 
     return run
 
@@ -413,49 +450,50 @@ def _united(start: np.ndarray, end: np.ndarray, size: int) -> list[tuple[int, in
     return [(a, b) for a, b in out]
 
 
-def _digest_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = _bytes_of(batch.column(1))
-        raw = data.tobytes()
-        cuts, ranges = _flat_marks(batch.column(3))
-        removed, spans, digests = [], [], []
-        for i in range(batch.num_rows):
-            text = raw[offsets[i]:offsets[i + 1]]
-            gone = _united(ranges["start"][cuts[i]:cuts[i + 1]], ranges["end"][cuts[i]:cuts[i + 1]], len(text)) if cuts[i] < cuts[i + 1] else []
-            at, digest = 0, hashlib.sha256()
-            for a, b in gone:
-                digest.update(text[at:a])
-                at = b
-            digest.update(text[at:])
-            removed.append(sum(b - a for a, b in gone))
-            spans.append([{"start": a, "end": b} for a, b in gone])
-            digests.append(digest.hexdigest())
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()),
-            pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(digests, pa.string()),
-        ], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+def _cut_texts(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """The result rows of one shard of documents."""
+    ids, th = _doc_ids(docs.column("doc_id").combine_chunks()), docs.column("th").to_numpy()
+    data, offsets = _bytes_of(docs.column("text").combine_chunks())
+    raw = data.tobytes()
+    where: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for d, t, a, b in zip(*(x.tolist() for x in _quads(found.column("n").to_pylist(), found.column("data").to_pylist())), strict=True):
+        where.setdefault((d, t), []).append((a, b))
+    removed, spans, digests = [], [], []
+    for i, key in enumerate(zip(ids.tolist(), th.tolist(), strict=True)):
+        text = raw[offsets[i]:offsets[i + 1]]
+        gone = np.array(where.get(key, []), np.int64).reshape(-1, 2)
+        gone = _united(gone[:, 0], gone[:, 1], len(text)) if len(gone) else []
+        at, digest = 0, hashlib.sha256()
+        for a, b in gone:
+            digest.update(text[at:a])
+            at = b
+        digest.update(text[at:])
+        removed.append(sum(b - a for a, b in gone))
+        spans.append([{"start": a, "end": b} for a, b in gone])
+        digests.append(digest.hexdigest())
+    return pa.table({
+        "doc_id": pa.array(ids, mask=ids == NO_DOC), "n_bytes": pa.array(np.diff(offsets), pa.int64()),
+        "n_removed": pa.array(removed, pa.int64()),
+        "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        "kept_sha256": pa.array(digests, pa.string())})
 
 
 def removed_spans(documents: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept_sha256`` per row of ``documents(doc_id, text)``; spans are byte ranges."""
     if length < SEED + 2:
         raise ValueError(f"length must be at least {SEED + 2}")
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("th", F.xxhash64("text"))
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_DOC))).alias("doc_id"),
+                            F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    runs = docs.mapInArrow(_runs_of_batch(shards, length), "shard int, sure int, n int, data binary")
-    marks = runs.groupBy("shard").applyInPandas(_repeated, "doc_id long, th long, value long, start int, size int, hot boolean")
-    marks = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "size", "value", "hot")).alias("marks"))
-    keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_DOC))))
-    pieces = keyed.join(marks, ["doc_id", "th"]).select("doc_id", "text", "th", "marks").mapInArrow(
-        _texts_of_runs(shards, length), "shard int, doc_id long, th long, start int, end int, n int, data binary")
-    ranges = pieces.groupBy("shard").applyInPandas(_removed(length), "doc_id long, th long, start int, end int")
-    ranges = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    out = keyed.join(ranges, ["doc_id", "th"], "left").select("doc_id", "text", "th", "ranges").mapInArrow(
-        _digest_batch, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_DOC))))
+    packed = "shard int, kind int, n int, data binary"
+    homes = docs.select(_home_column(shards).alias("shard"), "doc_id", "text", F.xxhash64("text").alias("th"))
+    runs = docs.mapInArrow(_runs_of_batch(shards, length), packed)
+    marks = runs.groupBy("shard").applyInArrow(_repeated(shards), packed)
+    pieces = homes.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_texts_of_runs(shards, length), packed)
+    ranges = pieces.groupBy("shard").applyInArrow(_removed(shards, length), packed)
+    return homes.groupBy("shard").cogroup(ranges.groupBy("shard")).applyInArrow(
+        _cut_texts, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string")
 
 
 def digest(documents: DataFrame) -> DataFrame:
