@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriledger.llm import decontaminate, suffix_dedup, url_aliases, weighted_fingerprints
+from veriledger.llm import decontaminate, language_id, suffix_dedup, url_aliases, weighted_fingerprints
 
 
 def _table(spark, sf_dir, name):
@@ -21,9 +21,13 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_bitmask_filters(spark, sf_dir):
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_consistent_weighted_sampling(spark, sf_dir):
     return weighted_fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op5_benchmark_decontamination,
-                                   op9_consistent_weighted_sampling)}
+                                   op7_language_bitmask_filters, op9_consistent_weighted_sampling)}
