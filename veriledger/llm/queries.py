@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriledger.llm import decontaminate, language_id, suffix_dedup, url_aliases, weighted_fingerprints
+from veriledger.llm import decontaminate, language_id, near_duplicates, suffix_dedup, url_aliases, weighted_fingerprints
 
 
 def _table(spark, sf_dir, name):
@@ -29,5 +29,9 @@ def op9_consistent_weighted_sampling(spark, sf_dir):
     return weighted_fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op10_lsh_forest(spark, sf_dir):
+    return near_duplicates.groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op5_benchmark_decontamination,
-                                   op7_language_bitmask_filters, op9_consistent_weighted_sampling)}
+                                   op7_language_bitmask_filters, op9_consistent_weighted_sampling, op10_lsh_forest)}
