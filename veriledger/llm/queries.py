@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriledger.llm import decontaminate, language_id, near_duplicates, suffix_dedup, url_aliases, weighted_fingerprints
+from veriledger.llm import decontaminate, language_id, line_dedup, near_duplicates, suffix_dedup, url_aliases, weighted_fingerprints
 
 
 def _table(spark, sf_dir, name):
@@ -21,6 +21,10 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_cuckoo_line_dedup(spark, sf_dir):
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_bitmask_filters(spark, sf_dir):
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -34,4 +38,4 @@ def op10_lsh_forest(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op5_benchmark_decontamination,
-                                   op7_language_bitmask_filters, op9_consistent_weighted_sampling, op10_lsh_forest)}
+                                   op6_cuckoo_line_dedup, op7_language_bitmask_filters, op9_consistent_weighted_sampling, op10_lsh_forest)}
