@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriledger.llm import decontaminate, language_id, line_dedup, near_duplicates, suffix_dedup, url_aliases, weighted_fingerprints
+from veriledger.llm import decontaminate, language_id, line_dedup, near_duplicates, sentencepiece_codec, suffix_dedup, url_aliases, weighted_fingerprints
 
 
 def _table(spark, sf_dir, name):
@@ -29,6 +29,10 @@ def op7_language_bitmask_filters(spark, sf_dir):
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece_backend(spark, sf_dir):
+    return sentencepiece_codec.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_consistent_weighted_sampling(spark, sf_dir):
     return weighted_fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -38,4 +42,5 @@ def op10_lsh_forest(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op5_benchmark_decontamination,
-                                   op6_cuckoo_line_dedup, op7_language_bitmask_filters, op9_consistent_weighted_sampling, op10_lsh_forest)}
+                                   op6_cuckoo_line_dedup, op7_language_bitmask_filters, op8_sentencepiece_backend,
+                                   op9_consistent_weighted_sampling, op10_lsh_forest)}
