@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriledger.llm import decontaminate, language_id, line_dedup, near_duplicates, personal_data, sentencepiece_codec, suffix_dedup, url_aliases, weighted_fingerprints
+from veriledger.llm import decontaminate, language_id, line_dedup, near_duplicates, personal_data, sentencepiece_codec, suffix_dedup, toxicity_neighbours, url_aliases, weighted_fingerprints
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +17,10 @@ def op2_prefix_interval_dedup(spark, sf_dir):
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_neighbours(spark, sf_dir):
+    return toxicity_neighbours.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_offset_preserving_pii(spark, sf_dir):
     return personal_data.digest(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_lsh_forest(spark, sf_dir):
     return near_duplicates.groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op4_offset_preserving_pii, op5_benchmark_decontamination,
+QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op3_toxicity_neighbours,
+                                   op4_offset_preserving_pii, op5_benchmark_decontamination,
                                    op6_cuckoo_line_dedup, op7_language_bitmask_filters, op8_sentencepiece_backend,
                                    op9_consistent_weighted_sampling, op10_lsh_forest)}
