@@ -8,8 +8,10 @@ all documents.  A document's vector is (1 + ln tf) idf over these words, of leng
 The index keeps, for each word, its postings by blocks of ``BLOCK`` examples and the largest weight in
 each block.  The sum of these bounds every cosine of a block, so blocks are worked off by falling bound and
 the search for the ``K`` nearest ends when no bound exceeds the K-th cosine: exact, like a full scan.
-Neighbours vote with weight 1 / (distance + 0.1), corrected for the classes' sampling rates; a
-logistic curve fitted on the examples' own leave-one-out votes turns the vote into a probability.
+Neighbours vote with weight 1 / (distance + 0.1), corrected for the classes' sampling rates.  A
+logistic curve fitted on the examples' own leave-one-out votes turns the vote into a probability; since a
+cosine does not see how much evidence there is, the curve also takes the number of words found and their share
+of the text.
 
 The index is bounded by the number of examples and words, so it travels with the tasks.
 
@@ -70,17 +72,18 @@ def _frequency(vocabulary: dict[bytes, int]):
 
 
 class Index:
-    """Labelled unit vectors with block maxima; ``examples`` are (id, label, {term: tf})."""
+    """Labelled unit vectors with block maxima; ``examples`` are (id, label, {term: tf}, words)."""
 
-    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], rates: tuple[float, float]):
+    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int], int]], rates: tuple[float, float]):
         self.vocabulary, self.idf = vocabulary, idf
-        vectors = [self.vector(tf) for *_, tf in examples]
+        vectors = [self.vector(x[2]) for x in examples]
         # like examples share blocks: by their heaviest word, then the next
         order = sorted(range(len(examples)), key=lambda i: ([*vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3]], examples[i][0]))
         self.ids = np.array([examples[i][0] for i in order], np.int64)
         self.label = np.array([examples[i][1] for i in order], np.int64)
         self.importance = np.array(rates)[self.label] if len(order) else np.zeros(0)
         self.vectors = [vectors[i] for i in order]
+        amounts = [_amount(examples[i][2], examples[i][3]) for i in order]
         blocks = max(1, -(-len(order) // BLOCK))
         self.top = np.zeros((len(vocabulary), blocks))
         self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -95,16 +98,17 @@ class Index:
         mass, hit = self.importance.sum(), (self.importance * self.label).sum()
         self.base = hit / mass if mass else 0.0
         self.empty_rate = ((self.importance * self.label)[empty].sum() + self.base) / (self.importance[empty].sum() + 1.0) if mass else 0.0
-        self.curve = self._calibrated()
+        self.curve = self._calibrated(amounts)
 
     def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(tf), np.int64)
         weights = np.array([1 + np.log(tf[t]) for t in terms.tolist()]) * self.idf[terms] if len(terms) else np.zeros(0)
         return terms, weights / np.sqrt((weights ** 2).sum()) if len(terms) else weights
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        known = self.vocabulary
-        return Counter(known[w] for w in words_of(text) if w in known)
+    def counts(self, text: str | None) -> tuple[dict[int, int], int]:
+        """({term: tf}, words of the text)."""
+        known, words = self.vocabulary, words_of(text)
+        return Counter(known[w] for w in words if w in known), len(words)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the ``k`` nearest with a positive cosine, nearest first; ``without`` is left out."""
@@ -131,35 +135,41 @@ class Index:
         weight = self.importance[who] / (1.1 - np.minimum(cosine, 1.0))
         return float(((weight * self.label[who]).sum() + self.base) / (weight.sum() + 1.0))
 
-    def _calibrated(self) -> tuple[float, float]:
-        """Slope and intercept of the logistic curve over log-odds of leave-one-out votes."""
+    def _calibrated(self, amounts: list[tuple[float, float]]) -> np.ndarray:
+        """Logistic coefficients of the log-odds of leave-one-out votes, of the two amounts, and of 1."""
+        start = np.array([1.0, 0.0, 0.0, 0.0])
         rows = [i for i, v in enumerate(self.vectors) if len(v[0])]
         if not rows or not 0 < self.base < 1:
-            return 1.0, 0.0
-        odds = np.array([_log_odds(self.vote(*self.nearest(*self.vectors[i], without=i))) for i in rows])
+            return start
+        x = np.array([(_log_odds(self.vote(*self.nearest(*self.vectors[i], without=i))), *amounts[i], 1.0) for i in rows])
         y, w = self.label[rows], self.importance[rows] / self.importance[rows].mean()
-        x = np.stack([odds, np.ones(len(odds))], 1)
-        beta, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
-        for _ in range(50):  # Newton steps, drawn a little to the uncalibrated vote
+        beta = start
+        for _ in range(100):  # Newton steps, drawn a little to the uncalibrated vote
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (w * (y - p)) - (beta - prior))
-            beta = beta + np.clip(step, -2, 2)
+            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.eye(4), x.T @ (w * (y - p)) - (beta - start))
+            beta = beta + np.clip(step, -1, 1)
             if np.abs(step).max() < 1e-9:
                 break
-        return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
+        return beta
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
         """(probability, nearest examples, their cosines)."""
-        tf = self.counts(text)
+        tf, n = self.counts(text)
         if not tf:
             return self.empty_rate, np.zeros(0, np.int64), np.zeros(0)
         who, cosine = self.nearest(*self.vector(tf))
         if not len(who):
             return self.empty_rate, who, cosine
-        z = self.curve[0] * _log_odds(self.vote(who, cosine)) + self.curve[1]
+        z = float(self.curve @ np.array([_log_odds(self.vote(who, cosine)), *_amount(tf, n), 1.0]))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), who, cosine
 
 
+def _amount(tf: dict[int, int], words: int) -> tuple[float, float]:
+    """Logarithms of the number of known words in a text and of their share."""
+    n = sum(tf.values())
+    return (float(np.log(n)), float(np.log(n / words))) if n else (0.0, 0.0)
+
+
 def _log_odds(p: float) -> float:
     p = min(max(p, 1e-6), 1 - 1e-6)
     return float(np.log(p / (1 - p)))
@@ -190,17 +200,19 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
         for t, m in found:  # one row per word of the vocabulary
             seen[t] = m
     idf = np.log((1 + documents.count()) / (1 + seen)) + 1
-    rows: list[tuple[int, int, dict[int, int]]] = []
+    rows: list[tuple[int, int, dict[int, int], int]] = []
     if words:
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                tfs = [Counter(vocabulary[w] for w in words_of(t) if w in vocabulary) for t in batch.column(0).to_pylist()]
+                words = [words_of(t) for t in batch.column(0).to_pylist()]
+                tfs = [Counter(vocabulary[w] for w in ws if w in vocabulary) for ws in words]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(2), batch.column(1), pa.array([list(t) for t in tfs], pa.list_(pa.int32())),
-                    pa.array([list(t.values()) for t in tfs], pa.list_(pa.int32()))], names=["doc_id", "toxic", "term", "tf"])
+                    pa.array([list(t.values()) for t in tfs], pa.list_(pa.int32())), pa.array([len(ws) for ws in words], pa.int32())],
+                    names=["doc_id", "toxic", "term", "tf", "words"])
 
-        rows = [(r[0], int(r[1] == 1), dict(zip(r[2], r[3], strict=True)))
-                for r in sample.mapInArrow(vectors, "doc_id long, toxic int, term array<int>, tf array<int>").collect()]
+        rows = [(r[0], int(r[1] == 1), dict(zip(r[2], r[3], strict=True)), r[4])
+                for r in sample.mapInArrow(vectors, "doc_id long, toxic int, term array<int>, tf array<int>, words int").collect()]
         rows.sort(key=lambda r: (r[0], sorted(r[2].items())))
     all1, all0 = total.get(1, 0), sum(v for k, v in total.items() if k != 1)
     index = Index(vocabulary, idf, rows, (all0 / n0 if n0 else 0.0, all1 / n1 if n1 else 0.0))
