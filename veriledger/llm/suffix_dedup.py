@@ -29,12 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 50
 SEED = 20
 SHARD_BYTES = 12 << 20
+PIECE_BYTES = 2 << 20
 HOT = 20_000
 CHUNK = 1 << 20
 NO_DOC = np.iinfo(np.int64).min
@@ -233,8 +235,8 @@ def _repeated(shards: int):
     return run
 
 
-def _texts_of_runs(shards: int, length: int):
-    """Rows ``(shard, kind, n, data)``: packed distinct runs of a shard (0), or removed ranges of a document shard (1)."""
+def _texts_of_runs(shards: int, cells: int, length: int):
+    """Rows ``(shard, kind, n, data)``: packed distinct runs for one of ``cells`` (0), or removed ranges of a document shard (1)."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows or not found.num_rows:
@@ -271,8 +273,10 @@ def _texts_of_runs(shards: int, length: int):
         kept.sort(key=lambda p: p[0])
         v, d, s = (np.array([p[j] for p in kept], k) for j, k in ((0, np.uint64), (1, np.int64), (2, np.int32)))
         z = np.array([len(p[3]) for p in kept], np.int32)
-        rows = [(at, 0, len(k), b"".join((_planes(ids[d[k]]), _planes(th[d[k]]), _planes(s[k]), _planes(z[k]), *(kept[i][3] for i in k.tolist()))))
-                for at, k in _dealt(((v >> np.uint64(20)) % np.uint64(shards)).astype(np.int64), shards)]
+        press = zstandard.ZstdCompressor(level=3)
+        rows = [(at, 0, len(k), b"".join((_planes(ids[d[k]]), _planes(th[d[k]]), _planes(s[k]), _planes(z[k]),
+                                          press.compress(b"".join([kept[i][3] for i in k.tolist()])))))
+                for at, k in _dealt(((v >> np.uint64(20)) % np.uint64(cells)).astype(np.int64), cells)]
         ranges = np.array(gone, np.int64).reshape(-1, 3)
         rows += _ranges_by_home(ids[ranges[:, 0]], th[ranges[:, 0]], ranges[:, 1], ranges[:, 2], shards)
         return pa.Table.from_batches([_batch_of(rows)])
@@ -408,12 +412,13 @@ def _removed(shards: int, length: int):
         # equal runs of several batches: the smallest document stands for them, the others go whole
         first: dict[bytes, tuple[int, ...]] = {}  # document, then hash and start of each place
         out: list[tuple[int, int, int, int]] = []
+        press = zstandard.ZstdDecompressor()
         for k, m, packed in zip(kind, n, data, strict=True):
             if k == 1:
                 continue
-            at = 24 * m
+            at, whole = 0, press.decompress(packed[24 * m:])
             for d, t, s, z in zip(*(x.tolist() for x in _quads([m], [packed])), strict=True):
-                text = packed[at:at + z]
+                text = whole[at:at + z]
                 at += z
                 old = first.get(text)
                 if old is None:
@@ -486,11 +491,12 @@ def removed_spans(documents: DataFrame, length: int = LENGTH, shard_bytes: int =
                             F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
+    cells = max(1, -(-total // PIECE_BYTES))
     packed = "shard int, kind int, n int, data binary"
     homes = docs.select(_home_column(shards).alias("shard"), "doc_id", "text", F.xxhash64("text").alias("th"))
     runs = docs.mapInArrow(_runs_of_batch(shards, length), packed)
     marks = runs.groupBy("shard").applyInArrow(_repeated(shards), packed)
-    pieces = homes.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_texts_of_runs(shards, length), packed)
+    pieces = homes.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_texts_of_runs(shards, cells, length), packed)
     ranges = pieces.groupBy("shard").applyInArrow(_removed(shards, length), packed)
     return homes.groupBy("shard").cogroup(ranges.groupBy("shard")).applyInArrow(
         _cut_texts, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string")
