@@ -122,23 +122,20 @@ class CuckooFilter:
     def remove(self, keys: np.ndarray) -> None:
         """Take out keys that were added."""
         prints, one = self._prints(keys)
-        for bucket in (one, self._other(one, prints)):
+        for turn in (0, 1):  # first from the key's own bucket, what is not there from the other one
             while len(prints):
+                bucket = self._other(one, prints) if turn else one
                 hit = self.slots[bucket] == prints[:, None]
-                found = hit.any(1)
                 slot = hit.argmax(1)
                 # two keys may point at one slot: the first takes it, the other looks again
-                _, first = np.unique(bucket * SLOTS + slot, return_index=True)
+                _, first = np.unique(np.where(hit.any(1), bucket * SLOTS + slot, -1 - np.arange(len(prints))), return_index=True)
                 mine = np.zeros(len(prints), bool)
                 mine[first] = True
-                mine &= found
+                mine &= hit.any(1)
                 if not mine.any():
                     break
                 self.slots[bucket[mine], slot[mine]] = 0
-                prints, bucket, one = prints[~mine], bucket[~mine], one[~mine]
-            bucket = one
-            if not len(prints):
-                return
+                prints, one = prints[~mine], one[~mine]
 
 
 @dataclass
@@ -277,14 +274,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def apply(index: Index, documents: DataFrame, min_docs: int = MIN_DOCS, carry: list[str] | None = None) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept, kept_sha256`` (and the columns named in ``carry``) per row of documents in the index."""
+    """``doc_id, n_lines, n_dropped, kept, kept_sha256`` per row of documents in the index; the columns named in ``carry`` follow as ``carry_0``, ..."""
     frequent = index.counts.where(F.col("n_docs") >= min_docs).select("key", "max_doc")
     drops = index.refs.join(frequent, "key").where("doc_id != max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("drops"))
-    docs = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
-    carry = carry or []
-    rows = docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops", *carry)
-    types = dict(docs.dtypes)
-    schema = "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string" + "".join(f", `{c}` {types[c]}" for c in carry)
+    kinds = dict(documents.dtypes)
+    rest = {f"carry_{i}": c for i, c in enumerate(carry or [])}
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for n, c in rest.items()])
+    rows = docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops", *rest)
+    schema = "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string" + "".join(f", {n} {kinds[c]}" for n, c in rest.items())
     return rows.mapInArrow(_cut, schema)
 
 
@@ -297,7 +294,8 @@ def drop_lines(documents: DataFrame) -> DataFrame:
     """The documents without their repeated lines; ``n_chars`` follows the new text, other columns stay."""
     index = insert(empty_index(documents.sparkSession), documents)
     rest = [c for c in documents.columns if c not in ("doc_id", "text")]
-    out = apply(index, documents, carry=rest).withColumnRenamed("kept", "text")
+    out = apply(index, documents, carry=rest)
+    values = {c: F.col(f"carry_{i}") for i, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
     if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
-    return out.select(*documents.columns)
+        values["n_chars"] = F.length("kept").cast(dict(documents.dtypes)["n_chars"])
+    return out.select(*[values[c].alias(c) for c in documents.columns])
