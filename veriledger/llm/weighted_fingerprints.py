@@ -141,14 +141,15 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     rows = edited_texts(docs, ring)
     keys = ["place", "doc_id", "pos"]
     prints = signatures(rows, keys, "text", "edited")
-    # written once: both the neighbours and the heads of places read the signatures
-    prints = materialise(prints).select(*keys, F.struct(F.col("text").alias("p")).alias("own"), F.col("edited").alias("other"))
-    prints = _with_next(prints.withColumnRenamed("pos", "nr"), ring, ["doc_id", "nr"], "own").drop("nr")
     facts = rows.select(*keys, F.col("n_chars").cast("long").alias("n_chars"), sha256_of(F.col("edited")).alias("edited_sha256"))
     same = (F.col("f.place") == F.col("p.place")) & F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("f.pos") == F.col("p.pos"))
-    out = facts.alias("f").join(prints.alias("p"), same)
+    found = facts.alias("f").join(prints.alias("p"), same).select(
+        *[F.col(f"f.{k}") for k in keys[:2]], F.col("f.pos").alias("nr"), "n_chars", "edited_sha256",
+        F.struct(F.col("p.text").alias("p")).alias("own"), F.col("p.edited").alias("other"))
+    # written once, in the job that shuffles the texts: neighbours and the heads of places read it
+    out = _with_next(materialise(found), ring, ["doc_id", "nr"], "own")
     own, other = F.col("own.p"), F.col("other")
     return out.select(
-        F.col("f.doc_id").alias("doc_id"), "n_chars", "edited_sha256", as_text(own).alias("fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"),
         as_text(other).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"),
         likeness(own, F.col("next.p")).alias("near_next"))
