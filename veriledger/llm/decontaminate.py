@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriledger.llm.common import lower_ascii, sha256_of
+from veriledger.llm.common import drop_ids, lower_ascii, materialise, sha256_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 10
@@ -95,5 +95,4 @@ def digest(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Documents without a benchmark window, all columns kept; a document id goes if any of its rows is hit."""
-    bad = report(documents, items).where("contaminated").select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    return drop_ids(documents, materialise(report(documents, items).where("contaminated").select("doc_id").distinct()))

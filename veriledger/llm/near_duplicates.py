@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriledger.llm.common import connected_components, materialise
+from veriledger.llm.common import connected_components, drop_ids, join_ids, materialise
 
 WORDS = 5
 PERCENT = 85
@@ -272,10 +272,10 @@ def groups(documents: DataFrame) -> DataFrame:
     entries = entries.select("tree", F.substring("forest", F.col("tree") * width + 1, F.lit(width)).alias("sig"), "doc_id", "bits")
     likely = entries.repartitionByRange("tree", "sig", "doc_id").sortWithinPartitions("tree", "sig", "doc_id").mapInArrow(
         _likely_links, "a long, b long")
-    rough = materialise(connected_components(likely.distinct()))
+    rough = connected_components(likely.distinct())
     sizes = rough.groupBy("component").agg((F.count(F.lit(1)) > BLOCK).alias("big"))
     members = rough.join(sizes, "component").select("component", "big", F.col("node").alias("doc_id"))
-    texts = docs.join(members, "doc_id").select("component", "big", "doc_id", "text")
+    texts = join_ids(docs, materialise(members)).select("component", "big", "doc_id", "text")
     sets = texts.mapInArrow(_full_sets, "component long, tree int, cell binary, sig binary, doc_id long, data binary")
     links = sets.repartition("component", "tree", "cell").sortWithinPartitions("component", "tree", "cell", "sig").mapInArrow(
         _confirm, "a long, b long")
@@ -289,5 +289,4 @@ def groups(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents that stand for their group, all columns kept."""
-    gone = groups(documents).where("not kept").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    return drop_ids(documents, materialise(groups(documents).where("not kept").select("doc_id").distinct()))
