@@ -111,28 +111,6 @@ def test_multiset_keeps_multiplicity(spark):
     assert {(r.only_in, r.x, r.n) for r in history.multiset_diff(a, b).collect()} == {("stored", 1, 1), ("recomputed", 3, 1)}
 
 
-def test_transplants_match_brute_force(spark):
-    rng = random.Random(4)
-    methods = {4: ["http_range"], 6: ["repo_tree_probe"], 12: ["hf_probe.weight_object"], 1: ["grep_retrieved"], 2: ["grep_retrieved"]}
-    rows = []
-    for s in range(6):
-        for axis, ms in methods.items():
-            score = rng.choice([1, 2])
-            method = None if score == 1 and rng.random() < 0.3 else ms[0]
-            u, p = rng.randint(0, 2), f"{method}{rng.randint(0, 1)}"
-            rows.append((s, axis, score, f"u{u}", f"e{u}{rng.randint(0, 1)}", p, f"{p}{rng.randint(0, 1)}", 0, method, True, f"{s % 2}{p}"))
-    rows = [r[:7] + (int(r[6][-1]),) + r[8:] for r in rows]
-    schema = ("subject int, axis int, score int, urls_key string, evidence_key string, policy_key string, check_key string, artifacts int, "
-              "method string, replays boolean, moved_key string")
-    got = {(r["mode"], r.band): r for r in mutation.transplant_sweep(spark.createDataFrame(rows, schema)).collect()}
-    for band in ("intra", "cross"):
-        pairs = [(a, b) for a in rows for b in rows if a is not b and (a[0] == b[0]) == (band == "intra")]
-        mode = got[("evidence and check", band)]
-        vac = [(a[4], a[6]) == (b[4], b[6]) for a, b in pairs]
-        srv = [(a[3], a[5]) == (b[3], b[5]) and (a[2] == 1 or a[7] == b[7]) and not v for (a, b), v in zip(pairs, vac)]
-        assert (mode.generated, mode.vacuous, mode.survived) == (len(pairs), sum(vac), sum(srv))
-
-
 def test_mutations_of_expectations(spark):
     blobs = spark.createDataFrame([("h1", "alpha beta"), ("h2", "gamma")], "sha256 string, body string")
     cites = spark.createDataFrame([(1, "h1"), (1, "h2"), (2, "h2")], "cell int, sha256 string")

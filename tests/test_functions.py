@@ -54,7 +54,7 @@ def test_sha256_lookalikes(spark):
 def test_walls(spark):
     manual = "Sign in to continue. " + "documentation " * 1000
     gate = "Please log in " + "x" * 100
-    challenge = "checking your browser " + "x" * 9000
+    challenge = "x" * 30000 + " checking your browser"
     pointer = "version https://git-lfs.github.com/spec/v1\noid sha256:" + "a" * 64 + "\nsize 12\n"
     got = column(spark, [manual, gate, challenge, pointer, "short"], lambda c: content.classify_wall(c, F.lit("200")))
     assert got == [None, "gate:please log in", "challenge:checking your browser", None, "too-small"]

@@ -1,5 +1,7 @@
 """Every rule: a baseline that must pass, then one corruption that it must catch."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,7 @@ CASES = [
     ("V2", lambda r: r["superseded"].append(("s", "host:nowhere", 1, "x", []))),
     ("V3", lambda r: r["superseded"].append(("s", SOURCE, 1, "x", [2, 3, 4, 5]))),
     ("V4", bound(bound_as_of="last week")),
+    ("V4", corrupt(check_fields={"expect": "given", "as_of": "soon"})),
     ("V5", lambda r: r["subjects"].append(("s", "open-weights", "o/r"))),
     ("V6", corrupt(axis=99)),
     ("V7", corrupt(subject="ghost")),
@@ -88,6 +91,7 @@ CASES = [
     ("V9", corrupt(score=3)),
     ("V10", corrupt(score=None, na_reason="because")),
     ("V11", lambda r: r["cells"][11].update(score=None, na_reason=" ")),
+    ("V11", lambda r: r["cells"][11].update(score=None, na_reason="\t\n")),
     ("V12", lambda r: r["evidence"].pop(0)),
     ("V13", evid(url="ftp://example.org/a1")),
     ("V14", evid(retrieved="2026-99-99")),
@@ -182,3 +186,49 @@ def test_user_rule_registration(spark, clean):
         assert validation.validate(clean).filter("rule = 'X1'").count() == 22
     finally:
         validation.RULES.pop("X1")
+
+
+def details(led, rule):
+    return sorted(r.detail for r in validation.RULES[rule](led).collect())
+
+
+def test_every_value_of_a_broken_dependency_is_reported(spark):
+    r = rows()
+    for i in (1, 2):
+        r["evidence"].append({**r["evidence"][0], "pos": i, "sha256": f"{90 + i:064x}", "volatile": i == 1})
+    led = build(spark, r)
+    assert details(led, "V29") == sorted(f"{URL.format(1)} {n:064x}" for n in (1, 91, 92))
+    assert details(led, "V40") == sorted(f"{URL.format(1)} {f}" for f in ("None", "true", "false"))
+
+
+def test_every_later_duplicate_and_every_owner(spark):
+    r = rows()
+    r["cells"] += [{**r["cells"][0], "cell_no": n} for n in (98, 99)]
+    r["sources"] += [("t", "host:other.org"), ("u", "host:other.org")]
+    r["evidence"][0]["url"] = "https://other.org/a1"
+    led = build(spark, r)
+    assert details(led, "V8") == ["98 after 1", "99 after 1"]
+    assert details(led, "V32") == ["host:other.org of t", "host:other.org of u"]
+
+
+def test_empty_lists_of_the_policy(spark):
+    r = rows()
+    r["policy"] = [p for p in r["policy"] if p[1] != 1 or p[2] not in ("axis_sources", "axis_documents")]
+    r["policy"] += [("s", 1, "axis_sources", None), ("s", 1, "axis_documents", None)]
+    r["superseded"].append(("s", SOURCE, 1, "x", [2, 3, 4, 5]))
+    r["evidence"].pop(0)
+    led = build(spark, r)
+    assert {(x.axis, x.detail) for x in validation.RULES["V3"](led).collect()} == {(1, SOURCE)}  # falls back to the subject's sources
+    assert ownership.ownership_rule(led, "O4").filter("axis = 1").isEmpty()
+
+
+def test_bad_ledger_date_is_a_defect(spark):
+    led = dataclasses.replace(build(spark, rows()), as_of="first of June")
+    found = validation.validate(led)
+    assert ("V4", "first of June") in {(x.rule, x.detail) for x in found.collect()} and not validation.scoreable(found)
+
+
+def test_ownership_is_part_of_validation(spark):
+    r = rows()
+    r["policy"].remove(("s", 1, "axis_method", "grep_retrieved"))
+    assert {x.rule for x in validation.validate(build(spark, r)).collect()} == {"O5"}

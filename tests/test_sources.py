@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import os
 
 import pytest
 
@@ -44,8 +45,11 @@ def test_gzip_store(spark, tmp_path):
     digest = hashlib.sha256(body).hexdigest()
     (tmp_path / f"{digest}.gz").write_bytes(gzip.compress(body))
     (tmp_path / f"{'b' * 64}.gz").write_bytes(b"not gzip")
-    got = {r.sha256: r.body for r in blobs.read_gzip_store(spark, str(tmp_path)).collect()}
-    assert bytes(got[digest]) == body and got["b" * 64] is None
+    large = os.urandom(9 << 20)
+    (tmp_path / f"{'c' * 64}.gz").write_bytes(gzip.compress(large))
+    got = {r.sha256: (r.body, r.status) for r in blobs.read_gzip_store(spark, str(tmp_path)).collect()}
+    assert bytes(got[digest][0]) == body and got["b" * 64] == (None, "corrupt")
+    assert bytes(got["c" * 64][0]) == large and got["c" * 64][1] == got[digest][1] == "ok"
 
 
 def test_store_is_idempotent(spark, tmp_path):

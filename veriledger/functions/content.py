@@ -17,11 +17,7 @@ SOFT_MARKERS = [
     "you need to agree", "accept the license", "gated repo", "authorization required",
     "request access", "403 forbidden", "rate limit", "captcha",
 ]
-GATE_HEAD_CHARS = 20000
-SOFT_MAX_BYTES = 4096
-MIN_DOCUMENT_BYTES = 64
 THROTTLE_PHRASES = ["rate limit", "abuse detection"]
-THROTTLE_HEAD_CHARS = 2000
 POINTER_PREFIX = "version https://git-lfs.github.com/spec/v1"
 WEIGHT_MAGIC = ["7B", "504B", "80"]
 SHA256 = "^[0-9a-f]{64}$"
@@ -54,7 +50,8 @@ def is_absent(value: Column, shape: str = "scalar") -> Column:
 
 
 def is_blank(value: Column) -> Column:
-    return F.coalesce(F.trim(value), F.lit("")) == ""
+    """Null, empty or white space of any kind."""
+    return F.coalesce(F.regexp_replace(value, r"^\s+", ""), F.lit("")) == ""
 
 
 def range_length(spec: Column) -> Column:
@@ -71,26 +68,31 @@ def is_pointer(body: Column) -> Column:
     return F.startswith(F.regexp_replace(body, r"^\s+", ""), F.lit(POINTER_PREFIX))
 
 
-def classify_wall(body: Column, status: Column) -> Column:
-    """Why a retrieved body is not the document, or null when it is."""
+def classify_wall(body: Column, status: Column, page_bytes: int = 4096, least_bytes: int = 64) -> Column:
+    """Why a retrieved body is not the document, or null when it is.
+
+    The whole body is searched.  Two sizes are part of the classification: a body below
+    ``least_bytes`` is no document, and the softer markers count only in a page of at most
+    ``page_bytes``, because a manual may well mention signing in.
+    """
     size = F.octet_length(body)
-    head = F.lower(F.substring(body, 1, GATE_HEAD_CHARS))
-    hard = _first_marker(head, HARD_MARKERS)
-    soft = _first_marker(head, SOFT_MARKERS)
+    low = F.lower(body)
+    hard = _first_marker(low, HARD_MARKERS)
+    soft = _first_marker(low, SOFT_MARKERS)
     return (
         F.when(~status.eqNullSafe("200"), F.concat(F.lit("http:"), F.coalesce(status, F.lit("none"))))
         .when(is_pointer(body), F.lit(None))
-        .when(size < MIN_DOCUMENT_BYTES, F.lit("too-small"))
+        .when(size < least_bytes, F.lit("too-small"))
         .when(hard.isNotNull(), F.concat(F.lit("challenge:"), hard))
-        .when((size <= SOFT_MAX_BYTES) & soft.isNotNull(), F.concat(F.lit("gate:"), soft))
+        .when((size <= page_bytes) & soft.isNotNull(), F.concat(F.lit("gate:"), soft))
     )
 
 
 def is_throttled(status: Column, body: Column) -> Column:
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, THROTTLE_HEAD_CHARS))
+    low = F.lower(F.coalesce(body, F.lit("")))
     refused = F.lit(False)
     for phrase in THROTTLE_PHRASES:
-        refused = refused | F.contains(head, F.lit(phrase))
+        refused = refused | F.contains(low, F.lit(phrase))
     return F.coalesce(status.isin("429", "503") | ((status == "403") & refused), F.lit(False))
 
 
@@ -186,9 +188,9 @@ def render_note(axis: Column, name: Column, hit: Column, totals: Column, n_candi
                 n_screened: Column, rationale: Column) -> Column:
     """The narrative of a searched cell: what was run, what was found, what bounds it."""
     word = registry.lookup(registry.HIT_AXES, axis)
-    head = F.when(
-        hit, F.concat(F.lit("An independent "), word, F.lit(" reproduction report WAS found."))
-    ).otherwise(F.concat(F.lit("No independent "), word, F.lit(" reproduction report was identified.")))
+    head = F.when(hit, F.concat(F.lit("Found: a third party reports a "), word, F.lit(" reproduction."))).otherwise(
+        F.concat(F.lit("Nothing found: no third party reports a "), word, F.lit(" reproduction."))
+    )
     body = F.format_string(
         " Searched for '%s' (hits %s): %d distinct candidates, %d kept by the sentence screen. %s",
         name, totals, n_candidates, n_screened, F.coalesce(rationale, F.lit("No adjudication recorded.")),

@@ -69,7 +69,7 @@ def grep_all_in_one(checks: DataFrame, cites: DataFrame, blobs: DataFrame) -> Da
     )
     joined = checks.join(_archived(cites, blobs), "cell", "left").join(some_doc, "cell", "left").join(lost, "cell", "left")
     n_cited = F.coalesce("n_cited", F.lit(0))
-    short = F.exists("literals", lambda x: F.length(F.trim(x)) < registry.MIN_LITERAL_CHARS)
+    short = F.exists("literals", lambda x: F.length(F.regexp_replace(x, r"^\s+|\s+$", "")) < registry.MIN_LITERAL_CHARS)
     reason = _first(
         (content.is_absent(F.col("literals"), "container"), "nothing expected"),
         (short, "literal too short"),
@@ -294,7 +294,7 @@ def all_shard_digests(claims: DataFrame, shards: DataFrame, pointers: DataFrame)
     )
     reason = F.when(F.coalesce("expect_shards", F.lit(0)) == 0, "nothing expected").when(
         F.coalesce("n_shards", F.lit(0)) != F.col("expect_shards"), "shard count differs"
-    ).otherwise(F.nullif(F.array_join(F.slice(problems, 1, 3), "; "), F.lit("")))
+    ).otherwise(F.nullif(F.array_join(problems, "; "), F.lit("")))
     return joined.select("cell", reason.alias("reason")).withColumn("verdict", _verdict())
 
 

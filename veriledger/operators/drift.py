@@ -86,9 +86,9 @@ def drift_run_record(report: DataFrame, cited: DataFrame, at: str) -> DataFrame:
     return counts.select(F.lit(at).alias("at"), "*", (F.col("n_limited") == 0).alias("complete"), covered.alias("covered"))
 
 
-def keep_last_runs(runs: DataFrame, order: str = "at", kept: int = registry.RUNS_KEPT) -> DataFrame:
-    """The most recent runs (the log's retention, a top-k)."""
-    return runs.orderBy(F.desc(order)).limit(kept)
+def keep_last_runs(runs: DataFrame, order: str = "at", n: int = 1) -> DataFrame:
+    """A view of the most recent ``n`` runs; the log itself keeps every run."""
+    return runs.orderBy(F.desc(order)).limit(n)
 
 
 def volatile_by_double_observation(observations: DataFrame) -> DataFrame:

@@ -1,137 +1,11 @@
-"""How many corrupted ledgers the rules would catch.
-
-The transplant population is every ordered pair of non-zero cells.  It is counted, never
-built: two cells can exchange a block unnoticed only when they agree on what the rules
-compare, so the survivors of each mode are pairs inside groups of equal keys, and the
-number of pairs of a group follows from its size.
-"""
+"""How many corrupted checks the content rules would catch: every mutant is run through the real rule."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriledger.functions.digests import close_digest, digest_sums, row_digest
 from veriledger.operators import content_checks
-from veriledger.sources import registry
-
-MODES = ["evidence only", "check only", "evidence and check", "with the policy moved too"]
-
-
-def evidence_keys(evidence: DataFrame) -> DataFrame:
-    """Per cell: a key of its cited addresses and a key of its whole evidence block."""
-    hashed = evidence.select(
-        "subject", "axis", row_digest(F.col("url")).alias("u"),
-        row_digest(F.col("url"), F.col("sha256"), F.col("retrieved")).alias("e"),
-    )
-    summed = hashed.groupBy("subject", "axis").agg(
-        F.count(F.lit(1)).alias("n"), *digest_sums(F.col("u"), "u"), *digest_sums(F.col("e"), "e")
-    )
-    return summed.select(
-        "subject", "axis", close_digest(F.col("n"), "u").alias("urls_key"), close_digest(F.col("n"), "e").alias("evidence_key")
-    )
-
-
-# what two cells must agree on, by family of pairs
-FAMILIES = {
-    "any": [], "e": ["evidence_key"], "c": ["check_key"], "ec": ["evidence_key", "check_key"],
-    "ecm": ["evidence_key", "check_key", "moved_key"], "u": ["urls_key"], "p": ["policy_key"], "up": ["urls_key", "policy_key"],
-    "pa": ["policy_key", "artifacts"], "upa": ["urls_key", "policy_key", "artifacts"],
-}
-
-
-def _pair_counts(keys: DataFrame) -> DataFrame:
-    """Ordered pairs (destination, source) of equal cells, for every family, in one pass.
-
-    One row per band ('all', 'intra' = same subject) with ``<family>_n`` pairs, and
-    ``<family>_1`` / ``<family>_2`` those whose destination is asserted / verified.  Each cell
-    gives one row per family and band; the counts combine map-side, so a key shared by a
-    third of all cells costs no more than any other.
-    """
-    entries = []
-    for band, subject in (("all", []), ("intra", ["subject"])):
-        for family, columns in FAMILIES.items():
-            key = F.to_json(F.struct(F.lit(0).alias("k"), *subject, *columns))
-            entries.append(F.struct(F.lit(band).alias("band"), F.lit(family).alias("family"), key.alias("key")))
-    sizes = keys.select("score", F.explode(F.array(*entries)).alias("g")).groupBy("g.band", "g.family", "g.key").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") == 1).alias("n1"), F.count_if(F.col("score") == 2).alias("n2")
-    )
-    others = F.col("n") - 1
-    return sizes.groupBy("band").agg(*[
-        F.coalesce(F.sum(F.when(F.col("family") == f, F.col(w) * others)), F.lit(0)).alias(f"{f}_{tag}")
-        for f in FAMILIES for tag, w in (("n", "n"), ("1", "n1"), ("2", "n2"))
-    ])
-
-
-def _moved_passes() -> tuple[Column, Column]:
-    """Does (axis, score, method) pass once the policy moved, and does its check also run?"""
-    axis, score, method = F.col("axis"), F.col("score"), F.col("method")
-    suits = registry.has_executor(method) & registry.is_permitted(method, axis)
-    required = registry.required_method(axis)
-    bound = required.isNull() | (required == method)
-    passes = F.when(score == 1, (method == "") | suits).otherwise(suits & bound)
-    return passes, F.when(score == 1, passes).otherwise(passes & F.col("replays"))
-
-
-def _moved_pairs(keys: DataFrame) -> DataFrame:
-    """Pairs that pass when the policy moves along: the source's method must suit the axis."""
-    cells = keys.withColumn("method", F.coalesce("method", F.lit("")))
-    asserted = F.col("score") == 1
-    passes, runs = _moved_passes()
-    measures = {"reached": passes, "reached_1": passes & asserted, "ran": runs, "ran_1": runs & asserted}
-    # a cell is not its own source
-    own = cells.agg(*[F.count_if(cond).alias(name) for name, cond in measures.items()])
-
-    def pairs(band: str, subject: list[str]) -> DataFrame:
-        sources = cells.groupBy(*subject, "method", "replays").agg(F.count(F.lit(1)).alias("n_src"))
-        # every method a destination can be offered, as literals of the row
-        offers = F.array(*[F.lit(m) for m in [*registry.METHODS, ""]])
-        dests = cells.groupBy(*subject, "axis", "score").agg(F.count(F.lit(1)).alias("n_dst")).select(
-            *subject, "axis", "score", "n_dst", F.explode(offers).alias("method")
-        )
-        product = F.col("n_dst") * F.col("n_src")
-        return dests.join(sources, [*subject, "method"]).agg(*[
-            (F.coalesce(F.sum(F.when(cond, product)), F.lit(0)) - own.select(name).scalar()).alias(name)
-            for name, cond in measures.items()
-        ]).withColumn("band", F.lit(band))
-
-    return pairs("all", []).unionByName(pairs("intra", ["subject"]))
-
-
-def transplant_sweep(keys: DataFrame) -> DataFrame:
-    """Per mode and band: generated, vacuous, refused, reached the gate, survived (asserted apart).
-
-    ``keys(subject, axis, score, urls_key, evidence_key, policy_key, check_key, artifacts,
-    method, replays, moved_key)``, one row per non-zero cell of a ledger that validates:
-    ``policy_key`` is what the policy compares (method, literals, file, digest), ``check_key``
-    the whole check block, ``artifacts`` the number it expects, ``replays`` whether its own
-    check passes, ``moved_key`` the subject's and axis's declarations.
-    """
-    wide = _pair_counts(keys).join(_moved_pairs(keys), "band")
-    c = F.col
-
-    def mode(name: str, vacuous: str, reached: Column, survived: Column, asserted: Column) -> Column:
-        same = c(f"{vacuous}_n")
-        return F.struct(
-            F.lit(name).alias("mode"), c("any_n").alias("generated"), same.alias("vacuous"), (reached - same).alias("reached_gate"),
-            (survived - same).alias("survived"), (asserted - c(f"{vacuous}_1")).alias("survived_asserted"),
-        )
-
-    # an asserted cell skips its check; a verified one re-runs it on its own documents
-    modes = F.array(
-        mode(MODES[0], "e", c("u_n"), c("u_n"), c("u_1")),
-        mode(MODES[1], "c", c("p_n"), c("p_1") + c("pa_2"), c("p_1")),
-        mode(MODES[2], "ec", c("up_n"), c("up_1") + c("upa_2"), c("up_1")),
-        mode(MODES[3], "ecm", c("reached"), c("ran"), c("ran_1")),
-    )
-    # cross = all - intra: every row of the two bands is added with its sign
-    signed = F.when(c("band") == "all", F.array(F.struct(F.lit("cross").alias("to"), F.lit(1).alias("sign")))).otherwise(
-        F.array(F.struct(F.lit("intra").alias("to"), F.lit(1).alias("sign")), F.struct(F.lit("cross").alias("to"), F.lit(-1).alias("sign")))
-    )
-    rows = wide.select(F.explode(modes).alias("m"), signed.alias("s")).select("m.*", F.explode("s").alias("s"))
-    measures = ["generated", "vacuous", "reached_gate", "survived", "survived_asserted"]
-    out = rows.groupBy("mode", F.col("s.to").alias("band")).agg(*[F.sum(c(m) * c("s.sign")).alias(m) for m in measures])
-    return out.withColumn("refused", c("generated") - c("vacuous") - c("reached_gate"))
 
 
 def field_mutation_coverage(checks: DataFrame, cites: DataFrame, blobs: DataFrame, other_digest: Column) -> DataFrame:
@@ -158,7 +32,7 @@ def field_mutation_coverage(checks: DataFrame, cites: DataFrame, blobs: DataFram
         variant("repoint digest", F.col("literals"), artifacts), variant("transplant evidence", F.col("literals"), artifacts),
         variant("drop co-cited", F.col("literals"), artifacts),
     )).alias("m")).select("cell", "m.*")
-    tag = F.concat_ws("|", F.col("cell").cast("string"), F.col("mutation"))
+    tag = F.to_json(F.struct("cell", "mutation"))  # any cell id stays apart from its mutation
     kept = cites.join(base.select("cell"), "cell", "left_semi")
     # which citation a mutation touches: the smallest digest of the cell
     first = kept.groupBy("cell").agg(F.min("sha256").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -170,6 +44,6 @@ def field_mutation_coverage(checks: DataFrame, cites: DataFrame, blobs: DataFram
     )
     mutated_cites = moved.filter(~((F.col("mutation") == "drop co-cited") & hit)).select(tag.alias("cell"), touched.alias("sha256"))
     results = content_checks.grep_all_in_one(mutants.select(tag.alias("cell"), "literals", "expect_artifacts"), mutated_cites, blobs)
-    return results.select(F.split_part("cell", F.lit("|"), F.lit(2)).alias("mutation"), F.coalesce("verdict", F.lit(False)).alias("survived")).groupBy("mutation").agg(
+    return results.select(F.get_json_object("cell", "$.mutation").alias("mutation"), F.coalesce("verdict", F.lit(False)).alias("survived")).groupBy("mutation").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("survived")).alias("rejected"), F.count_if("survived").alias("survived")
     )

@@ -167,7 +167,7 @@ def document_rule(led: Ledger, annotated: DataFrame) -> DataFrame:
     undeclared = bare.filter("positive").unionByName(
         bare.filter("not positive and has_bound").join(cited.select("cell_no"), "cell_no", "left_semi")
     )
-    declared = passed.join(_policy(led, "axis_documents", "url").distinct(), KEY).select("cell_no", *KEY, "url")
+    declared = passed.join(_policy(led, "axis_documents", "url").filter("url is not null").distinct(), KEY).select("cell_no", *KEY, "url")
     used = passed.filter("has_axis_documents").join(cited, "cell_no").select("cell_no", *KEY, "url")
     unequal = set_difference(used, declared, ["cell_no", *KEY], "url")
     return violations(undeclared, "O4", "subject", "axis", F.lit("no axis_documents")).unionByName(
@@ -197,8 +197,8 @@ def ownership_rule(led: Ledger, rule: str) -> DataFrame:
 
 
 def foreign_evidence(led: Ledger) -> DataFrame:
-    """Every ownership violation; the annotated cells are computed once and shared."""
-    annotated = annotate(led).persist()
+    """Every ownership violation."""
+    annotated = annotate(led)
     return reduce(DataFrame.unionByName, [fn(led, annotated) for fn in SET_RULES.values()], row_rules(annotated))
 
 
@@ -212,7 +212,7 @@ def gate(led: Ledger) -> DataFrame:
     owned = foreign_evidence(led).select("subject", "axis").distinct().select(
         F.col("subject").alias("_s"), F.col("axis").alias("_a"), F.lit(True).alias("foreign")
     )
-    shared = broken_dependency(led.evidence.select("sha256", "url"), "sha256", "url").select("sha256")
+    shared = broken_dependency(led.evidence.select("sha256", "url"), "sha256", "url").select("sha256").distinct()
     doubled = led.evidence.select("cell_no", "sha256").join(shared, "sha256", "left_semi").select("cell_no").distinct().withColumn("doubled", F.lit(True))
     method = declared_method(cells)
     required = registry.required_method(F.col("axis"))

@@ -120,10 +120,15 @@ def weight_sweep(scores: DataFrame, upper: str, lower: str, named_subject=None)
         F.max(F.when(F.col("kind") == lower, F.col("key"))).alias("max_lower"),
         F.min(F.when(F.col("subject").eqNullSafe(F.lit(named_subject)), F.col("key"))).alias("named"),
     )
+
+    def holds(side: str) -> Column:
+        """Weights at which this side is above; null when a side is empty, which tells nothing."""
+        return F.when((F.count(side) > 0) & (F.count("max_lower") > 0), F.count_if(F.col(side) > F.col("max_lower")))
+
     return per_weight.agg(
         F.count(F.lit(1)).alias("n_weights"),
-        F.count_if(F.coalesce(F.col("min_upper") > F.col("max_lower"), F.lit(True))).alias("stratum_holds"),
-        F.count_if(F.coalesce(F.col("named") > F.col("max_lower"), F.col("named").isNotNull())).alias("subject_holds"),
+        holds("min_upper").alias("stratum_holds"),
+        holds("named").alias("subject_holds"),
     )
 
 

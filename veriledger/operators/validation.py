@@ -40,7 +40,7 @@ class Ledger:
     superseded: DataFrame | None = None
     records: DataFrame | None = None
     as_of: str = ""
-    bounded_zero_floor: int = 0
+    bounded_zero_floor: int | Column = 0
 
 
 Rule = Callable[[Ledger], DataFrame]
@@ -87,6 +87,7 @@ def _cell_rules(as_of: str) -> dict[str, Column]:
     scored = known & score.isin(0, 1, 2)
     has_check, has_bound = scored & c("has_check"), scored & c("has_bound")
     required = registry.required_method(axis)
+    check_as_of = F.try_element_at(c("check_fields"), F.lit("as_of"))
 
     def missing(method_col: Column, fields: Column, prefix: str, cond: Column) -> Column:
         absent = F.filter(
@@ -97,7 +98,10 @@ def _cell_rules(as_of: str) -> dict[str, Column]:
 
     none = F.array().cast("array<string>")
     return {
-        "V4": _details(_when(~content.is_absent(c("bound_as_of"), "text") & ~content.is_iso_date(c("bound_as_of")), c("bound_as_of"))),
+        "V4": _details(
+            _when(~content.is_absent(c("bound_as_of"), "text") & ~content.is_iso_date(c("bound_as_of")), c("bound_as_of")),
+            _when(~content.is_absent(check_as_of, "text") & ~content.is_iso_date(check_as_of), check_as_of),
+        ),
         "V6": _details(_when(~known)),
         "V9": _details(_when(known & score.isNotNull() & ~score.isin(0, 1, 2), score)),
         "V10": _details(_when(known & score.isNull() & ~axis.isin(registry.NA_AXES), registry.axis_name(axis))),
@@ -139,7 +143,7 @@ def _evidence_rules(as_of: str) -> dict[str, Column]:
     volatile = positive & F.coalesce(c("volatile"), F.lit(False))
     return {
         "V13": _details(_when(positive & ~urls.is_web_url(c("url")), c("url"))),
-        "V14": _details(_when(positive & ~content.is_real_past_date(c("retrieved"), F.lit(as_of).cast("date")), c("retrieved"))),
+        "V14": _details(_when(positive & ~content.is_real_past_date(c("retrieved"), F.try_to_date(F.lit(as_of), "yyyy-MM-dd")), c("retrieved"))),
         "V15": _details(_when(volatile & (c("score") == 2)
                               & ~F.coalesce(c("check_method").isin(registry.REPLAYABLE_METHODS), F.lit(False)), c("url"))),
         "V16": _details(_when(volatile & content.is_blank(c("volatile_reason")), c("url"))),
@@ -219,7 +223,7 @@ def draws_on_superseded(led: Ledger) -> DataFrame:
     ).filter((F.col("ax.g") == F.col("grp")) & ~F.array_contains("still_valid_for", F.col("ax.axis"))).select(
         "subject", "address", F.col("ax.axis").alias("axis")
     )
-    per_axis = led.policy.filter("key = 'axis_sources'").select("subject", "axis", F.col("value").alias("address"))
+    per_axis = led.policy.filter("key = 'axis_sources' and value is not null").select("subject", "axis", F.col("value").alias("address"))
     direct = affected.join(per_axis, ["subject", "axis", "address"], "left_semi")
     fallback = affected.join(per_axis.select("subject", "axis"), ["subject", "axis"], "left_anti").join(
         led.sources.select("subject", F.col("source").alias("address")), ["subject", "address"], "left_semi"
@@ -241,8 +245,11 @@ def undeclared_subject(led: Ledger) -> DataFrame:
 
 @_rule("V8")
 def duplicate_cell(led: Ledger) -> DataFrame:
-    twice = _axis_cells(led).groupBy("subject", "axis").agg(F.count(F.lit(1)).alias("n"), F.min("cell_no").alias("first")).filter("n > 1")
-    return violations(twice, "V8", "subject", "axis", F.concat_ws(" ", F.col("n").cast("string"), F.lit("rows, first"), F.col("first").cast("string")))
+    """One row for every later cell of a pair, naming it and the first one."""
+    cells = _axis_cells(led).select("subject", "axis", "cell_no")
+    twice = cells.groupBy("subject", "axis").agg(F.count(F.lit(1)).alias("n"), F.min("cell_no").alias("first")).filter("n > 1")
+    later = cells.join(twice, ["subject", "axis"]).filter("cell_no <> first")
+    return violations(later, "V8", "subject", "axis", F.concat_ws(" ", F.col("cell_no").cast("string"), F.lit("after"), F.col("first").cast("string")))
 
 
 @_rule("V12")
@@ -275,18 +282,20 @@ def bound_locations(led: Ledger) -> DataFrame:
 
 
 def broken_dependency(pairs: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys with more than one value: min and max differ, so no distinct set is held."""
-    return pairs.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high")).filter("low <> high")
+    """Every (key, value) of a key with more than one value; values are rows, no set is held."""
+    values = pairs.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n_rows"))
+    broken = values.groupBy(key).agg(F.count(F.lit(1)).alias("n_values")).filter("n_values > 1")
+    return values.join(broken, key)
 
 
 @_rule("V29")
 def url_two_digests(led: Ledger) -> DataFrame:
-    return violations(broken_dependency(led.cited, "url", "sha256"), "V29", None, None, F.concat_ws(" ", "url", "low", "high"))
+    return violations(broken_dependency(led.cited, "url", "sha256"), "V29", None, None, F.concat_ws(" ", "url", "sha256"))
 
 
 @_rule("V30")
 def digest_two_urls(led: Ledger) -> DataFrame:
-    return violations(broken_dependency(led.cited, "sha256", "url"), "V30", None, None, F.concat_ws(" ", "sha256", "low", "high"))
+    return violations(broken_dependency(led.cited, "sha256", "url"), "V30", None, None, F.concat_ws(" ", "sha256", "url"))
 
 
 def _scored(led: Ledger) -> DataFrame:
@@ -300,14 +309,14 @@ def no_sources(led: Ledger) -> DataFrame:
 
 
 def undeclared_evidence(led: Ledger) -> DataFrame:
-    """Distinct (subject, axis, source) cited outside the subject's declared sources, with an owner."""
+    """Distinct (subject, axis, source) cited outside the subject's declared sources, with each of its owners."""
     used = (
         evidence_with_cell(led).filter(F.col("score") != 0)
         .select("subject", "axis", urls.source_key(F.col("url")).alias("source")).distinct()
         .join(led.sources.select("subject"), "subject", "left_semi")
         .join(led.sources, ["subject", "source"], "left_anti")
     )
-    owners = led.sources.groupBy("source").agg(F.min("subject").alias("owner"), F.count(F.lit(1)).alias("n_owners"))
+    owners = led.sources.select("source", F.col("subject").alias("owner")).distinct()
     return used.join(owners, "source", "left")
 
 
@@ -331,8 +340,9 @@ def missing_pair(led: Ledger) -> DataFrame:
 @_rule("V34")
 def bounded_zeros_fell(led: Ledger) -> DataFrame:
     counts = led.cells.filter("score = 0").agg(F.count(F.lit(1)).alias("zeros"), F.count_if("has_bound").alias("bounded"))
-    fell = counts.filter(F.col("bounded") < led.bounded_zero_floor)
-    detail = F.concat_ws(" ", F.col("bounded").cast("string"), F.lit("of"), F.col("zeros").cast("string"), F.lit(f"floor {led.bounded_zero_floor}"))
+    floor = led.bounded_zero_floor if isinstance(led.bounded_zero_floor, Column) else F.lit(led.bounded_zero_floor)
+    fell = counts.withColumn("floor", floor).filter("bounded < floor")
+    detail = F.concat_ws(" ", F.col("bounded").cast("string"), F.lit("of"), F.col("zeros").cast("string"), F.lit("floor"), F.col("floor").cast("string"))
     return violations(fell, "V34", None, None, detail)
 
 
@@ -355,22 +365,30 @@ def unknown_subject_field(led: Ledger) -> DataFrame:
 @_rule("V40")
 def two_volatility_flags(led: Ledger) -> DataFrame:
     flags = led.evidence.select("url", F.coalesce(F.col("volatile").cast("string"), F.lit("None")).alias("flag"))
-    return violations(broken_dependency(flags, "url", "flag"), "V40", None, None, F.concat_ws(" ", "url", "low", "high"))
+    return violations(broken_dependency(flags, "url", "flag"), "V40", None, None, F.concat_ws(" ", "url", "flag"))
 
 
 # ------------------------------------------------------------------------ whole ledger
 
+def ledger_date(led: Ledger) -> DataFrame:
+    """V4 on the ledger's own date: one row when it is no date."""
+    row = led.subjects.agg(F.lit(led.as_of).alias("as_of"))
+    return violations(row.filter(F.try_to_date(F.col("as_of"), "yyyy-MM-dd").isNull()), "V4", None, None, "as_of")
+
+
 def validate(led: Ledger) -> DataFrame:
-    """Every violation of every registered rule; one-row rules share one pass."""
+    """Every violation of every registered rule and of the ownership policy; one-row rules share one pass."""
+    from veriledger.operators import ownership  # which itself builds on this module
+
     shared = set(CELL_RULES + EVIDENCE_RULES) - {"V28"}
-    parts = [cell_violations(led, [r for r in CELL_RULES if r != "V28"]), evidence_violations(led)]
+    parts = [cell_violations(led, [r for r in CELL_RULES if r != "V28"]), evidence_violations(led), ledger_date(led), ownership.foreign_evidence(led)]
     parts += [fn(led) for name, fn in RULES.items() if name not in shared]
     return reduce(DataFrame.unionByName, parts)
 
 
-def report(found: DataFrame, shown: int = registry.DEFECTS_SHOWN) -> DataFrame:
-    """The first defects in a stable order (a top-k, never a full sort)."""
-    return found.orderBy("rule", "subject", "axis", "detail").limit(shown)
+def report(found: DataFrame, n: int) -> DataFrame:
+    """For display: the first ``n`` defects in a stable order (a top-k, never a full sort)."""
+    return found.orderBy("rule", "subject", "axis", "detail").limit(n)
 
 
 def scoreable(found: DataFrame) -> bool:

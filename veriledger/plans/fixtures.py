@@ -94,10 +94,10 @@ SELECT cell_no, subject, axis, n, score,
             THEN LIST(CONCAT('literal-', CAST(a AS STRING)), CONCAT('kind-', CAST(s % 4 AS STRING))) END AS check_expect,
        CASE WHEN score > 0 AND n % 10 <> 0 THEN
             MAPOF(LIST('expect', 'expect_file', 'expect_evidence_sha256', 'expect_range_bytes', 'expect_shards',
-                       'expect_repo', 'expect_commit', 'expect_paths', 'expect_subject_name', 'expect_queries'),
+                       'expect_repo', 'expect_commit', 'expect_paths', 'expect_subject_name', 'expect_queries', 'as_of'),
                   LIST(CASE WHEN n % 5 = 0 THEN '[]' ELSE 'given' END, CONCAT('model-', CAST(s % 3 AS STRING), '.safetensors'),
                        sha, CASE WHEN n % 3 = 0 THEN NULL ELSE '2048' END, '0',
-                       CONCAT('org/', CAST(s % 7 AS STRING)), CASE WHEN n % 4 = 0 THEN '' ELSE 'abc' END, '[]', 'name', '7')) END AS check_fields,
+                       CONCAT('org/', CAST(s % 7 AS STRING)), CASE WHEN n % 4 = 0 THEN '' ELSE 'abc' END, '[]', 'name', '7', CASE WHEN n % 21 = 1 THEN 'soon' ELSE '2024-02-01' END)) END AS check_fields,
        score = 0 AND n % 4 < 3 OR (score = 1 AND n % 14 = 0) AS has_bound,
        CASE WHEN score = 0 AND n % 4 < 3 OR (score = 1 AND n % 14 = 0) THEN method END AS bound_method,
        CASE WHEN score = 0 AND n % 4 < 3 OR (score = 1 AND n % 14 = 0) THEN CASE WHEN n % 8 = 0 THEN '' ELSE 'nothing is published' END END AS bound_asserts,
@@ -204,7 +204,7 @@ SELECT page_id, sha,
   CASE WHEN page_id % 11 = 0 THEN CONCAT('  version https://git-lfs.github.com/spec/v1', chr(10), 'oid sha256:', sha, chr(10), 'size ', CAST(LENGTH(html) AS STRING), chr(10))
        WHEN page_id % 13 = 0 THEN CONCAT('tiny ', CAST(page_id AS STRING))
        WHEN page_id % 7 = 0 THEN CONCAT('Checking your BROWSER ', html)
-       WHEN page_id % 5 = 0 THEN CONCAT(SUBSTRING(html, 1, 900), ' Please LOG IN to continue')
+       WHEN page_id % 5 = 0 THEN CONCAT(html, ' Please LOG IN to continue')
        WHEN page_id % 9 = 0 THEN CONCAT(html, ' API rate limit exceeded')
        WHEN page_id % 3 = 0 THEN CONCAT('rate limit reached ', html) ELSE html END AS body,
   CASE WHEN page_id % 17 = 0 THEN '404' WHEN page_id % 6 = 0 THEN '403' WHEN page_id % 19 = 0 THEN '429' WHEN page_id % 23 = 0 THEN '503' ELSE '200' END AS status
@@ -389,9 +389,7 @@ FROM @documents"""
 
 # ----------------------------------------------------------------------- search and screens
 VIEWS["fn_corpus"] = """
-SELECT doc_id AS id, text, lang AS category, SUBSTRING(text, 1, 120) AS title FROM @documents"""
-VIEWS["fn_names"] = """
-SELECT EXPLODE(LIST('mit', 'apache', 'ccbync', 'gnu', 'none')) AS subject"""
+SELECT doc_id AS id, text, lang AS category, SPLIT_PART(text, chr(10), 1) AS title FROM @documents"""
 VIEWS["fn_queries"] = """
 SELECT subject, term, total, total - (CASE WHEN subject IN ('src2', 'src9') THEN 2 ELSE 0 END) AS retrieved,
        CASE WHEN subject = 'src4' THEN FALSE WHEN subject = 'src8' THEN NULL ELSE TRUE END AS complete
@@ -456,14 +454,6 @@ VIEWS["fr_rows"] = """
 SELECT CAST(EXTRACT(DAY FROM ts) AS INT) AS line, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS source, event_type AS class FROM @events"""
 VIEWS["fr_rows_again"] = """
 SELECT CAST(EXTRACT(DAY FROM ts) AS INT) AS line, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS source, CASE WHEN event_id % 97 = 0 THEN 'other' ELSE event_type END AS class FROM @events"""
-VIEWS["fm_keys"] = """
-SELECT subject, axis, score, method, CASE WHEN method IS NULL THEN 'none' ELSE pk END AS policy_key,
-  CASE WHEN method IS NULL THEN 'none' ELSE CONCAT(pk, '|', CAST(n % 4 AS STRING), '|', CASE WHEN n % 4 = 3 THEN CAST(score AS STRING) ELSE '' END) END AS check_key,
-  CASE WHEN method IS NULL THEN 0 ELSE n % 2 END AS artifacts, method IS NULL OR n % 4 <> 3 OR score = 2 AS replays, CONCAT(CAST(subject % 3 AS STRING), '/', COALESCE(pk, 'none')) AS moved_key
-FROM (SELECT x.*, CONCAT(method, '|', CAST(subject % 2 AS STRING), '|', CAST(axis % 3 AS STRING)) AS pk FROM
-  (SELECT subject, axis, score, n, CASE WHEN score = 1 AND n % 4 = 0 THEN NULL WHEN axis = 6 THEN 'repo_tree_probe' WHEN axis = 12 THEN 'hf_probe.weight_object' WHEN axis = 13 THEN 'hf_probe.all_shard_digests'
-    WHEN axis = 4 THEN 'http_range' WHEN axis IN (16, 17) THEN 'reproduction_search' ELSE 'grep_retrieved' END AS method FROM fx_cells WHERE score > 0) x) y"""
-
 
 def _needs(name: str) -> list[str]:
     """A view and everything it reads, in definition order."""

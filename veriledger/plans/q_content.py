@@ -113,7 +113,7 @@ WITH p AS (SELECT cell, file, count(*) AS c, count(*) FILTER (WHERE body IS NULL
 j AS (SELECT coalesce(s.cell, p.cell) AS cell, s.file AS sf, p.file AS pf, p.c, p.u, p.no, p.bo, p.bd FROM fc_shards s FULL JOIN p ON p.cell = s.cell AND p.file = s.file),
 k AS (SELECT cell, count(sf) AS n, bool_or(sf IS NULL OR pf IS NULL) AS uneq, bool_or(coalesce(c, 0) > 1) AS dup, sum(u) AS u, sum(no) AS no, sum(bo) AS bo, sum(bd) AS bd FROM j GROUP BY cell),
 z AS (SELECT c.cell, CASE WHEN n <> expect_shards THEN 'shard count differs' ELSE nullif(array_to_string(list_filter([CASE WHEN u > 0 THEN 'not archived' END, CASE WHEN no > 0 THEN 'no digest in pointer' END,
-  CASE WHEN bo > 0 THEN 'digest differs from ledger' END, CASE WHEN bd > 0 THEN 'bytes differ' END, CASE WHEN dup THEN 'duplicate pointer' END, CASE WHEN uneq THEN 'not set-equal' END], lambda x: x IS NOT NULL)[:3], '; '), '') END AS reason
+  CASE WHEN bo > 0 THEN 'digest differs from ledger' END, CASE WHEN bd > 0 THEN 'bytes differ' END, CASE WHEN dup THEN 'duplicate pointer' END, CASE WHEN uneq THEN 'not set-equal' END], lambda x: x IS NOT NULL), '; '), '') END AS reason
   FROM fc_shard_claims c JOIN k ON k.cell = c.cell)
 SELECT *, reason IS NULL AS verdict FROM z""")
 def c7(spark, d):

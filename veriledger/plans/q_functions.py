@@ -109,7 +109,7 @@ def p10(spark, d):
 
 
 @query("p11_classify_wall", """
-WITH b AS (SELECT page_id, status, body, lower(substr(body, 1, 20000)) AS h, strlen(body) AS n FROM fu_bodies)
+WITH b AS (SELECT page_id, status, body, lower(body) AS h, strlen(body) AS n FROM fu_bodies)
 SELECT page_id, CASE WHEN status <> '200' THEN 'http:' || status WHEN page_id % 11 = 0 THEN NULL WHEN n < 64 THEN 'too-small'
   WHEN contains(h, 'checking your browser') THEN 'challenge:checking your browser'
   WHEN n <= 4096 AND contains(h, 'log in to continue') THEN 'gate:log in to continue'
@@ -119,7 +119,7 @@ def p11(spark, d):
 
 
 @query("p12_is_throttled", """
-SELECT page_id, status IN ('429', '503') OR (status = '403' AND contains(lower(substr(body, 1, 2000)), 'rate limit')) AS throttled FROM fu_bodies""")
+SELECT page_id, status IN ('429', '503') OR (status = '403' AND contains(lower(body), 'rate limit')) AS throttled FROM fu_bodies""")
 def p12(spark, d):
     return frame(spark, d, "fu_bodies").select("page_id", content.is_throttled(F.col("status"), F.col("body")).alias("throttled"))
 

@@ -52,7 +52,7 @@ def r3(spark, d):
 @query("r3_runs_kept", """SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS at, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 50""")
 def r3_kept(spark, d):
     hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss")
-    return drift.keep_last_runs(frame(spark, d, "events").groupBy(hour.alias("at")).agg(F.count(F.lit(1)).alias("n")))
+    return drift.keep_last_runs(frame(spark, d, "events").groupBy(hour.alias("at")).agg(F.count(F.lit(1)).alias("n")), n=50)
 
 
 @query("r4_volatile_by_double_observation", """
@@ -168,27 +168,6 @@ def r16(spark, d):
     return history.partition_check(counts, totals, ["click", "view"])
 
 
-_SUITS = f"(coalesce({OKAY}, FALSE) AND m <> 'http_status')"
-
-
-@query("m1_transplant_sweep", f"""
-WITH ek AS (SELECT subject, axis, string_agg(url, ',' ORDER BY url) AS u, string_agg(url || sha256 || retrieved, ',' ORDER BY url) AS e FROM fx_evidence GROUP BY subject, axis),
-c AS (SELECT k.*, ek.u, ek.e FROM fm_keys k JOIN ek ON ek.subject = k.subject AND ek.axis = k.axis),
-j AS (SELECT a.subject = b.subject AS intra, a.score, a.axis, b.method AS m, b.replays AS rp, a.u = b.u AS u, a.e = b.e AS e, a.policy_key = b.policy_key AS p, a.check_key = b.check_key AS k, a.artifacts = b.artifacts AS n,
-      a.moved_key = b.moved_key AS v FROM c a JOIN c b ON NOT (a.subject = b.subject AND a.axis = b.axis)),
-f AS (SELECT intra, score, 'evidence only' AS mode, e AS vac, u AS rch, u AS srv FROM j
-  UNION ALL SELECT intra, score, 'check only', k, p, p AND (score = 1 OR n) FROM j
-  UNION ALL SELECT intra, score, 'evidence and check', e AND k, u AND p, u AND p AND (score = 1 OR n) FROM j
-  UNION ALL SELECT intra, score, 'with the policy moved too', e AND k AND v,
-     CASE WHEN score = 1 THEN m IS NULL OR {_SUITS} ELSE {_SUITS} AND NOT (axis = 6 AND m <> 'repo_tree_probe') AND NOT (axis = 12 AND m <> 'hf_probe.weight_object') AND NOT (axis = 13 AND m <> 'hf_probe.all_shard_digests') END,
-     CASE WHEN score = 1 THEN m IS NULL OR {_SUITS} ELSE rp AND {_SUITS} AND NOT (axis = 6 AND m <> 'repo_tree_probe') AND NOT (axis = 12 AND m <> 'hf_probe.weight_object') AND NOT (axis = 13 AND m <> 'hf_probe.all_shard_digests') END FROM j)
-SELECT mode, CASE WHEN intra THEN 'intra' ELSE 'cross' END AS band, count(*) AS generated, count(*) FILTER (WHERE vac) AS vacuous, count(*) FILTER (WHERE rch AND NOT vac) AS reached_gate,
-  count(*) FILTER (WHERE srv AND NOT vac) AS survived, count(*) FILTER (WHERE srv AND NOT vac AND score = 1) AS survived_asserted, count(*) FILTER (WHERE NOT rch AND NOT vac) AS refused FROM f GROUP BY mode, intra""")
-def m1(spark, d):
-    keys = frame(spark, d, "fm_keys").join(mutation.evidence_keys(frame(spark, d, "fx_evidence")), ["subject", "axis"])
-    return mutation.transplant_sweep(keys)
-
-
 @query("m2_field_mutation_coverage", """
 WITH ct AS (SELECT c.cell, c.sha256, b.body FROM fc_cites c LEFT JOIN fb_blobs b ON b.sha256 = c.sha256),
 bs AS (SELECT k.cell, literals, expect_artifacts FROM fc_checks k JOIN (SELECT cell, count(*) AS n, count(body) AS m FROM ct GROUP BY cell) q ON q.cell = k.cell

@@ -1,6 +1,9 @@
 """Ownership policy queries over the stand-in ledger with injected defects."""
 
-from veriledger.operators import ownership
+from pyspark.sql import functions as F
+
+from veriledger.operators import ownership, validation
+from veriledger.plans import q_validation
 from veriledger.plans.catalog import query
 from veriledger.plans.fixtures import frame
 from veriledger.plans.q_validation import OKAY, ledger
@@ -99,3 +102,21 @@ def o11(spark, d):
 @query("o12_cited_by", "SELECT url, subject FROM fl_evidence GROUP BY url, subject")
 def o12(spark, d):
     return ownership.cited_by(frame(spark, d, "fl_evidence"))
+
+_EVERY = " UNION ALL ".join(f"SELECT rule, subject, axis, detail FROM ({sql})" for sql in [*q_validation.SQL.values(), *SQL.values()])
+
+
+@query("v41_validate", f"SELECT rule, count(*) AS n, min(subject) AS first_subject FROM ({_EVERY}) GROUP BY rule")
+def v41(spark, d):
+    found = validation.validate(ledger(spark, d, keep=True))
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("first_subject"))
+
+
+@query("v41_defects", f"SELECT * FROM ({_EVERY})")
+def v41_defects(spark, d):
+    return validation.validate(ledger(spark, d, keep=True))
+
+
+@query("v41_defects_shown", f"SELECT * FROM ({_EVERY}) ORDER BY rule NULLS FIRST, subject NULLS FIRST, axis NULLS FIRST, detail NULLS FIRST LIMIT 40")
+def v41_shown(spark, d):
+    return validation.report(validation.validate(ledger(spark, d, keep=True)), 40)

@@ -65,7 +65,7 @@ z AS (SELECT url, sha256, n_bytes, CASE WHEN st THEN 'already stored' WHEN range
   WHEN NOT has_body THEN 'no body' ELSE 'store' END AS decision FROM j)
 SELECT *, decision IN ('already stored', 'store', 'store range') AS stored FROM z""")
 def s6(spark, d):
-    plan = blobs.archive_plan(frame(spark, d, "fs_wanted"), frame(spark, d, "fs_stored"), frame(spark, d, "fs_observed"))
+    plan = blobs.archive_plan(frame(spark, d, "fs_wanted"), frame(spark, d, "fs_stored"), frame(spark, d, "fs_observed"), max_bytes=8 * 1024 * 1024)
     return plan.withColumn("n_bytes", F.col("n_bytes").cast("long"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime-settable options that every job of this library relies on.  Skewed
@@ -25,18 +23,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """Reliable checkpoint into the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a local session without that setting gets a folder of its own; a cluster without it
-    falls back to ``persist``, which survives lost executors by recomputation.
+    Without that setting the rows are persisted: blocks of a lost executor are computed again
+    from the tables.  The caller unpersists, or clears the cache, when the job is done.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        if not folder:
-            return df.persist()
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=False)
+    return df.persist()

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriledger.functions.digests import gunzip
-from veriledger.sources import registry
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -14,14 +13,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_gzip_store(spark: SparkSession, path: str, max_bytes: int = registry.ARCHIVE_CAP_BYTES) -> DataFrame:
-    """``blobs(sha256, body)`` from ``<sha256>.gz`` files; unreadable members give a null body.
+def read_gzip_store(spark: SparkSession, path: str) -> DataFrame:
+    """``blobs(sha256, body, status)`` from ``<sha256>.gz`` files of any size, one row each.
 
-    The size filter is on file metadata, so bodies over the cap are never read.
+    ``status`` is ``ok`` or ``corrupt``; a corrupt member has a null body, so that unreadable and
+    not archived stay two facts.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     digest = F.regexp_extract(F.col("path"), r"([^/]+)\.gz$", 1)
-    return files.filter(F.col("length") <= max_bytes).select(digest.alias("sha256"), gunzip()(F.col("content")).alias("body"))
+    read = files.select(digest.alias("sha256"), gunzip()(F.col("content")).alias("body"))
+    return read.withColumn("status", F.when(F.col("body").isNull(), "corrupt").otherwise("ok"))
 
 
 def blob_scan(cited: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -62,8 +63,8 @@ def store_blobs(bodies: DataFrame, store_path: str) -> None:
     fresh.repartitionByRange("sha256").sortWithinPartitions("sha256").write.mode("append").parquet(store_path)
 
 
-def archive_plan(cited: DataFrame, blobs: DataFrame, observations: DataFrame) -> DataFrame:
-    """Per cited address: keep, store, or why not.
+def archive_plan(cited: DataFrame, blobs: DataFrame, observations: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Per cited address: keep, store, or why not; ``max_bytes`` is the caller's archive policy (none: any size).
 
     ``cited(url, sha256, volatile, range)``; ``observations(url, observed_sha256, n_bytes,
     has_body)`` from the retrieval run (no row = could not be retrieved).
@@ -74,7 +75,7 @@ def archive_plan(cited: DataFrame, blobs: DataFrame, observations: DataFrame) ->
     )
     joined = wanted.join(stored, "sha256", "left").join(observations, "url", "left")
     moved = ~F.col("observed_sha256").eqNullSafe(F.col("sha256"))
-    large = F.col("n_bytes") > registry.ARCHIVE_CAP_BYTES
+    large = F.lit(False) if max_bytes is None else F.col("n_bytes") > max_bytes
     decision = (
         F.when(F.col("stored"), "already stored")
         .when(F.col("range").isNotNull() & (F.col("observed_sha256").isNull() | moved), "range moved")

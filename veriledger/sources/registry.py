@@ -105,10 +105,7 @@ SUBJECT_FIELDS = [
     "source_warrant",
 ]
 MIN_LITERAL_CHARS = 4
-ARCHIVE_CAP_BYTES = 8 * 1024 * 1024
 STUB_BYTES = 512
-RUNS_KEPT = 50
-DEFECTS_SHOWN = 40
 VOLATILE_KEYS = [
     "downloads", "downloadsAllTime", "likes", "spaces", "trendingScore", "usedStorage",
     "lastModified", "createdAt", "inference", "widgetData", "safetensors",
@@ -190,16 +187,3 @@ def cost_of(rows: DataFrame, costs: DataFrame) -> DataFrame:
 
 
 # --- the same tables as small DataFrames (for users who want to join or print them) ---
-
-def axes_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(AXES, "axis int, grp int, name string, may_be_na boolean")
-
-
-def caps_table(spark: SparkSession, kinds: list[str]) -> DataFrame:
-    axes = axes_table(spark).select("axis", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
-    return axes.withColumn("max_score", max_for(F.col("axis"), F.col("kind")))
-
-
-def method_axis_table(spark: SparkSession) -> DataFrame:
-    rows = [(m, a) for m, axes in PERMITTED_AXES.items() for a in axes]
-    return spark.createDataFrame(rows, "method string, axis int")
