@@ -121,3 +121,11 @@ def test_global_rank_with_a_hot_value(spark):
 def test_zero_is_not_missing(spark):
     cells, _ = ledger(spark, {"a": {1: None, 2: 0}, "b": {1: 1, 2: 0}})
     assert {(r.axis, r.value, r.n) for r in scoring.constant_axes(cells).collect()} == {(1, 1, 1), (2, 0, 2)}
+
+
+def test_rank_with_nulls_ties_and_an_outlier(spark):
+    rng = random.Random(9)
+    rows = [(i, None if i % 7 == 0 else 5.0 if i % 3 == 0 else rng.random() * 10) for i in range(1000)] + [(1000, 1e12), (1001, -1e12)]
+    got = {r.id: r["rank"] for r in global_rank(spark.createDataFrame(rows, "id long, value double"), "value", "id", buckets=16).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: k for k, r in enumerate(order, 1)}

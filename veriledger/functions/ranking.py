@@ -1,33 +1,41 @@
 """Exact global ranks without a global sort in one task.
 
-Rows are counted in value buckets, then in (value, id-range) cells, and ranked inside a
-cell; the offsets are prefix sums over bounded numbers of buckets.  Ties on the value, even
-a third of all rows, spread over their id ranges.
+Rows are counted in value buckets of about equal size, then in (value, id-range) cells, and ranked
+inside a cell; the offsets are prefix sums over bounded numbers of buckets.  Bucket borders are
+approximate quantiles, so outliers do not crowd the other values into one bucket, and ties on the
+value, even a third of all rows, spread over their id ranges.  Null values come last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 256
 
 
-def _bucket(df: DataFrame, col: str, buckets: int) -> Column:
-    low, high = df.agg(F.min(col).cast("double")).scalar(), df.agg(F.max(col).cast("double")).scalar()
-    return F.coalesce(F.when(low < high, F.width_bucket(F.col(col).cast("double"), low, high, F.lit(buckets))), F.lit(0))
+def _with_bucket(df: DataFrame, col: str, out: str, buckets: int) -> DataFrame:
+    """Adds the number of quantile borders up to the value; -1 for null."""
+    shares = [k / buckets for k in range(1, buckets)]
+    value = F.col(col).cast("double")
+    borders = df.agg(F.array_distinct(F.percentile_approx(value, shares, 100 * buckets))).scalar()
+    placed = df.withColumn("_borders", borders)
+    upto = F.size(F.filter("_borders", lambda b: b <= value))
+    return placed.withColumn(out, F.when(value.isNull(), F.lit(-1)).otherwise(F.coalesce(upto, F.lit(0)))).drop("_borders")
 
 
 def global_rank(df: DataFrame, value: str, row_id: str, out: str = "rank", buckets: int = BUCKETS) -> DataFrame:
-    """1-based position of every row by ``value`` descending, then ``row_id`` ascending."""
-    placed = df.withColumns({"_b": _bucket(df, value, buckets), "_i": _bucket(df, row_id, buckets)})
+    """1-based position of every row by ``value`` descending (null last), then ``row_id`` ascending (null first)."""
+    placed = _with_bucket(_with_bucket(df, value, "_b", buckets), row_id, "_i", buckets)
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy("_b", value, "_i").agg(F.count(F.lit(1)).alias("_n"))
     in_bucket = before.partitionBy("_b").orderBy(F.desc(value), "_i")
     cells = cells.withColumn("_cell", F.coalesce(F.sum("_n").over(in_bucket), F.lit(0)))
     totals = cells.groupBy("_b").agg(F.sum("_n").alias("_n"))
-    # at most ``buckets`` + 2 rows reach this single ordered window
+    # at most ``buckets`` + 1 rows reach this single ordered window
     starts = totals.select("_b", F.coalesce(F.sum("_n").over(before.orderBy(F.desc("_b"))), F.lit(0)).alias("_start"))
     inner = F.row_number().over(Window.partitionBy("_b", value, "_i").orderBy(row_id))
-    joined = placed.withColumn("_r", inner).join(cells.select("_b", value, "_i", "_cell"), ["_b", value, "_i"]).join(starts, "_b")
+    offsets = cells.select(F.col("_b").alias("_cb"), F.col(value).alias("_cv"), F.col("_i").alias("_ci"), "_cell")
+    same = (F.col("_b") == F.col("_cb")) & F.col(value).eqNullSafe(F.col("_cv")) & (F.col("_i") == F.col("_ci"))
+    joined = placed.withColumn("_r", inner).join(offsets, same).join(starts, "_b")
     return joined.select(*df.columns, (F.col("_start") + F.col("_cell") + F.col("_r")).cast("long").alias(out))
