@@ -54,7 +54,7 @@ BITS_LEAST, BITS_MOST = 1 << 16, 1 << 27
 
 
 def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` with ``in_filter``: false only if its ``doc_id`` is surely not in ``ids(doc_id)``.
+    """``rows`` with ``_in_id_filter``: false only if its ``doc_id`` is surely not in ``ids(doc_id)``.
 
     A bit filter of about 16 bits for an id, at most ``BITS_MOST`` (2 million 64-bit words, the proven
     bound of what is broadcast), so that rows that match nothing need no shuffle.
@@ -64,24 +64,24 @@ def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
         bits *= 2
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
     one = F.shiftrightunsigned(h, 6)
-    words = ids.select(one.alias("filter_word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(cast(doc_id as bigint)), 64) as int))").alias("bit"))
-    words = words.groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits"))
-    rows = rows.join(F.broadcast(words), one == F.col("filter_word"), "left")
-    set_bits = F.expr("shiftrightunsigned(filter_bits, cast(pmod(xxhash64(cast(doc_id as bigint)), 64) as int)) & 1")
-    return rows.withColumn("in_filter", F.coalesce(set_bits == 1, F.lit(False))).drop("filter_word", "filter_bits")
+    words = ids.select(one.alias("_id_filter_word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(cast(doc_id as bigint)), 64) as int))").alias("bit"))
+    words = words.groupBy("_id_filter_word").agg(F.bit_or("bit").alias("_id_filter_bits"))
+    rows = rows.join(F.broadcast(words), one == F.col("_id_filter_word"), "left")
+    set_bits = F.expr("shiftrightunsigned(_id_filter_bits, cast(pmod(xxhash64(cast(doc_id as bigint)), 64) as int)) & 1")
+    return rows.withColumn("_in_id_filter", F.coalesce(set_bits == 1, F.lit(False))).drop("_id_filter_word", "_id_filter_bits")
 
 
 def join_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` joined with ``ids(doc_id, ...)`` on ``doc_id``; only rows that may match are shuffled."""
-    return _marked(rows, ids.select("doc_id")).where("in_filter").drop("in_filter").join(ids, "doc_id")
+    return _marked(rows, ids.select("doc_id")).where("_in_id_filter").drop("_in_id_filter").join(ids, "doc_id")
 
 
 def drop_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` whose ``doc_id`` is not in ``ids(doc_id)``; only rows that may match are shuffled.  Null ids stay."""
     columns = rows.columns
     marked = _marked(rows, ids)
-    left = marked.where("in_filter").join(ids, "doc_id", "left_anti")
-    return marked.where("not in_filter").select(*columns).unionByName(left.select(*columns))
+    left = marked.where("_in_id_filter").join(ids, "doc_id", "left_anti")
+    return marked.where("not _in_id_filter").select(*columns).unionByName(left.select(*columns))
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -5,8 +5,8 @@ AND of an n-gram's slots is the set of languages that contain it.  A text's n-gr
 the bits are counted per language, the counts are corrected for the filter's false positives, and
 the language with the most corrected hits wins.
 
-Fitting takes, per language, the ``SAMPLE_DOCS`` labelled texts with the smallest hash of their id
-(all if fewer) and keeps an n-gram for a language if it stands in at least ``MIN_SHARE`` of its
+Fitting takes, per language, about ``SAMPLE_DOCS`` labelled texts (those with the smallest hash of their
+id, all if fewer) and keeps an n-gram for a language if it stands in at least ``MIN_SHARE`` of its
 sampled texts, and in a share at least ``SPREAD`` times that of the other languages on average: n-grams common
 to all tell nothing.  The fitted filter has a fixed number of slots, so it is small enough to ship
 with the tasks whatever the size of the corpus.

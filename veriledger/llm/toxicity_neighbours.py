@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting takes at most ``EXAMPLES`` labelled documents of each class (those with the smallest hash of
+Fitting takes about ``EXAMPLES`` labelled documents of each class (those with the smallest hash of
 their id, none held out) as examples, and the at most ``TERMS`` words whose presence depends on the
 label (chi-square at least ``CHI_SQUARE``).  The inverse document frequencies of these words are counted over
 all documents.  A document's vector is (1 + ln tf) idf over these words, of length 1.
