@@ -28,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def arrow_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with the session's Arrow batches set to ``rows`` rows: what a Python worker holds at once.
+
+    Texts may be long, so the default of 10,000 rows would be hundreds of megabytes.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

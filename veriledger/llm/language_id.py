@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriledger.llm.common import arrow_rows
+
 SAMPLE_DOCS = 2000
 SIZES = (1, 2, 3, 4)
 MIN_SHARE = 0.01
 SPREAD = 3.0
 SLOTS = 1 << 20
 HASHES = 2
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 17
 HELD_OUT = 2
 
 
@@ -163,7 +165,7 @@ class Filter:
 
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filter:
     """The filter of all languages with a labelled text that is not held out."""
-    rows = documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = arrow_rows(documents).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
     # per language, a hash border that leaves about sample_docs rows: no ranking of all rows
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
@@ -215,7 +217,7 @@ def predict(documents: DataFrame, model: Filter) -> DataFrame:
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())],
                 names=["doc_id", "lang_pred", "score", "coverage"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return arrow_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, lang_pred string, score double, coverage double")
 
 

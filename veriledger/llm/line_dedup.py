@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriledger.llm.common import materialise
+from veriledger.llm.common import arrow_rows, materialise
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -155,7 +155,7 @@ def empty_index(spark: SparkSession) -> Index:
 
 
 def line_refs(documents: DataFrame) -> DataFrame:
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = arrow_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_refs_of, REFS).distinct()
 
 

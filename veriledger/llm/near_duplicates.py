@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriledger.llm.common import connected_components, drop_ids, join_ids, materialise
+from veriledger.llm.common import arrow_rows, connected_components, drop_ids, join_ids, materialise
 
 WORDS = 5
 PERCENT = 85
@@ -263,7 +263,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def groups(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``documents(doc_id, text)``."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = arrow_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = materialise(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, forest binary, bits binary"))
     nodes = table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     entries = table.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriledger.llm.common import arrow_rows
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -237,7 +239,7 @@ def find(documents: DataFrame) -> DataFrame:
                 rows.append([{"kind": k, "start": a, "end": b, "disguised": (a, b) not in base[k]} for k in KINDS for a, b in every[k]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans {SPAN_TYPE}")
+    return arrow_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans {SPAN_TYPE}")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,5 +257,5 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(documents: DataFrame) -> DataFrame:
     """Counts and digest of the plain spans, and the list of all spans, per document."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return arrow_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _digests, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -33,6 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriledger.llm.common import arrow_rows
+
 LENGTH = 50
 SEED = 20
 SHARD_BYTES = 12 << 20
@@ -487,7 +489,8 @@ def removed_spans(documents: DataFrame, length: int = LENGTH, shard_bytes: int =
     """``doc_id, n_bytes, n_removed, spans, kept_sha256`` per row of ``documents(doc_id, text)``; spans are byte ranges."""
     if length < SEED + 2:
         raise ValueError(f"length must be at least {SEED + 2}")
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_DOC))).alias("doc_id"),
+    # equal runs are combined batch by batch, so batches are larger here
+    docs = arrow_rows(documents, 10_000).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_DOC))).alias("doc_id"),
                             F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))

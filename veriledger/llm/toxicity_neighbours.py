@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriledger.llm.common import arrow_rows
 from veriledger.llm.language_id import held_out
 
 EXAMPLES = 2000
@@ -177,6 +178,7 @@ def _log_odds(p: float) -> float:
 
 def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
     """The index of labelled rows that are not held out."""
+    documents = arrow_rows(documents)
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # two rows
     order = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 32))
@@ -191,8 +193,8 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(n1 + n0)
-    chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n1 * n0)
-    words = [bytes(r[0]) for r in presence.where((a + b < n) & (chi >= CHI_SQUARE)).orderBy(chi.desc(), "word").limit(terms).select("word").collect()] if n1 and n0 else []
+    chi = F.when(a + b < n, n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n1 * n0))
+    words = [bytes(r[0]) for r in presence.where(chi >= CHI_SQUARE).orderBy(chi.desc(), "word").limit(terms).select("word").collect()] if n1 and n0 else []
     vocabulary = {w: i for i, w in enumerate(words)}
     seen = np.zeros(len(words))
     if words:
