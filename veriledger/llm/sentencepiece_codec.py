@@ -20,14 +20,18 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriledger.llm.common import arrow_rows
+
 # Field numbers and enumerations of the model file format, and the metaspace marker.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 PIECE_TEXT, PIECE_SCORE, PIECE_KIND = 1, 2, 3
@@ -38,7 +42,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
+KNOWN_WORDS = 200_000
 
 
 @dataclass
@@ -155,13 +160,30 @@ class Codec:
     def __init__(self, data: bytes):
         self.model = parse_model(data)
         self.careful, self.fast = build(self.model), build(self.model, careful=False)
-        self.shown = [t.replace(MARK, " ") if k in (NORMAL, USER_DEFINED) else None for t, _, k in self.model.pieces]
+        m = self.model
+        # pieces stay within a word and every word gets a marker: words may be encoded once and put together
+        self.by_word = (m.dummy_prefix and m.escape_spaces and not m.chars_map and not m.remove_extra_spaces
+                        and all(MARK not in t.lstrip(MARK) for t, _, k in m.pieces if k == NORMAL))
+        self.known: dict[str, array] = {}
+        # a byte piece below 128 is a character by itself; others need their neighbours
+        self.shown = [t.replace(MARK, " ") if k in (NORMAL, USER_DEFINED) else chr(int(t[3:5], 16)) if k == BYTE and int(t[3:5], 16) < 128 else None
+                      for t, _, k in self.model.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         runs = [i for i, t in enumerate(texts) if t[:1] == " " or "  " in t or MARK in t or self.model.chars_map]
         odd = set(runs)
         out: list = [None] * len(texts)
-        for backend, chosen in ((self.careful, runs), (self.fast, [i for i in range(len(texts)) if i not in odd])):
+        plain = [i for i in range(len(texts)) if i not in odd]
+        if self.by_word:
+            words = [texts[i].split(" ") for i in plain]
+            if len(self.known) > KNOWN_WORDS:
+                self.known.clear()
+            new = list({w for ws in words for w in ws if w not in self.known})
+            self.known.update(zip(new, (array("i", e.ids) for e in self.careful.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            for i, ws in zip(plain, words, strict=True):
+                out[i] = list(chain.from_iterable(map(self.known.__getitem__, ws)))
+            plain = []
+        for backend, chosen in ((self.careful, runs), (self.fast, plain)):
             for i, e in zip(chosen, backend.encode_batch_fast([texts[i] for i in chosen], add_special_tokens=False), strict=True):
                 out[i] = e.ids
         return out
@@ -183,17 +205,16 @@ def read_bytes(path: str) -> bytes:
         return file.read()
 
 
-_BUILT: dict[str, tuple] = {}
-
-
 def _codec(data: bytes):
     """Codec and reference of a model, built once in a Python worker."""
     import sentencepiece
 
+    # this module travels by value, anew with every task; an attribute of an installed one stays in the worker
+    built = sentencepiece.__dict__.setdefault("_codecs_of_models", {})
     name = hashlib.sha256(data).hexdigest()
-    if name not in _BUILT:
-        _BUILT[name] = Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
-    return _BUILT[name]
+    if name not in built:
+        built[name] = Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    return built[name]
 
 
 def _slices(texts: list[str]) -> Iterator[list[str]]:
@@ -231,7 +252,7 @@ def encode(documents: DataFrame, model_path: str = MODEL_PATH, threads: int = 1)
                     names=["doc_id", "ids", "decoded", "parity"])
                 at += len(ids)
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = arrow_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, ids array<int>, decoded string, parity boolean")
 
 
@@ -251,5 +272,5 @@ def digest(documents: DataFrame, model_path: str = MODEL_PATH, threads: int = 1)
                 ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"])
                 at += len(ids)
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = arrow_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean")
