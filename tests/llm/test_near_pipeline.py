@@ -54,6 +54,28 @@ def test_groups_same_as_brute_force(spark, docs_of, monkeypatch, block, neighbou
     assert grouped(docs_of(pairs, "digest node component").repartition(3)) == brute_groups(pairs)
 
 
+def test_large_component_of_shared_boilerplate_is_exact(spark, docs_of, monkeypatch):
+    """One rough component far above the block size, whose true pairs do not stand side by side in any order."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "OVERLAP", 1)
+    monkeypatch.setattr(N, "ORDERS", 1)
+    rng = random.Random(3)
+    shared = [f"b{i}" for i in range(160)]
+    rows = []
+    for k in range(60):
+        own = [f"o{k}x{i}" for i in range(rng.randrange(20, 45))]
+        rows.append(" ".join(shared + own))
+        rows += [" ".join(shared + own[:-rng.randrange(1, 4)] + [f"e{k}"] * rng.randrange(1, 3)) for _ in range(rng.randrange(2))]
+        if k % 3 == 0:
+            at = rng.randrange(20, 140)
+            rows.append(" ".join(shared[:at] + [f"cut{k}"] + shared[at:] + own))
+    rng.shuffle(rows)
+    pairs = list(enumerate(rows))
+    want = brute_groups(pairs)
+    assert len({w[1] for w in want.values()}) > 20
+    assert grouped(docs_of(pairs).repartition(3)) == want
+
+
 def test_repeated_rows_null_ids_and_empty(spark, docs_of):
     got = N.groups(docs_of([(4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c d e f"), (9, "A B C D E F")])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (4, 4, True), (4, 4, True), (9, 4, False)]

@@ -14,8 +14,10 @@ intersection is at least 85 times the union, and components of links are groups.
    5 values in one tree with probability 0.44, so it is missed in all 24 with 8e-7, and falls below
    104 of 128 agreeing bits with 1e-6; closer pairs far more rarely.
 3. Connected components of likely links, then ``_confirm`` computes the true links on full sets inside
-   each; a component of up to ``BLOCK`` nodes is exact.  A larger one is split by ``ORDERS`` signature
-   orders into cells of equal leading values, worked off in sorted blocks that overlap, in bounded memory.
+   each.  A component of up to ``BLOCK`` nodes is compared at once.  In a larger one, sorted blocks of
+   ``ORDERS`` signature orders find most links in bounded memory, and ``_exact_links`` finds the others by a
+   prefix-filter join: with the shingles of every set in one order, rare ones first, two linked sets share one
+   of the first n - ceil(0.85 n) + 1 shingles of each.  Pairs that the blocks have joined already are left out.
 4. Connected components of the confirmed links.
 
 Edge cases: a text of fewer than five words is one shingle; without words, or null, the set is empty,
@@ -42,6 +44,7 @@ NEIGHBOURS = 64
 MIN_AGREE = 104
 BLOCK, OVERLAP, ORDERS, CELL_DEPTH = 2000, 256, 6, 3
 PART_WORDS = 100_000
+COUNTERS = 1 << 20
 
 _RANDOM = np.random.default_rng(11).integers(0, 1 << 32, (2, TREES * DEPTH), dtype=np.uint32)
 _RANDOM[0] |= np.uint32(1)
@@ -261,6 +264,76 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
 
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of column 0's texts fall on each of ``COUNTERS`` counters."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for s in shingle_sets(batch.column(0).to_pylist()):
+            np.add.at(total, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["counter", "n"])
+
+
+def _prefixes(counts: np.ndarray, percent: int = PERCENT):
+    """Rows ``(component, token, doc_id, n, rest)``: the rarest shingles of every set, those that a linked set must share.
+
+    ``rest`` counts the shingles from this one on; the order is the same for all sets: by counter, then by hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            component, ids, texts = (batch.column(i).to_pylist() for i in range(3))
+            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for i, s in enumerate(shingle_sets(texts)):
+                n = len(s)
+                first = s[np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))][:n - -(-percent * n // 100) + 1]
+                k = len(first)
+                for column, x in zip(columns, (np.full(k, component[i]), first.view(np.int64), np.full(k, ids[i]), np.full(k, n), n - np.arange(k)), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns],
+                                             names=["component", "token", "doc_id", "n", "rest"])
+
+    return run
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "data"])
+
+
+def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs ``(a, b)`` of rows ``(a, b, set of a, set of b)`` that are linked."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
+def _exact_links(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` inside the components of ``texts(component, doc_id, text)`` between sets that ``known(a, b)`` does not join."""
+    total = texts.select("text").mapInArrow(_shingle_counts, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[total.column("counter").to_numpy()] = total.column("n").to_numpy()
+    joined = connected_components(known).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    prefixes = texts.mapInArrow(_prefixes(counts), "component long, token long, doc_id long, n long, rest long").join(joined, "doc_id", "left").select(
+        "component", "token", "doc_id", "n", "rest", F.coalesce("label", "doc_id").alias("label"))
+    prefixes = materialise(prefixes)
+    other = prefixes.select(*[F.col(c).alias(f"{c}_b") for c in prefixes.columns])
+    # the first shingle that two sets share bounds what they share; this holds the size filter too
+    room = (100 + PERCENT) * F.least("rest", "rest_b") >= PERCENT * (F.col("n") + F.col("n_b"))
+    same = (F.col("component") == F.col("component_b")) & (F.col("token") == F.col("token_b"))
+    pairs = materialise(prefixes.join(other, same & (F.col("doc_id") < F.col("doc_id_b")) & (F.col("label") != F.col("label_b")) & room)
+                        .select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+    sets = materialise(texts.select("doc_id", "text").mapInArrow(_sets_of, "doc_id long, data binary"))
+    a, b = (sets.select(F.col("doc_id").alias(c), F.col("data").alias(f"data_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "data_a", "data_b").mapInArrow(_linked_pairs, "a long, b long")
+
+
 def groups(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``documents(doc_id, text)``."""
     docs = arrow_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -274,11 +347,17 @@ def groups(documents: DataFrame) -> DataFrame:
         _likely_links, "a long, b long")
     rough = connected_components(likely.distinct())
     sizes = rough.groupBy("component").agg((F.count(F.lit(1)) > BLOCK).alias("big"))
-    members = rough.join(sizes, "component").select("component", "big", F.col("node").alias("doc_id"))
-    texts = join_ids(docs, materialise(members)).select("component", "big", "doc_id", "text")
+    members = materialise(rough.join(sizes, "component").select("component", "big", F.col("node").alias("doc_id")))
+    texts = join_ids(docs, members).select("component", "big", "doc_id", "text")
     sets = texts.mapInArrow(_full_sets, "component long, tree int, cell binary, sig binary, doc_id long, data binary")
     links = sets.repartition("component", "tree", "cell").sortWithinPartitions("component", "tree", "cell", "sig").mapInArrow(
         _confirm, "a long, b long")
+    large = members.where("big").drop("big")
+    if not large.isEmpty():
+        # rows that share an id count once
+        large = materialise(join_ids(docs, large).dropDuplicates(["doc_id"]).select("component", "doc_id", "text"))
+        links = materialise(links)
+        links = links.union(_exact_links(large, links))
     found = connected_components(links)
     node = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = table.select("doc_id", "n_shingles", "digest").join(node, "digest", "left")
