@@ -45,6 +45,21 @@ def test_same_as_brute_force(spark, docs_of, monkeypatch, hot):
     assert digests(docs_of(pairs, "shard th n data").repartition(5)) == brute(pairs)
 
 
+def test_a_value_is_hot_for_all_batches_or_none(spark, docs_of, monkeypatch):
+    """One batch holds more entries of the values than ``HOT``, another one fewer, and there are many cells."""
+    monkeypatch.setattr(S, "HOT", 6)
+    monkeypatch.setattr(S, "PIECE_BYTES", 100)
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefghij") for _ in range(60))
+    around = lambda: "".join(rng.choice("klmnopqrst") for _ in range(70))
+    large = [(10 + i, "".join(around() + passage for _ in range(4)) + around()) for i in range(3)]
+    small = [(i, around() + passage + around()) for i in range(2)]
+    single = [(5, around() + passage + around())]
+    # partitions that differ in number are not zipped by the union: every one is a batch of its own
+    df = docs_of(large).coalesce(1).union(docs_of(small + single).coalesce(2))
+    assert digests(df) == brute([*large, *small, *single])
+
+
 def test_repeated_rows_null_id_and_empty_table(spark, docs_of):
     text = "the quick brown fox jumps over the lazy dog " * 3
     got = S.digest(docs_of([(7, text), (7, text), (None, text), (9, text + "~tail of nine")])).collect()

@@ -11,7 +11,8 @@ sorted shard by shard:
 2. ``_repeated`` keeps, per shard of values, the runs whose value is met in two documents.
 3. ``_texts_of_runs`` cuts the bytes of marked runs; equal bytes of a batch go on once, with the
    smallest document, and the others are removed at once.  Runs of a value with more than ``HOT``
-   entries are sent window by window, keyed by the window, so that they spread.
+   entries in the whole corpus are sent window by window, keyed by the window, so that they spread;
+   ``_repeated`` decides that once per value and tells every document shard.
 4. ``_removed`` concatenates the distinct runs of a shard, builds their Burrows-Wheeler transform, and
    derives common prefixes by increasing value with breadth-first backward extension
    (``short_prefixes``), stopping at ``length``: what is left between two shorter prefixes are equal windows.
@@ -135,17 +136,17 @@ def _from_planes(data: bytes, at: int, kind, n: int) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(planes.T).view(kind).ravel(), at + n * size
 
 
-def _pack(value, row, start, size, hot) -> bytes:
-    """Run entries: 48 bits of the value, then document, start, windows and the mark of a hot value.
+def _pack(value, row, start, size) -> bytes:
+    """Run entries: 48 bits of the value, then document, start and windows.
 
     A shorter value can only mark a run too many; what is removed is decided on the bytes.
     """
     return b"".join((_planes(value)[2 * len(value):], _planes(row), _planes(start.astype(np.int32)),
-                     _planes(size.astype(np.int32)), _planes(hot.astype(np.uint8))))
+                     _planes(size.astype(np.int32))))
 
 
 def _unpack(ns, blobs) -> list[np.ndarray]:
-    kinds = (np.int64, np.int32, np.int32, np.uint8)
+    kinds = (np.int64, np.int32, np.int32)
     columns = [[np.zeros(0, k)] for k in (np.uint64, *kinds)]
     for n, data in zip(ns, blobs, strict=True):
         value, _ = _from_planes(bytes(2 * n) + data[:6 * n], 0, np.uint64, n)
@@ -191,17 +192,17 @@ def _runs_of_batch(shards: int, length: int):
             heads = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             counts = np.diff(np.append(heads, len(value)))
             several = np.repeat(row[heads] != row[heads + counts - 1], counts)
-            hot = np.repeat(counts > HOT, counts)
-            # entries known to repeat go on as they are; one of each tells the value's shard (start -1)
+            # entries known to repeat go on as they are; one of each tells the value's shard (start -1, their number as size)
             entry = ~several
             entry[heads] = True
-            told = np.where(several, -1, start)
+            told, number = np.where(several, -1, start), np.where(several, np.repeat(counts, counts), size)
             rows = []
-            for sure, pick, at, begin in ((0, entry, (value >> np.uint64(20)) % np.uint64(shards), told), (1, several, _home(row, shards), start)):
+            for sure, pick, at, begin, many in ((0, entry, (value >> np.uint64(20)) % np.uint64(shards), told, number),
+                                                (1, several, _home(row, shards), start, size)):
                 take = np.flatnonzero(pick)
                 for s, k in _dealt(at[take].astype(np.int64), shards):
                     k = take[k]
-                    rows.append((s, sure, len(k), _pack(value[k], row[k], begin[k], size[k], hot[k])))
+                    rows.append((s, sure, len(k), _pack(value[k], row[k], begin[k], many[k])))
             yield _batch_of(rows)
 
     return run
@@ -214,24 +215,30 @@ def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _repeated(shards: int):
-    """Runs of one shard whose value is met in two documents, packed for the documents' shards."""
+    """Runs of one shard whose value is met in two documents, packed for the documents' shards.
+
+    Rows of kind 2 tell all of these the hot values, those with more than ``HOT`` entries in all batches.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         kind, n, data = (table.column(c).to_pylist() for c in ("kind", "n", "data"))
         told = [i for i, k in enumerate(kind) if k == 0]
-        value, row, start, size, _ = _unpack([n[i] for i in told], [data[i] for i in told])
+        value, row, start, size = _unpack([n[i] for i in told], [data[i] for i in told])
         order = np.argsort(value, kind="stable")
         value, row, start, size = (x[order] for x in (value, row, start, size))
-        keep, hot = np.zeros(0, bool), np.zeros(0, bool)
+        keep, hot = np.zeros(0, bool), np.zeros(0, np.uint64)
         if len(value):
             heads = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             counts = np.diff(np.append(heads, len(value)))
             several = np.minimum.reduceat(row, heads) != np.maximum.reduceat(row, heads)
             several |= np.minimum.reduceat(start, heads) < 0
-            keep, hot = np.repeat(several, counts) & (start >= 0), np.repeat(counts > HOT, counts)
-        rows = [(s, 0, len(k), _pack(value[keep][k], row[keep][k], start[keep][k], size[keep][k], hot[keep][k]))
+            keep = np.repeat(several, counts) & (start >= 0)
+            hot = value[heads[several & (np.add.reduceat(np.where(start < 0, size, 1).astype(np.int64), heads) > HOT)]]
+        rows = [(s, 0, len(k), _pack(value[keep][k], row[keep][k], start[keep][k], size[keep][k]))
                 for s, k in _dealt(_home(row[keep], shards), shards)]
         rows += [(table.column("shard")[i].as_py(), 1, n[i], data[i]) for i, k in enumerate(kind) if k == 1]
+        if len(hot):
+            rows += [(s, 2, len(hot), hot.tobytes()) for s in range(shards)]
         return pa.Table.from_batches([_batch_of(rows)])
 
     return run
@@ -246,7 +253,9 @@ def _texts_of_runs(shards: int, cells: int, length: int):
         ids, th = _doc_ids(docs.column("doc_id").combine_chunks()), docs.column("th").to_numpy()
         data, offsets = _bytes_of(docs.column("text").combine_chunks())
         raw = data.tobytes()
-        value, row, start, size, hot = _unpack(found.column("n").to_pylist(), found.column("data").to_pylist())
+        packed = list(zip(*(found.column(c).to_pylist() for c in ("kind", "n", "data")), strict=True))
+        value, row, start, size = _unpack([n for k, n, _ in packed if k != 2], [x for k, _, x in packed if k != 2])
+        hot = np.isin(value, np.frombuffer(b"".join(x for k, _, x in packed if k == 2), np.uint64))
         by_id = np.argsort(ids, kind="stable")
         low, high = np.searchsorted(ids[by_id], row, "left"), np.searchsorted(ids[by_id], row, "right")
         count = high - low  # several rows may share an id
