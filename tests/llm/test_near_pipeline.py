@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -76,6 +77,37 @@ def test_large_component_of_shared_boilerplate_is_exact(spark, docs_of, monkeypa
     assert grouped(docs_of(pairs).repartition(3)) == want
 
 
+def test_crowded_and_cut_regions_keep_all_their_nodes(spark):
+    """Two like nodes 80 places apart among unlike ones, and regions that lie in several batches or partitions."""
+    rng = np.random.default_rng(1)
+    bits = rng.bytes(16 * 300)
+    bits = [bits[16 * i:16 * i + 16] for i in range(300)]
+    bits[90] = bits[10]
+    sig = [b"\0" * 10 + i.to_bytes(10, "big") for i in range(300)]
+    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary())
+    part = lambda *ids: pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(([3] * len(ids), [sig[i] for i in ids], list(ids), [bits[i] for i in ids]), kinds)], names=["tree", "sig", "doc_id", "bits"])
+
+    def joined(*parts):
+        rows = [(r["a"], r["b"], r["border"]) for batches in parts for out in N._likely_links(iter(batches)) for r in out.to_pylist()]
+        frame = spark.createDataFrame(rows, "a long, b long, border binary")
+        return {frozenset(k) for k in _by_component(connected_components(N._rough_links(frame)).collect())}
+
+    everything = {frozenset(range(100))}
+    assert joined([part(*range(100))]) == everything
+    assert joined([part(*range(0, 40)), part(*range(40, 66)), part(*range(66, 100))]) == everything
+    assert joined([part(*range(0, 30))], [part(*range(30, 100))]) == everything
+    assert joined([part(*range(0, 5))], [part(*range(5, 8))]) == {frozenset(range(8))}
+    assert joined([part(*range(0, 60))]) == set()
+
+
+def _by_component(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.component, set()).add(r.node)
+    return out.values()
+
+
 def test_repeated_rows_null_ids_and_empty(spark, docs_of):
     got = N.groups(docs_of([(4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c d e f"), (9, "A B C D E F")])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (4, 4, True), (4, 4, True), (9, 4, False)]

@@ -8,9 +8,10 @@ intersection is at least 85 times the union, and components of links are groups.
    node from here on, so exact copies of any number cost one node.
 2. LSH forest: every node stands in ``TREES`` orders sorted by signature (range-partitioned, so a
    region is cut rather than gathered).  Nodes that share at least ``MIN_DEPTH`` leading values with a
-   longest-common-prefix neighbour are candidates; in a region of up to ``NEIGHBOURS`` + 1 nodes these are
-   all pairs, in a crowded one the neighbours of greater depth and the first of the region.  A candidate whose
-   one-bit values agree in ``MIN_AGREE`` places is a likely link.  A pair at the limit of 0.85 shares
+   longest-common-prefix neighbour are candidates.  In a region of up to ``NEIGHBOURS`` + 1 nodes these are
+   all pairs, and a candidate whose one-bit values agree in ``MIN_AGREE`` places is a likely link.  All nodes of a
+   crowded region, and of one that a partition's border cuts, go into one rough component untested, so that
+   step 3 compares them exactly.  A pair at the limit of 0.85 shares
    5 values in one tree with probability 0.44, so it is missed in all 24 with 8e-7, and falls below
    104 of 128 agreeing bits with 1e-6; closer pairs far more rarely.
 3. Connected components of likely links, then ``_confirm`` computes the true links on full sets inside
@@ -142,22 +143,37 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _likely_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (tree, signature): links of near neighbours in a region, as (node, smallest node met)."""
+    """Rows sorted by (tree, signature): likely links ``(a, b)`` of nodes in a region.
+
+    Rows with a ``border`` are the nodes of the partition's first and last region, which a neighbouring partition
+    may hold too, with the first node of the region here; of a crowded region the first node does for all.
+    """
     keep: tuple | None = None  # the last rows of the batch before
-    head: tuple | None = None  # the first row of the region that is open
+    head: tuple | None = None  # key and first node of the region that is open, and its rows so far
+    start: bytes | None = None  # the region that the partition begins with
+
+    def batch_of(a, b, border):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(border, pa.binary())], names=["a", "b", "border"])
+
     for batch in batches:
         key = np.concatenate([batch.column(0).to_numpy().astype(np.uint8)[:, None], _fixed(batch.column(1), 2 * DEPTH)[:, :2 * MIN_DEPTH]], axis=1)
         node, bits = batch.column(2).to_numpy(), _fixed(batch.column(3), 16).view(np.uint64)
         if not len(node):
             continue
+        old = 0
         if keep is not None:
+            old = len(keep[1])
             key, node, bits = (np.concatenate(x) for x in zip(keep, (key, node, bits), strict=True))
         new = np.append(True, (key[1:] != key[:-1]).any(1))
         region = np.cumsum(new) - 1
-        first = np.flatnonzero(new)[region]
-        a, b = [first], [np.arange(len(node))]
-        for step in range(1, NEIGHBOURS + 1):
-            left = np.flatnonzero(region[step:] == region[:-step]) if step < len(node) else np.zeros(0, int)
+        first, size = node[np.flatnonzero(new)], np.bincount(region)
+        if head is not None and (key[0] == head[0]).all():  # the region began before the rows kept, or with them
+            first[0] = head[1]
+            size[0] = head[2] + int((region[old:] == 0).sum())
+        crowded = (size > NEIGHBOURS + 1)[region]
+        a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+        for step in range(1, min(NEIGHBOURS + 1, len(node))):
+            left = np.flatnonzero((region[step:] == region[:-step]) & ~crowded[step:])
             if not len(left):
                 break
             a.append(left)
@@ -167,16 +183,30 @@ def _likely_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ok = (agree >= MIN_AGREE) & (node[a] != node[b])
         label = _labels(len(node), a[ok], b[ok])
         at = np.flatnonzero(label != np.arange(len(node)))
-        found_a, found_b = [node[at]], [node[label[at]]]
-        if head is not None and (key[0] == head[0]).all():  # the region began before the rows kept
-            same = region == 0
-            near = same & (128 - np.bitwise_count(bits ^ head[2]).sum(1, dtype=np.int64) >= MIN_AGREE)
-            found_a.append(node[near])
-            found_b.append(np.full(int(near.sum()), head[1]))
-        if head is None or region[-1] > 0 or (key[0] != head[0]).any():
-            head = (key[-1].copy(), node[first[-1]], bits[first[-1]].copy())
-        keep = (key[-NEIGHBOURS:].copy(), node[-NEIGHBOURS:].copy(), bits[-NEIGHBOURS:].copy())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+        out_a, out_b = [node[at], node[crowded]], [node[label[at]], first[region[crowded]]]
+        border: list[bytes | None] = [None] * sum(map(len, out_a))
+        if start is None:
+            start = key[0].tobytes()
+        if head is None or head[0].tobytes() == start:
+            some = node[region == 0] if size[0] <= NEIGHBOURS + 1 else first[:1]
+            out_a.append(some)
+            out_b.append(np.full(len(some), first[0]))
+            border += [start] * len(some)
+        head = (key[-1].copy(), first[-1], int(size[-1]))
+        keep = (key[-NEIGHBOURS - 1:].copy(), node[-NEIGHBOURS - 1:].copy(), bits[-NEIGHBOURS - 1:].copy())
+        yield batch_of(np.concatenate(out_a), np.concatenate(out_b), border)
+    if head is not None:
+        some = keep[1][(keep[0] == head[0]).all(1)] if head[2] <= NEIGHBOURS + 1 else np.array([head[1]])
+        yield batch_of(some, np.full(len(some), head[1]), [head[0].tobytes()] * len(some))
+
+
+def _rough_links(likely: DataFrame) -> DataFrame:
+    """The links of ``_likely_links``, and those of regions that lie in several partitions."""
+    edge = likely.where("border is not null")
+    several = edge.groupBy("border").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low != high")
+    across = edge.join(several, "border").select("a", "b", "low")
+    return likely.where("border is null").select("a", "b").union(across.select("a", F.col("low").alias("b"))).union(
+        across.select("b", F.col("low").alias("b_"))).distinct()
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,8 +374,8 @@ def groups(documents: DataFrame) -> DataFrame:
     width = 2 * DEPTH
     entries = entries.select("tree", F.substring("forest", F.col("tree") * width + 1, F.lit(width)).alias("sig"), "doc_id", "bits")
     likely = entries.repartitionByRange("tree", "sig", "doc_id").sortWithinPartitions("tree", "sig", "doc_id").mapInArrow(
-        _likely_links, "a long, b long")
-    rough = connected_components(likely.distinct())
+        _likely_links, "a long, b long, border binary")
+    rough = connected_components(_rough_links(materialise(likely.distinct())))
     sizes = rough.groupBy("component").agg((F.count(F.lit(1)) > BLOCK).alias("big"))
     members = materialise(rough.join(sizes, "component").select("component", "big", F.col("node").alias("doc_id")))
     texts = join_ids(docs, members).select("component", "big", "doc_id", "text")
