@@ -43,6 +43,25 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert part in [text[a:b] for a, b in every[kind]]
 
 
+@pytest.mark.parametrize(("text", "kind", "part"), [
+    ("write to john.doe at example.com", "email", "john.doe at example.com"),
+    ("ip 10 point 0 point 0 point one", "ip", "10 point 0 point 0 point one"),
+    ("one point two point three point four", "ip", "one point two point three point four"),
+    ("a.b.c.d.e.f.g.h.i.j.k at x dot com", "email", "a.b.c.d.e.f.g.h.i.j.k at x dot com")])
+def test_disguises_need_no_other_hint_in_the_text(text, kind, part):
+    assert part in [text[a:b] for a, b in P.find_in(text)[1][kind]]
+
+
+def test_unrelated_text_decides_nothing():
+    rng = random.Random(4)
+    parts = [" at ", " dot ", " point ", ".", "@", " ", "-", "one", "Two", "zero", "7", "joe", "x", "com", "+", "plus ", "(at)", "[.]", ","]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 24)))
+        assert P.find_in(text)[1] == P.find_in(text + "\n\u2013 then \u2013")[1], text
+    long = "a dot " * 40000 + "b.c" * 40000 + " at"
+    assert P.find_in(long)[1]["email"] == []
+
+
 def test_ordinary_text_has_no_disguise():
     for text in ("I have one two three four reasons to be at home", "we met at the bar dot dot dot", "(at) . the end", "", "naïve café"):
         assert P.find_in(text)[1] == {k: [] for k in P.KINDS}

@@ -49,8 +49,9 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 SPELLED_DIGITS = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus +|\+ ?)?(?:{_WORD}|[0-9]+)(?:(?: dot | point |[ .-]){{1}}(?:{_WORD}|[0-9]+)(?![A-Za-z]))+")
 DIGIT_PARTS = re.compile(rf"(?i){_WORD}(?![A-Za-z])|[0-9]+|plus +|\+ ?| (?:dot|point) |[ .-]")
 BRACKETED = re.compile(rf"(?i) *{_OPEN} *(at|@|dot|\.) *{_CLOSE} *")
+# A local part without an address after it matches too, with group 1 unset: it is passed over once, whatever its length.
 SPELLED_ADDRESS = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]++(?:(?:\.| dot )[a-z0-9_%+-]++){0,8}(?: at |@)[a-z0-9-]++(?:(?:\.| dot )[a-z0-9-]++)+(?![A-Za-z0-9-])")
+    r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]++(?:(?:\.| dot )[a-z0-9_%+-]++)*+((?: at |@)[a-z0-9-]++(?:(?:\.| dot )[a-z0-9-]++)+(?![A-Za-z0-9-]))?")
 ADDRESS_PARTS = re.compile(r"(?i) (at|dot) ")
 
 
@@ -140,26 +141,31 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
 
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
+    if not ADDRESS_PARTS.search(text):
+        return edits
     for found in SPELLED_ADDRESS.finditer(text):
+        if found[1] is None:
+            continue
         edits += [(found.start() + p.start(), found.start() + p.end(), "@" if p[1].lower() == "at" else ".")
                   for p in ADDRESS_PARTS.finditer(found[0])]
     return edits
 
 
-HINT = re.compile(rf"(?i) dot |{_OPEN} *(?:at|@|dot|\.) *{_CLOSE}|(?<![a-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ .-](?:[0-9]|zero|oh|one|two|three|four|five|six|seven|eight|nine)")
+def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in BRACKETED.finditer(text)]
 
 
 def deobfuscated(text: str) -> Tape | None:
     """The rewritten text, or None if nothing was rewritten."""
-    folds = [] if text.isascii() else _fold_edits(text)
-    if not folds and not HINT.search(text):
-        return None
-    tape = Tape(text)
-    tape.replace(folds)
-    tape.replace([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in BRACKETED.finditer(tape.text)])
-    tape.replace(_digit_edits(tape.text))
-    tape.replace(_address_edits(tape.text))
-    return tape if len(tape.text) != len(text) or any(tape.changed) else None
+    tape = None
+    for edits_of in (_fold_edits, _bracket_edits, _digit_edits, _address_edits):
+        now = text if tape is None else tape.text
+        if edits_of is _fold_edits and now.isascii():
+            continue
+        if edits := edits_of(now):
+            tape = tape or Tape(text)
+            tape.replace(edits)
+    return tape
 
 
 def emails(text: str) -> list[Span]:
