@@ -104,10 +104,73 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
        coalesce(low.y, d.doc_id) >= d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.x = d.doc_id"""
 
+def _state(cost: str, audit: str, text: str) -> str:
+    return f"{{'c': {cost}, 'a': {audit}, 't': {text}}}"
+
+
+def _edit(letter: str, cost: str, role: str = "", text: str = "''"):
+    """SQL of a state after an edit: cost, audit and repaired lines."""
+    line = f" || chr(10) || {role} || ':' || {text}" if role else ""
+    return lambda s: _state(f"{s}.c + {cost}", f"{s}.a || '{letter}'", f"{s}.t{line}")
+
+
+_DEL, _KEEP = _edit("D", "2"), _edit("K", "x", "role", "text")
+_RE_USER, _RE_ASSISTANT = _edit("R", "1 + x", "'user'", "text"), _edit("R", "1 + x", "'assistant'", "text")
+_ADD_USER, _ADD_ASSISTANT = _edit("I", "5", "'user'"), _edit("I", "5", "'assistant'")
+_NEVER = _state("1099511627776", "''", "''")
+
+
+def _if(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} END"
+
+
+# Cheapest way to each state of the role pattern (0 start, 1 after s, 2 after u, 3 after a), row by row.
+_CLOSED = f"""(SELECT *, least(c3, {_ADD_ASSISTANT("d2")}) AS d3
+   FROM (SELECT *, least(c2, {_ADD_USER("c0")}, {_ADD_USER("c1")}, {_ADD_USER("c3")}) AS d2 FROM walk) AS z)"""
+OP11 = rf"""
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([CAST(b AS UBIGINT)], list_transform(range(8), lambda z: CAST(0 AS UBIGINT))),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS UBIGINT)) ELSE c // 2 END)) AS t),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+harmed AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split(name, ''), lambda h: CAST(unicode(h) AS UBIGINT))),
+    lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) % 20 AS harm FROM named, steps),
+damaged AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+    CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM harmed),
+placed AS (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(coalesce(CAST(conv_id AS VARCHAR), 'null ') || ':' || length(role) || ':' || role || text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {_state("CAST(0 AS BIGINT)", "''", "''")} AS c0, {_NEVER} AS c1, {_NEVER} AS c2, {_NEVER} AS c3 FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {_DEL("c0")}, least({_DEL("c1")}, {_if("ok AND initial = 's'", _KEEP("c0"))}),
+    least({_DEL("d2")}, {", ".join(_if("ok AND initial = 'u'", _KEEP(s)) for s in ("c0", "c1", "d3"))}, {", ".join(_if("ok", _RE_USER(s)) for s in ("c0", "c1", "d3"))}),
+    least({_DEL("d3")}, {_if("ok AND initial = 'a'", _KEEP("d2"))}, {_if("ok", _RE_ASSISTANT("d2"))})
+  FROM (SELECT w.conv_id, f.i, c0, c1, d2, d3, role, text, initial, fault NOT IN (1, 2) AS ok, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS x
+        FROM {_CLOSED} AS w JOIN faulty AS f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1) AS y),
+ends AS (SELECT conv_id, i, least(c0, d3) AS won FROM {_CLOSED} AS w),
+counts AS (SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, won.c AS cost, won.a AS audit, sha256(substr(won.t, 2)) AS repaired_sha256
+FROM ends AS e LEFT JOIN counts AS k ON k.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.i = coalesce(n, 0)"""
+
+OP12 = """
+WITH records AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+ranked AS (SELECT *, payload_bytes >= 100 AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) > 1 AS again,
+  first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS lead FROM records)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN lead END AS refers_to FROM ranked"""
+
 ORACLES = {
     "op1_redirect_equivalence": OP1,
     "op2_prefix_interval_dedup": OP2,
     "op5_benchmark_decontamination": OP5,
     "op6_cuckoo_line_dedup": OP6,
     "op10_lsh_forest": OP10,
+    "op11_conversation_repair": OP11,
+    "op12_legacy_archives": OP12,
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from veriledger.llm import decontaminate, language_id, line_dedup, near_duplicates, personal_data, sentencepiece_codec, suffix_dedup, toxicity_neighbours, url_aliases, weighted_fingerprints
+from veriledger.llm import (conversation_repair, decontaminate, language_id, line_dedup, near_duplicates, personal_data, sentencepiece_codec,
+                            suffix_dedup, toxicity_neighbours, url_aliases, warc_archive, weighted_fingerprints, whitening)
 
 
 def _table(spark, sf_dir, name):
@@ -49,7 +50,20 @@ def op10_lsh_forest(spark, sf_dir):
     return near_duplicates.groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op12_legacy_archives(spark, sf_dir):
+    return warc_archive.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_redirect_equivalence, op2_prefix_interval_dedup, op3_toxicity_neighbours,
                                    op4_offset_preserving_pii, op5_benchmark_decontamination,
                                    op6_cuckoo_line_dedup, op7_language_bitmask_filters, op8_sentencepiece_backend,
-                                   op9_consistent_weighted_sampling, op10_lsh_forest)}
+                                   op9_consistent_weighted_sampling, op10_lsh_forest, op11_conversation_repair,
+                                   op12_legacy_archives, op13_embedding_whitening)}
