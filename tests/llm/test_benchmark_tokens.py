@@ -1,3 +1,5 @@
+import itertools
+
 import collections
 import hashlib
 import random
@@ -107,3 +109,24 @@ def test_codec_is_sentencepiece(spark, docs_of):
     assert len(got) == len(odd) + 2 and all(r.parity for r in got) and got[len(odd)].decoded == ""
     assert all(r.round_trip == (o.find("▁") < 0) for r, o in zip(S.digest(docs_of(odd)).orderBy("doc_id").collect(), odd))
     assert S.digest(docs_of(odd).where("false")).count() == 0
+
+
+def test_codec_over_all_places_of_spaces_and_markers():
+    data = S.read_bytes(S.MODEL_PATH)
+    reference, codec = sentencepiece.SentencePieceProcessor(model_proto=data), S.Codec(data)
+    parts = ["a", " ", "▁", "\n", "é", "日", " the"]
+    texts = ["".join(x) for n in range(5) for x in itertools.product(parts, repeat=n)]
+    ids = codec.encode(texts)
+    assert ids == reference.encode(texts)
+    assert codec.decode(ids) == reference.decode(ids)
+    assert codec.decode([[22557, 28705], [3 + 0xC3], [3 + 0xC3, 3 + 0xA9]]) == ["Hello ", "\ufffd", "é"]
+
+
+def test_words_are_learned_in_blocks(monkeypatch):
+    monkeypatch.setattr(S, "WORDS_AT_ONCE", 3)
+    monkeypatch.setattr(S, "KNOWN_WORDS", 10)
+    data = S.read_bytes(S.MODEL_PATH)
+    reference, codec = sentencepiece.SentencePieceProcessor(model_proto=data), S.Codec(data)
+    texts = [" ".join(f"w{i % 7}é{i}" for i in range(k)) for k in range(300)]
+    for at in range(0, 300, 50):
+        assert codec.encode(texts[at:at + 50]) == reference.encode(texts[at:at + 50])

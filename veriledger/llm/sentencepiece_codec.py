@@ -4,8 +4,8 @@ The model file is a protobuf message; ``parse_model`` reads its wire format and
 their scores and kinds, the model type and the normaliser's settings.  ``build`` rebuilds the
 tokenizer from them: character map, white space handling, the metaspace marker, byte fallback, and
 either the unigram scores or, for a BPE model, the merges that the piece scores imply.  Texts are
-encoded in batches, in as many threads as asked for, and parity with the sentencepiece library itself is
-reported for every text, ids and decoded text both.
+encoded in batches, in as many threads as the task has cores (``spark.task.cpus``), and parity with the sentencepiece library
+itself is reported for every text, ids and decoded text both.
 
 The model is read once on the driver (a vocabulary, well below a megabyte for 32,000 pieces) and its bytes
 travel with the job, so executors need no file.
@@ -17,16 +17,18 @@ Repeated rows are encoded alike; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,7 @@ MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 1 << 19
 KNOWN_WORDS = 200_000
+WORDS_AT_ONCE = 1000
 
 
 @dataclass
@@ -164,39 +167,59 @@ class Codec:
         # pieces stay within a word and every word gets a marker: words may be encoded once and put together
         self.by_word = (m.dummy_prefix and m.escape_spaces and not m.chars_map and not m.remove_extra_spaces
                         and all(MARK not in t.lstrip(MARK) for t, _, k in m.pieces if k == NORMAL))
-        self.known: dict[str, array] = {}
-        # a byte piece below 128 is a character by itself; others need their neighbours
-        self.shown = [t.replace(MARK, " ") if k in (NORMAL, USER_DEFINED) else chr(int(t[3:5], 16)) if k == BYTE and int(t[3:5], 16) < 128 else None
+        self.known: dict[str, bytes] = {}
+        self.leads = np.array([t[:1] == MARK for t, _, _ in m.pieces])
+        # a piece's bytes as they stand in the text, None for pieces that only the backend's decoder knows; their
+        # characters, None where they need their neighbours
+        self.shown = [t.replace(MARK, " ").encode() if k in (NORMAL, USER_DEFINED) else bytes([int(t[3:5], 16)]) if k == BYTE else None
                       for t, _, k in self.model.pieces]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        runs = [i for i, t in enumerate(texts) if t[:1] == " " or "  " in t or MARK in t or self.model.chars_map]
-        odd = set(runs)
+        self.chars = [None if b is None or len(b) == 1 and b[0] > 127 else b.decode() for b in self.shown]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words without spaces and markers: a thousand words to a text, cut again at the pieces with a marker."""
+        for at in range(0, len(words), WORDS_AT_ONCE * 64):
+            texts = [words[i:i + WORDS_AT_ONCE] for i in range(at, min(len(words), at + WORDS_AT_ONCE * 64), WORDS_AT_ONCE)]
+            for part, e in zip(texts, self.fast.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<i4")
+                cuts = [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)]
+                data = ids.tobytes()
+                for w, start, end in zip(part, cuts[:-1], cuts[1:], strict=True):
+                    self.known[w] = data[4 * start:4 * end]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
         out: list = [None] * len(texts)
-        plain = [i for i in range(len(texts)) if i not in odd]
-        if self.by_word:
-            words = [texts[i].split(" ") for i in plain]
-            if len(self.known) > KNOWN_WORDS:
-                self.known.clear()
-            new = list({w for ws in words for w in ws if w not in self.known})
-            self.known.update(zip(new, (array("i", e.ids) for e in self.careful.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            for i, ws in zip(plain, words, strict=True):
-                out[i] = list(chain.from_iterable(map(self.known.__getitem__, ws)))
-            plain = []
-        for backend, chosen in ((self.careful, runs), (self.fast, plain)):
-            for i, e in zip(chosen, backend.encode_batch_fast([texts[i] for i in chosen], add_special_tokens=False), strict=True):
-                out[i] = e.ids
+        plain, rest = [], []
+        for i, t in enumerate(texts):
+            careful = not self.by_word or t[:1] == " " or t[-1:] == " " or "  " in t or MARK in t
+            (rest if careful else plain).append(i)
+        words = [texts[i].split(" ") if texts[i] else [] for i in plain]
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        self._learn(list(set(filterfalse(self.known.__contains__, chain.from_iterable(words)))))
+        for i, ws in zip(plain, words, strict=True):
+            out[i] = b"".join(map(self.known.__getitem__, ws))
+        for i, e in zip(rest, self.careful.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<i4").tobytes()
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(b, "<i4").tolist() for b in self.encode_bytes(texts)]
+
     def decode(self, batch: list[list[int]]) -> list[str]:
-        """Pieces put together; what has byte or other pieces goes through the backend's decoder."""
+        """Pieces put together, a replacement character for each byte that is no UTF-8; what has other pieces goes through the backend's decoder."""
+        codecs.register_error("one_mark_a_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
         out: list = []
         for ids in batch:
             try:
-                text = "".join([self.shown[i] for i in ids])
-                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+                text = "".join(map(self.chars.__getitem__, ids))
             except TypeError:
-                out.append(self.careful.decode(ids, skip_special_tokens=False))
+                try:
+                    text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "one_mark_a_byte")
+                except TypeError:
+                    out.append(self.careful.decode(ids, skip_special_tokens=False))
+                    continue
+            out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
         return out
 
 
@@ -229,24 +252,31 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _coded(data: bytes, threads: int, column: pa.Array) -> Iterator[tuple[list[str], list[list[int]], list[str], list[bool]]]:
-    """(texts, ids, decoded texts, parity) of the texts of a column, slice by slice."""
+def _coded(data: bytes, column: pa.Array) -> Iterator[tuple[list[str], list[bytes], list[list[int]], list[str], list[bool]]]:
+    """(texts, id bytes, ids, decoded texts, parity) of the texts of a column, slice by slice, with the cores of the task."""
+    task = TaskContext.get()
+    threads = task.cpus() if task else 1
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ["RAYON_NUM_THREADS"] = str(threads)
     codec, reference = _codec(data)
     for part in _slices(column.fill_null("").to_pylist()):
-        ids = codec.encode(part)
-        yield part, ids, codec.decode(ids), [a == b for a, b in zip(ids, reference.encode(part, num_threads=threads), strict=True)]
+        coded = codec.encode_bytes(part)
+        ids = reference.encode(part, num_threads=threads)
+        same = [array("i", theirs).tobytes() == own for own, theirs in zip(coded, ids, strict=True)]
+        ids = [theirs if s else np.frombuffer(own, "<i4").tolist() for own, theirs, s in zip(coded, ids, same, strict=True)]
+        decoded = codec.decode(ids)
+        parity = [s and a == b for s, a, b in zip(same, decoded, reference.decode(ids, num_threads=threads), strict=True)]
+        yield part, coded, ids, decoded, parity
 
 
-def encode(documents: DataFrame, model_path: str = MODEL_PATH, threads: int = 1) -> DataFrame:
-    """``doc_id, ids, decoded, parity`` per row; parity: the sentencepiece library gives the same ids."""
+def encode(documents: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
+    """``doc_id, ids, decoded, parity`` per row; parity: the sentencepiece library gives the same ids and the same text for them."""
     data = read_bytes(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for _, ids, decoded, parity in _coded(data, threads, batch.column(1)):
+            for _, _, ids, decoded, parity in _coded(data, batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(ids)), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(parity)],
                     names=["doc_id", "ids", "decoded", "parity"])
@@ -256,17 +286,17 @@ def encode(documents: DataFrame, model_path: str = MODEL_PATH, threads: int = 1)
     return docs.mapInArrow(run, "doc_id long, ids array<int>, decoded string, parity boolean")
 
 
-def digest(documents: DataFrame, model_path: str = MODEL_PATH, threads: int = 1) -> DataFrame:
+def digest(documents: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip, parity``; ids are hashed as little-endian 32-bit numbers."""
     data = read_bytes(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts, ids, decoded, parity in _coded(data, threads, batch.column(1)):
+            for texts, coded, ids, decoded, parity in _coded(data, batch.column(1)):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(ids)), pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids], pa.string()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in coded], pa.string()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
                     pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_()), pa.array(parity, pa.bool_()),
                 ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"])
