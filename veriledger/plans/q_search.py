@@ -220,7 +220,7 @@ _WORD = "CASE c.axis WHEN 16 THEN 'bit-identical' ELSE 'approximate' END"
 @query("n18_route_hits", f"""
 WITH z AS (SELECT c.subject, c.axis, c.score, c.note, r.subject IS NULL AS never, r.hit AND r.subject % 4 >= 2 AS unr,
    coalesce(r.hit AND ((r.subject % 4 = 0 AND c.axis = 17) OR r.subject % 4 = 1), FALSE) AS positive,
-   CASE WHEN r.hit AND ((r.subject % 4 = 0 AND c.axis = 17) OR r.subject % 4 = 1) THEN 'An independent ' || {_WORD} || ' reproduction report WAS found. ' ELSE 'Nothing found: no third party reports a ' || {_WORD} || ' reproduction. ' END || {_NOTE} AS nn
+   CASE WHEN r.hit AND ((r.subject % 4 = 0 AND c.axis = 17) OR r.subject % 4 = 1) THEN 'Found: a third party reports a ' || {_WORD} || ' reproduction. ' ELSE 'Nothing found: no third party reports a ' || {_WORD} || ' reproduction. ' END || {_NOTE} AS nn
    FROM fx_cells c LEFT JOIN fn_adjudged r ON r.subject = c.subject WHERE c.axis IN (16, 17))
 SELECT subject, axis, score, positive, CASE WHEN never THEN 'never searched' WHEN unr THEN 'unroutable hit' END AS blocked,
        CASE WHEN NOT never AND NOT unr THEN nn END AS new_note, CASE WHEN NOT never AND NOT unr THEN nn IS DISTINCT FROM note END AS changed FROM z""")
