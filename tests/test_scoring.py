@@ -112,7 +112,7 @@ def test_global_rank_with_a_hot_value(spark):
     rng = random.Random(1)
     rows = [(i, 5.0 if i % 3 else float(rng.randint(0, 9))) for i in range(600)]
     want = {i: r for r, (i, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
-    got = global_rank(spark.createDataFrame(rows, "id long, v double"), "v", "id", buckets=8)
+    got = global_rank(spark.createDataFrame(rows, "id long, v double"), "v", "id")
     assert {r.id: r.rank for r in got.collect()} == want
     same = spark.createDataFrame([(i, 1.0) for i in range(5)], "id long, v double")
     assert {r.id: r.rank for r in global_rank(same, "v", "id").collect()} == {i: i + 1 for i in range(5)}
@@ -126,6 +126,6 @@ def test_zero_is_not_missing(spark):
 def test_rank_with_nulls_ties_and_an_outlier(spark):
     rng = random.Random(9)
     rows = [(i, None if i % 7 == 0 else 5.0 if i % 3 == 0 else rng.random() * 10) for i in range(1000)] + [(1000, 1e12), (1001, -1e12)]
-    got = {r.id: r["rank"] for r in global_rank(spark.createDataFrame(rows, "id long, value double"), "value", "id", buckets=16).collect()}
+    got = {r.id: r["rank"] for r in global_rank(spark.createDataFrame(rows, "id long, value double"), "value", "id").collect()}
     order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {r[0]: k for k, r in enumerate(order, 1)}

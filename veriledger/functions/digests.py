@@ -46,6 +46,46 @@ def multiset_digest(df: DataFrame, *cols: Column, by: list[str] | None = None) -
     return summed.select(*(by or []), "n_rows", close_digest(F.col("n_rows")).alias("fingerprint"))
 
 
+# Two primes below 2**31 and a base for each: products of residues fit a long.
+SEGMENT_FIELDS = ((2_147_483_647, 1_000_003), (2_147_483_629, 16_777_619))
+SEGMENT_ROWS = 65_536
+
+
+def _power(base: int, exponent: Column, modulus: int, bits: int) -> Column:
+    """base ** exponent modulo a prime below 2**31, by the bits of the exponent."""
+    out = F.lit(1).cast("long")
+    for k in range(bits):
+        bit = F.shiftright(exponent, k).bitwiseAND(F.lit(1))
+        out = (out * F.when(bit == 1, F.lit(pow(base, 1 << k, modulus)).cast("long")).otherwise(F.lit(1).cast("long"))) % modulus
+    return out
+
+
+def segment_hashes(rows: DataFrame, ordinal: str, fields: list[str], span: int = SEGMENT_ROWS) -> DataFrame:
+    """``(segment, n, h0, h1)`` of rows numbered by ``ordinal``: an order-sensitive hash of every ``span`` ordinals.
+
+    A segment's hash is the polynomial of its row digests in the ordinal's powers, so it is a sum: partial sums combine on the
+    map side in any order, and still two rows that change places change it.  ``span`` is at most ``SEGMENT_ROWS``.
+    """
+    at = F.col(ordinal).cast("long")
+    digest = F.sha2(F.to_json(F.struct(*fields)), 256)
+    rows = rows.select(F.floor(at / span).alias("segment"), F.pmod(at, F.lit(span)).alias("_at"), digest.alias("_digest"))
+    terms = []
+    for k, (prime, base) in enumerate(SEGMENT_FIELDS):
+        own = F.conv(F.substring("_digest", 1 + 15 * k, 15), 16, 10).cast("long") % prime
+        terms.append((F.sum(own * _power(base, F.col("_at"), prime, 17) % prime) % prime).alias(f"h{k}"))
+    return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *terms)
+
+
+def prefix_digest(segments: DataFrame, span: int = SEGMENT_ROWS) -> DataFrame:
+    """One row ``(n, digest)`` of the prefix that the segments make up: again a sum, each segment shifted by its start."""
+    terms = []
+    for k, (prime, base) in enumerate(SEGMENT_FIELDS):
+        start = F.pmod(F.col("segment") * span, F.lit(prime - 1))
+        terms.append((F.coalesce(F.sum(F.col(f"h{k}") * _power(base, start, prime, 31) % prime), F.lit(0)) % prime).alias(f"p{k}"))
+    folded = segments.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *terms)
+    return folded.select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("p0").cast("string"), F.col("p1").cast("string")), 256).alias("digest"))
+
+
 def gunzip():
     """Arrow UDF: inflate one archived object per row (Spark has no built-in for gzip members).
 

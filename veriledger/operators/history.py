@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriledger.functions.ranking import global_rank
+from veriledger.functions.digests import SEGMENT_ROWS, segment_hashes
+from veriledger.functions.ranking import global_rank, ordinals
 
 RUN_FIELDS = ["round", "controls_total", "watched", "never_executes", "source_fingerprint", "inputs_fingerprint"]
 ROW_FIELDS = ["round", "controls_total", "watched", "never_executes"]
@@ -51,18 +52,17 @@ def _same(columns: list[str]) -> Column:
 def run_history(runs: DataFrame, fields: list[str] = RUN_FIELDS) -> DataFrame:
     """Runs with consecutive repeats collapsed and renumbered; ``run`` is the dense input ordinal."""
     kept = _previous(runs, fields).filter(F.col("has_prev").isNull() | ~_same(fields)).select(*runs.columns)
-    numbered = global_rank(kept.withColumn("_o", -F.col("run")), "_o", "run", "ordinal")
-    return numbered.drop("_o")
+    return ordinals(kept, F.asc("run"), out="ordinal")
 
 
 def previous_round(runs: DataFrame) -> DataFrame:
     """For every round: the last run of the latest earlier round (null when there is none).
 
-    Runs are first reduced to one row per round, so the ordered window only sees rounds.
+    Runs are reduced to one row per round, rounds get exact ordinals, and a round meets the one before by an equi-join.
     """
-    last = runs.groupBy("round").agg(F.max("run").alias("last_run"))
-    order = Window.orderBy("round")
-    return last.select("round", F.lag("round").over(order).alias("previous_round"), F.lag("last_run").over(order).alias("previous_run"))
+    last = ordinals(runs.groupBy("round").agg(F.max("run").alias("last_run")), F.asc_nulls_first("round"), out="at")
+    before = last.select((F.col("at") + 1).alias("at"), F.col("round").alias("previous_round"), F.col("last_run").alias("previous_run"))
+    return last.join(before, "at", "left").select("round", "previous_round", "previous_run")
 
 
 def history_anomalies(runs: DataFrame) -> DataFrame:
@@ -94,13 +94,37 @@ def multiset_diff(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     )
 
 
-def append_only_check(stored: DataFrame, recomputed: DataFrame, predecessor: DataFrame, fields: list[str] = RUN_FIELDS) -> DataFrame:
+def segment_agreement(stored: DataFrame, recomputed: DataFrame, fields: list[str] = RUN_FIELDS, span: int = SEGMENT_ROWS) -> DataFrame:
+    """``segment, n_stored, n_recomputed, agrees, prefix_agrees``: the stored history against the recomputed one, range by range.
+
+    Rows are compared by an order-sensitive hash of each range of ``span`` ordinals; recomputed rows after the last stored one
+    are what the history may gain.  ``prefix_agrees``: this range and all before it agree.
+    """
+    last = stored.agg(F.max("run")).scalar()
+    theirs = segment_hashes(recomputed.where(F.col("run") <= last), "run", ["run", *fields], span)
+    mine = segment_hashes(stored, "run", ["run", *fields], span)
+    theirs = theirs.select("segment", F.col("n").alias("n_recomputed"), F.col("h0").alias("t0"), F.col("h1").alias("t1"))
+    both = mine.join(theirs, "segment", "full_outer")
+    agrees = (F.col("n") == F.col("n_recomputed")) & (F.col("h0") == F.col("t0")) & (F.col("h1") == F.col("t1"))
+    both = both.select("segment", F.coalesce("n", F.lit(0)).alias("n_stored"), F.coalesce("n_recomputed", F.lit(0)).alias("n_recomputed"),
+                       F.coalesce(agrees, F.lit(False)).alias("agrees"))
+    bad = both.agg(F.min(F.when(~F.col("agrees"), F.col("segment")))).scalar()
+    return both.select("segment", "n_stored", "n_recomputed", "agrees", (bad.isNull() | (F.col("segment") < bad)).alias("prefix_agrees"))
+
+
+def append_only_check(stored: DataFrame, recomputed: DataFrame, predecessor: DataFrame, fields: list[str] = RUN_FIELDS, span: int = SEGMENT_ROWS) -> DataFrame:
     """The stored history must be an unchanged prefix; its predecessor must be one of its rows.
 
+    Ranges whose hashes agree are done; only the rows of the others are shuffled and compared.
     ``predecessor`` holds the row the record names as the one before (may be empty).
     """
-    new = recomputed.select("run", F.lit(True).alias("has_prev"), *[F.col(c).alias(f"prev_{c}") for c in fields])
-    joined = stored.join(new, "run", "left")
+    suspect = segment_agreement(stored, recomputed, fields, span).where("not agrees").select("segment")
+
+    def of_suspects(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("segment", F.floor(F.col("run") / span)).join(suspect, "segment", "left_semi").drop("segment")
+
+    new = of_suspects(recomputed).select("run", F.lit(True).alias("has_prev"), *[F.col(c).alias(f"prev_{c}") for c in fields])
+    joined = of_suspects(stored).join(new, "run", "left")
     changed = joined.filter(F.col("has_prev").isNotNull() & ~_same(fields)).select(F.lit("row changed").alias("why"), "run")
     lost = joined.filter("has_prev is null").select(F.lit("row lost").alias("why"), "run")
     missing = reduce(lambda a, b: a & b, [predecessor[c].eqNullSafe(stored[c]) for c in ROW_FIELDS])

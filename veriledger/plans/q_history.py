@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from veriledger.functions.ranking import carried
 from veriledger.operators import drift, history, mutation
 from veriledger.plans.catalog import query
 from veriledger.plans.fixtures import frame
@@ -158,6 +159,25 @@ def r15(spark, d):
     return history.append_only_check(frame(spark, d, "fr_stored_runs"), frame(spark, d, "fr_runs"), frame(spark, d, "fr_named"))
 
 
+@query("r15_segment_agreement", """
+WITH b AS (SELECT coalesce(s.run, r.run) // 8 AS segment, s.run AS sr, r.run AS rr,
+    (s.run, s.round, s.controls_total, s.watched, s.never_executes, s.source_fingerprint, s.inputs_fingerprint)
+      = (r.run, r.round, r.controls_total, r.watched, r.never_executes, r.source_fingerprint, r.inputs_fingerprint) AS eq
+  FROM fr_stored_runs s FULL JOIN (SELECT * FROM fr_runs WHERE run <= (SELECT max(run) FROM fr_stored_runs)) r ON r.run = s.run),
+g AS (SELECT segment, count(sr) AS n_stored, count(rr) AS n_recomputed, bool_and(coalesce(eq, FALSE)) AS agrees FROM b GROUP BY segment)
+SELECT *, bool_and(agrees) OVER (ORDER BY segment) AS prefix_agrees FROM g""")
+def r15_segments(spark, d):
+    return history.segment_agreement(frame(spark, d, "fr_stored_runs"), frame(spark, d, "fr_runs"), span=8)
+
+
+@query("r11_last_known_round", """
+WITH t AS (SELECT run, CASE WHEN run % 4 = 0 THEN round END AS round FROM fr_runs)
+SELECT run, round, (SELECT arg_max(x.round, x.run) FROM t x WHERE x.run < t.run AND x.round IS NOT NULL) AS known FROM t""")
+def r11_known(spark, d):
+    runs = frame(spark, d, "fr_runs").select("run", F.when(F.col("run") % 4 == 0, F.col("round")).alias("round"))
+    return carried(runs, F.asc("run"), value="round", out="known")
+
+
 @query("r16_partition_check", """
 SELECT day(ts) AS grp, count(*) + CAST(day(ts) % 7 = 0 AS INT) AS total, count(*) AS summed, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS parts,
        day(ts) % 7 <> 0 AS is_partition, count(*) FILTER (WHERE event_type IN ('click', 'view')) = count(*) + CAST(day(ts) % 7 = 0 AS INT) AS parts_cover FROM events GROUP BY day(ts)""")
