@@ -107,21 +107,19 @@ def gunzip():
     return inflate
 
 
+def count_words(raw: bytes, width: int, bound: int | None) -> tuple[int, int | None, int]:
+    """(words, largest word, words not below the bound) of bytes read as little-endian words of 2 or 4 bytes."""
+    words = np.frombuffer(raw, dtype={2: "<u2", 4: "<u4"}[width], count=len(raw) // width)
+    return len(words), int(words.max()) if len(words) else None, 0 if bound is None else int((words >= bound).sum())
+
+
 def word_stats(width: int):
     """Arrow UDF: bytes, bound -> ``struct(n_words, max_word, n_over)`` for LE words."""
-    dtype = {2: "<u2", 4: "<u4"}[width]
-
     fields = [T.StructField(n, T.LongType()) for n in ("n_words", "max_word", "n_over")]
 
     @F.pandas_udf(T.StructType(fields))
     def stats(body: pd.Series, bound: pd.Series) -> pd.DataFrame:
-        rows = []
-        for raw, limit in zip(body, bound):
-            if raw is None:
-                rows.append((None, None, None))
-                continue
-            words = np.frombuffer(raw, dtype=dtype, count=len(raw) // width)
-            rows.append((len(words), int(words.max()) if len(words) else None, int((words >= limit).sum())))
+        rows = [(None, None, None) if raw is None else count_words(raw, width, limit) for raw, limit in zip(body, bound)]
         return pd.DataFrame(rows, columns=["n_words", "max_word", "n_over"]).astype("Int64")
 
     return stats

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from veriledger.functions import content, urls
 from veriledger.functions.digests import word_stats
-from veriledger.sources import documents, registry
+from veriledger.operators import probes
+from veriledger.sources import registry
 
 
 def _first(*entries: tuple[Column, str | Column]) -> Column:
@@ -100,41 +101,41 @@ def count_in_retrieved(checks: DataFrame, cites: DataFrame, blobs: DataFrame) ->
 
 # ------------------------------------------------------------------------ ranges and words
 
-def range_check(ranged: DataFrame, listings: DataFrame, blobs: DataFrame) -> DataFrame:
+def range_check(ranged: DataFrame, listings: DataFrame, store: DataFrame) -> DataFrame:
     """One ranged artifact: length, digest, and its address at the recorded listing position.
 
-    ``ranged(cell, url, range, sha256, index)``, ``listings(cell, kind, body, base)`` (the
-    co-cited enumerations, already resolved to bytes), ``blobs(sha256, body)``.
+    ``ranged(cell, url, range, sha256, index)``, ``listings(cell, kind, base, sha256)`` (the co-cited enumerations),
+    ``store(sha256, body)`` holds the bytes of both.
     """
     one = ranged.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n_ranged"), F.min("url").alias("url"), F.min("range").alias("range"),
         F.min("sha256").alias("sha256"), F.min("index").alias("index"),
     )
-    facts = blobs.select("sha256", F.octet_length("body").cast("long").alias("n_bytes"), (F.sha2("body", 256) == F.col("sha256")).alias("intact"))
-    paths = documents.enumerated_paths(F.col("kind"), F.col("body"), F.col("base"))
-    listed = listings.join(one.select("cell", "url", "index"), "cell").select("cell", "url", "index", paths.alias("paths"))
-    position = F.get("paths", F.col("index"))
-    member = F.array_contains("paths", F.col("url"))
+    listed = listings.select("cell", "kind", "base", F.col("sha256").alias("listing_sha256")).join(one.select("cell", "url", "index"), "cell")
+    where = probes.arg_of(kind=F.col("kind"), base=F.col("base"), url=F.col("url"), index=F.col("index"))
+    answers = probes.measure(probes.probe(one, "bytes", "sha256").unionByName(probes.probe(listed, "listed", "listing_sha256", where)), store, ["bytes", "listed"])
+    listed = probes.answered(listed, answers, "listed", "listing_sha256", where, "list")
+    member = F.col("list_n") > 0
     anchors = listed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n_listings"),
-        F.count_if(F.col("paths").isNull()).alias("n_unreadable"),
+        F.count_if(~F.coalesce("list_flag", F.lit(False))).alias("n_unreadable"),
         F.count_if(member).alias("n_members"),
-        F.count_if(member & F.col("index").isNotNull() & ~position.eqNullSafe(F.col("url"))).alias("n_misplaced"),
+        F.count_if(member & F.col("index").isNotNull() & ~F.col("list_text").eqNullSafe(F.col("url"))).alias("n_misplaced"),
     )
-    joined = one.join(anchors, "cell", "left").join(facts, "sha256", "left")
+    joined = probes.answered(one.join(anchors, "cell", "left"), answers, "bytes", "sha256", F.lit(""), "body")
     before = _first(
         (F.col("n_ranged") != 1, "not one range"),
         (F.coalesce("n_listings", F.lit(0)) == 0, "cited alone"),
     )
     after = _first(
-        (F.col("n_bytes") != content.range_length(F.col("range")), "length differs"),
-        (~F.col("intact"), "digest differs"),
+        (F.col("body_n") != content.range_length(F.col("range")), "length differs"),
+        (~F.col("body_flag"), "digest differs"),
         (F.col("n_unreadable") > 0, "listing unreadable"),
         (F.col("n_misplaced") > 0, "other position"),
         (F.col("n_members") == 0, "not listed"),
         (F.col("index").isNull(), "no position recorded"),
     )
-    unread = before.isNull() & F.col("n_bytes").isNull()
+    unread = before.isNull() & ~F.col("body_read")
     return joined.select("cell", F.when(~unread, F.coalesce(before, after)).alias("reason"), unread.alias("unread")).select(
         "cell", _verdict("reason", F.col("unread")).alias("verdict"), "reason"
     )
@@ -146,32 +147,28 @@ def word_table(bodies: DataFrame, bound: str) -> DataFrame:
     return bodies.withColumns({"w16": word_stats(2)(F.col("body"), limit), "w32": word_stats(4)(F.col("body"), limit)})
 
 
-def token_range_check(claims: DataFrame, blobs: DataFrame) -> DataFrame:
+def token_range_check(claims: DataFrame, store: DataFrame) -> DataFrame:
     """Bytes read at the declared width: count, bound, maximum; the other width must fail.
 
-    ``claims(cell, sha256, width, count, vocab_bound, max_id)`` with width 2 or 4;
-    ``blobs(sha256, body binary)``.
+    ``claims(cell, sha256, width, count, vocab_bound, max_id)`` with width 2 or 4; ``store(sha256, body)``.  The other width is
+    read only where its bound could fail.
     """
-    joined = word_table(claims.join(blobs, "sha256", "left"), "vocab_bound")
-    wide = F.col("width") == 4
-    bound = F.col("vocab_bound")
-
-    def own(field: str) -> Column:
-        return F.when(wide, F.col(f"w32.{field}")).otherwise(F.col(f"w16.{field}"))
-
-    other_width = F.when(wide, 2).otherwise(4)
-    other_words = F.when(wide, F.col("w16.n_words")).otherwise(F.col("w32.n_words"))
-    other_over = F.when(wide, F.col("w16.n_over")).otherwise(F.col("w32.n_over"))
-    other_could_fail = F.when(other_width == 2, bound < 256**2).otherwise(bound < 256**4)
+    bound, width = F.col("vocab_bound"), F.col("width")
+    other_width = F.when(width == 4, 2).otherwise(4)
+    other_could_fail = F.coalesce(F.when(other_width == 2, bound < 256**2).otherwise(bound < 256**4), F.lit(False))
+    own, other = (probes.arg_of(width=w, bound=bound) for w in (F.when(width == 4, 4).otherwise(2), other_width))
+    answers = probes.measure(
+        probes.probe(claims, probes.WORDS, "sha256", own).unionByName(probes.probe(claims.where(other_could_fail), probes.WORDS, "sha256", other)), store, [probes.WORDS])
+    joined = probes.answered(probes.answered(claims, answers, probes.WORDS, "sha256", own, "own"), answers, probes.WORDS, "sha256", other, "other")
     reason = _first(
-        (~F.col("width").isin(2, 4), "unknown width"),
-        (own("n_words") != F.col("count"), "word count differs"),
-        (own("n_over") > 0, "not below bound"),
-        (other_could_fail & (other_words > 0) & (other_over == 0), "width does no work"),
-        (own("max_word") != F.col("max_id"), "maximum differs"),
-    )
-    return joined.select("cell", own("n_words").alias("n_words"), own("max_word").alias("max_word"), own("n_over").alias("n_over"),
-                         F.col("body").isNull().alias("unread"), reason.alias("reason")).select(
+        (~width.isin(2, 4), "unknown width"),
+        (F.col("own_n") != F.col("count"), "word count differs"),
+        (F.col("own_text").cast("long") > 0, "not below bound"),
+        (other_could_fail & (F.col("other_n") > 0) & (F.col("other_text").cast("long") == 0), "width does no work"),
+        (F.col("own_m") != F.col("max_id"), "maximum differs"),
+    )
+    return joined.select("cell", F.col("own_n").alias("n_words"), F.col("own_m").alias("max_word"), F.col("own_text").cast("long").alias("n_over"),
+                         (~F.col("own_read")).alias("unread"), reason.alias("reason")).select(
         "cell", "n_words", "max_word", "n_over", _verdict("reason", F.col("unread")).alias("verdict"), "reason"
     )
 
@@ -219,40 +216,42 @@ def item_digest_coverage(claims: DataFrame, entries: DataFrame, declared: DataFr
     return every.select("cell", with_digest.alias("n_with_digest"), reason.alias("reason")).withColumn("verdict", _verdict())
 
 
-def weight_object(checks: DataFrame) -> DataFrame:
+def weight_object(checks: DataFrame, store: DataFrame) -> DataFrame:
     """A real weight range from a file that the subject's own revision enumerates.
 
-    One row per cell with the ranged artifact, the enumeration response and the bytes
-    already side by side: ``cell, subject_repo, n_ranged, url, range, sha256, pinned_commit,
-    body, listing_url, listing_body, expect_file, expect_range_bytes, expect_evidence_sha256``.
+    One row per cell: ``cell, subject_repo, n_ranged, url, range, sha256, pinned_commit, listing_url,
+    listing_sha256, expect_file, expect_range_bytes, expect_evidence_sha256``; ``store(sha256, body)`` holds the
+    bytes of the ranged artifact and of the enumeration response.
     """
     file = urls.parse_pinned_url(F.col("url"))
     listing = urls.parse_pinned_url(F.col("listing_url"))
     parsed = checks.withColumns({"file": file, "listing": listing})
-    parsed = parsed.withColumn(
-        "enum", documents.enumerate_revision(F.col("listing_body"), F.col("listing.repo"), F.col("listing.revision"))
-    )
-    n_bytes = F.octet_length("body")
-    sniffed = content.sniff_header(F.col("body"), F.col("file.path"))
+    where = probes.arg_of(repo=F.col("listing.repo"), revision=F.col("listing.revision"), file=F.col("file.path"))
+    answers = probes.measure(
+        probes.probe(parsed, "bytes", "sha256").unionByName(probes.probe(parsed, "head", "sha256", F.col("file.path")))
+        .unionByName(probes.probe(parsed, "revision", "listing_sha256", where)), store, ["bytes", "head", "revision"])
+    parsed = probes.answered(parsed, answers, "bytes", "sha256", F.lit(""), "body")
+    parsed = probes.answered(parsed, answers, "head", "sha256", F.col("file.path"), "head")
+    parsed = probes.answered(parsed, answers, "revision", "listing_sha256", where, "enum")
     before = _first(
         (F.coalesce("expect_range_bytes", F.lit(0)) == 0, "nothing expected"),
         (~F.col("file.shape").eqNullSafe("file") | ~F.col("listing.shape").eqNullSafe("model_revision"), "not pinned"),
         ((F.col("file.repo") != F.col("listing.repo")) | (F.col("file.revision") != F.col("listing.revision")), "identities differ"),
-        (F.col("enum.reason").isNotNull(), F.concat(F.lit("listing: "), F.col("enum.reason"))),
+        (F.col("enum_text").isNotNull(), F.concat(F.lit("listing: "), F.col("enum_text"))),
         (F.col("subject_repo").isNotNull() & (F.col("listing.repo") != F.col("subject_repo")), "other subject"),
         (F.col("n_ranged") != 1, "not one range"),
         (~F.col("sha256").eqNullSafe(F.col("expect_evidence_sha256")), "other evidence"),
         (~F.col("file.path").eqNullSafe(F.col("expect_file")), "other file"),
-        (~F.array_contains("enum.shards", F.col("file.path")), "not enumerated"),
+        (~F.col("enum_flag"), "not enumerated"),
         (F.col("pinned_commit").isNotNull() & (F.col("pinned_commit") != F.col("listing.revision")), "other commit"),
         (~F.col("range").eqNullSafe(F.concat(F.lit("bytes=0-"), (F.col("expect_range_bytes") - 1).cast("string"))), "range differs"),
     )
     after = _first(
-        (n_bytes != F.col("expect_range_bytes"), "length differs"),
-        (sniffed.isNotNull(), sniffed),
-        (F.sha2("body", 256) != F.col("sha256"), "digest differs"),
+        (F.col("body_n") != F.col("expect_range_bytes"), "length differs"),
+        (F.col("head_text").isNotNull(), F.col("head_text")),
+        (~F.col("body_flag"), "digest differs"),
     )
-    unread = before.isNull() & F.col("body").isNull()
+    unread = before.isNull() & ~(F.col("body_read") & F.col("enum_read"))
     return parsed.select("cell", F.when(~unread, F.coalesce(before, after)).alias("reason"), unread.alias("unread")).select(
         "cell", _verdict("reason", F.col("unread")).alias("verdict"), "reason"
     )
@@ -298,25 +297,29 @@ def all_shard_digests(claims: DataFrame, shards: DataFrame, pointers: DataFrame)
     return joined.select("cell", reason.alias("reason")).withColumn("verdict", _verdict())
 
 
-def signed_commit(checks: DataFrame) -> DataFrame:
+def signed_commit(checks: DataFrame, store: DataFrame) -> DataFrame:
     """Self-authenticating commit, committer, signature flag, signer, subject line, shared signer.
 
-    ``checks(subject, body, fingerprint, intact, expect_revision, expect_committer,
-    expect_signed, expect_fingerprint, expect_subject_line, expect_shared)``; the signer
+    ``checks(subject, sha256, fingerprint, intact, expect_revision, expect_committer,
+    expect_signed, expect_fingerprint, expect_subject_line, expect_shared)``, ``store(sha256, body)``; the signer
     fingerprint of the bytes is an input column.
     """
     signers = (
         checks.filter("expect_fingerprint is not null").groupBy(F.col("expect_fingerprint").alias("_fpr"))
         .agg(F.countDistinct("subject").alias("n_signed"))
     )
-    parsed = checks.withColumn("c", content.commit_fields(F.col("body")))
-    joined = parsed.join(signers, parsed.fingerprint == signers._fpr, "left")
+    answers = probes.measure(probes.probe(checks, "commit", "sha256", F.col("expect_revision")), store, ["commit"])
+    parsed = probes.answered(checks, answers, "commit", "sha256", F.col("expect_revision"), "commit")
+    parsed = parsed.withColumn("c", F.from_json("commit_text", probes.COMMIT))
+    # rows without a fingerprint have nobody to share with and stay out of the join
+    named = parsed.where("fingerprint is not null").join(signers, F.col("fingerprint") == F.col("_fpr"), "left").drop("_fpr")
+    joined = named.unionByName(parsed.where("fingerprint is null").withColumn("n_signed", F.lit(None).cast("long")))
     own = F.col("expect_fingerprint").eqNullSafe(F.col("fingerprint")).cast("int")
     others = F.coalesce("n_signed", F.lit(0)) - own
     signed = F.col("c.signed")
     reason = _first(
         (F.col("expect_revision").isNull(), "no revision declared"),
-        (content.git_object_id(F.col("body").cast("binary")) != F.col("expect_revision"), "other revision"),
+        (~F.col("commit_flag"), "other revision"),
         (F.col("expect_signed").isNull(), "signed flag not declared"),
         (F.col("expect_committer").isNull(), "committer not declared"),
         (~F.col("c.committer").eqNullSafe(F.col("expect_committer")), "other committer"),
@@ -328,7 +331,7 @@ def signed_commit(checks: DataFrame) -> DataFrame:
         (signed & F.col("expect_shared").isNull(), "shared flag not declared"),
         (signed & F.col("expect_shared") & (others < 2), "signer not shared"),
     )
-    unread = F.col("expect_revision").isNotNull() & F.col("body").isNull()
+    unread = F.col("expect_revision").isNotNull() & ~F.col("commit_read")
     return joined.select("subject", F.when(~unread, reason).alias("reason"), unread.alias("unread")).select(
         "subject", _verdict("reason", F.col("unread")).alias("verdict"), "reason"
     )
@@ -409,17 +412,18 @@ def _no_exemplar(pattern: str, exemplars: list[str]) -> Column:
     return ~hit
 
 
-def search_replay(claims: DataFrame, expected_totals: DataFrame, expected_digests: DataFrame, responses: DataFrame, adjudications: DataFrame) -> DataFrame:
+def search_replay(claims: DataFrame, expected_totals: DataFrame, expected_digests: DataFrame, responses: DataFrame, adjudications: DataFrame, store: DataFrame) -> DataFrame:
     """The recorded search, recomputed from its archived responses.
 
     ``claims(subject, name, expect_queries, positives, score)``, ``expected_totals(subject,
     term, total)``, ``expected_digests(subject, sha256)``, ``responses(subject, term, url,
-    sha256, body)`` (null body = not archived), ``adjudications(subject, hit, has_axis17, axis17)``.
+    sha256)``, ``adjudications(subject, hit, has_axis17, axis17)``, ``store(sha256, body)``.
     """
-    entries = F.regexp_count("body", F.lit("<entry[ >]"))
-    named = responses.join(claims.select("subject", "name"), "subject").select(
-        "subject", "term", "sha256", documents.feed_total(F.col("body")).alias("header"), entries.alias("n_entries"),
-        urls.query_names(F.col("url"), F.col("name")).alias("named"), F.col("body").isNull().alias("unread"),
+    answers = probes.measure(probes.probe(responses, "feed", "sha256"), store, ["feed"])
+    read = probes.answered(responses, answers, "feed", "sha256", F.lit(""), "feed")
+    named = read.join(claims.select("subject", "name"), "subject").select(
+        "subject", "term", "sha256", F.col("feed_n").alias("header"), F.col("feed_m").alias("n_entries"),
+        urls.query_names(F.col("url"), F.col("name")).alias("named"), (~F.col("feed_read")).alias("unread"),
     )
     per_term = named.groupBy("subject", "term").agg(
         F.max("header").alias("header"), F.sum("n_entries").alias("counted"),
@@ -471,16 +475,17 @@ def replay_summary(verdicts: DataFrame) -> DataFrame:
 def archive_verify(cited: DataFrame, manifest: DataFrame, blobs: DataFrame) -> DataFrame:
     """Cited addresses whose archive entry is missing, disagrees, or does not hash to its digest.
 
-    ``cited(url, sha256)``, ``manifest(url, manifest_sha256, stored)``; each body is hashed
-    once, where it lies, before any join.
+    ``cited(url, sha256)``, ``manifest(url, manifest_sha256, stored)``; only bodies that a stored entry cites are
+    hashed, each once.
     """
-    hashed = blobs.select("sha256", (F.sha2("body", 256) == F.col("sha256")).alias("intact"))
-    joined = cited.distinct().join(manifest, "url", "left").join(hashed, "sha256", "left")
+    entries = cited.distinct().join(manifest, "url", "left")
+    answers = probes.measure(probes.probe(entries.where("stored and manifest_sha256 = sha256"), "bytes", "sha256"), blobs, ["bytes"])
+    joined = probes.answered(entries, answers, "bytes", "sha256", F.lit(""), "body")
     reason = _first(
         (F.col("manifest_sha256").isNull(), "not in manifest"),
         (F.col("manifest_sha256") != F.col("sha256"), "manifest disagrees"),
-        (F.col("stored") & F.col("intact").isNull(), "bytes missing"),
-        (F.col("stored") & ~F.col("intact"), "bytes differ"),
+        (F.col("stored") & ~F.col("body_read"), "bytes missing"),
+        (F.col("stored") & ~F.col("body_flag"), "bytes differ"),
     )
     return joined.select("url", "sha256", reason.alias("reason")).filter("reason is not null")
 

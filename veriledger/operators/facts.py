@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriledger.functions.digests import word_stats
+from veriledger.operators import probes
+from veriledger.sources import registry
 
 WIDTHS = {"uint16": 2, "uint32": 4}
 
@@ -52,31 +54,29 @@ def check_facts(facts: DataFrame, blobs: DataFrame) -> DataFrame:
     """Status of every named fact: ok, or why it does not follow from the bytes it cites.
 
     ``facts(name, value, sha256, method, pattern, also_all_contain, field, match, width,
-    below)``, ``blobs(sha256, body)``.  Only facts of the token method pass through Arrow.
+    below)``, ``blobs(sha256, body)``.  Each body is read once for all facts that cite it.
     """
-    joined = facts.join(blobs.select("sha256", "body"), "sha256", "left").withColumn(
-        "refused",
-        F.when(~F.coalesce(F.col("method").isin(METHODS), F.lit(False)), "method not registered")
-        .when(F.col("body").isNull(), "not archived")
-        .when(F.sha2("body", 256) != F.col("sha256"), "digest differs"),
+    method = F.col("method")
+    asked = (
+        F.when(method == "count_lines_matching", F.struct(F.lit("lines").alias("kind"), probes.arg_of(pattern=F.col("pattern"), also=F.col("also_all_contain")).alias("arg")))
+        .when(method == "count_json_entries", F.struct(F.lit("json_entries").alias("kind"), probes.arg_of(field=F.col("field"), match=F.col("match")).alias("arg")))
+        .when((method == "token_ids_below") & F.col("width").isin(list(WIDTHS)),
+              F.struct(F.lit(probes.WORDS).alias("kind"), probes.arg_of(width=registry.lookup(WIDTHS, F.col("width")), bound=F.col("below")).alias("arg")))
     )
-    tokens = F.col("method") == "token_ids_below"
-    live = joined.filter("refused is null")
-    body = F.col("body").cast("string")
-    plain = (
-        F.when(F.col("method") == "count_lines_matching", count_lines_matching(body, F.col("pattern"), F.col("also_all_contain")))
-        .when(F.col("method") == "byte_length", byte_length(body))
-        .otherwise(count_json_entries(body, F.col("field"), F.col("match")))
+    claims = facts.withColumn("_ask", asked)
+    known = claims.where(F.coalesce(method.isin(METHODS), F.lit(False)))
+    answers = probes.measure(probes.probe(known, "bytes", "sha256").unionByName(
+        probes.probe(known.where(F.col("_ask").isNotNull()), F.col("_ask.kind"), "sha256", F.col("_ask.arg"))), blobs,
+        ["bytes", "lines", "json_entries", probes.WORDS])
+    joined = probes.answered(probes.answered(claims, answers, "bytes", "sha256", F.lit(""), "body"), answers, F.col("_ask.kind"), "sha256", F.col("_ask.arg"), "own")
+    over = F.col("own_text").cast("long")
+    error = F.when(method == "token_ids_below", F.when(over > 0, F.concat(over.cast("string"), F.lit(" words not below bound")))).when(method != "byte_length", F.col("own_text"))
+    value = F.when(method == "byte_length", F.col("body_n")).otherwise(F.col("own_n"))
+    refused = (
+        F.when(~F.coalesce(method.isin(METHODS), F.lit(False)), "method not registered")
+        .when(~F.col("body_read"), "not archived")
+        .when(~F.col("body_flag"), "digest differs")
+        .when((method != "byte_length") & ~F.col("own_read"), "width not known")
     )
-    parts = [live.filter(~tokens).select("name", "method", F.col("value").alias("recorded"), plain.alias("r"))]
-    for width, n_bytes in WIDTHS.items():
-        part = live.filter(tokens & (F.col("width") == width))
-        parts.append(part.select("name", "method", F.col("value").alias("recorded"), token_ids_below(F.col("body"), F.col("below"), n_bytes).alias("r")))
-    done = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
-        "name", "method", "recorded", F.col("r.value").alias("recomputed"),
-        F.coalesce(F.col("r.error"), F.when(F.col("r.value").eqNullSafe(F.col("recorded")), "ok").otherwise("value differs")).alias("status"),
-    )
-    refused = joined.filter("refused is not null").select(
-        "name", "method", F.col("value").alias("recorded"), F.lit(None).cast("long").alias("recomputed"), F.col("refused").alias("status")
-    )
-    return done.unionByName(refused)
+    status = F.coalesce(refused, error, F.when(value.eqNullSafe(F.col("value")), "ok").otherwise("value differs"))
+    return joined.select("name", "method", F.col("value").alias("recorded"), F.when(refused.isNull() & error.isNull(), value).alias("recomputed"), status.alias("status"))

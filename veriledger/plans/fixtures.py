@@ -132,6 +132,18 @@ VIEWS["fl_cited"] = """
 SELECT CONCAT(CAST(subject AS STRING), '/axis', CAST(axis AS STRING)) AS label, url, sha256 FROM fl_evidence
 UNION ALL SELECT label, url, sha256 FROM fl_facts"""
 
+VIEWS["fr_cells"] = """
+SELECT cell_no, subject, axis, n, score, na_reason, note, has_check, check_method, check_asserts, check_observed, check_expect,
+       has_bound, bound_method, bound_asserts, bound_observed, bound_as_of, bound_archived, bound_live, bound_legacy,
+       CASE WHEN has_check THEN map_concat(check_fields, MAPOF(LIST('expect_artifacts'), LIST(CASE WHEN n % 6 = 5 THEN '2' ELSE '1' END))) END AS check_fields,
+       CASE WHEN has_bound THEN MAPOF(LIST('expect', 'expect_artifacts', 'expect_repo', 'expect_evidence_sha256'),
+            LIST(CASE n % 4 WHEN 0 THEN '["kind-1"]' WHEN 1 THEN CONCAT('["kind-', CAST(subject % 4 AS STRING), '", "LITERAL-"]') WHEN 2 THEN '["no"]' ELSE '["no such literal"]' END,
+                 CASE WHEN n % 11 = 3 THEN '2' ELSE '1' END, 'org/x', 'none')) END AS bound_fields
+FROM fl_cells"""
+VIEWS["fr_store"] = """
+SELECT sha AS sha256, MIN(CONCAT(html, ' literal-', CAST(page_id % 23 AS STRING), ' kind-', CAST(page_id % 4 AS STRING))) AS body
+FROM fx_pages WHERE page_id % 13 <> 5 GROUP BY sha"""
+
 VIEWS["fl_subjects"] = """
 SELECT subject, kind, repo FROM fx_subjects
 UNION ALL SELECT subject, kind, repo FROM fx_subjects WHERE subject % 17 = 3"""
@@ -251,7 +263,7 @@ SELECT page_id, CONCAT('{"facts": {"fact-', CAST(page_id AS STRING), '": {"value
        ', "unit": "chars", "method": {"name": "byte_length"}, "evidence": {"url": "', url, '", "sha256": "', sha, '"}}}}') AS body FROM fx_pages"""
 VIEWS["fs_cites"] = """
 SELECT o.o_orderkey AS cell, CASE WHEN o.o_orderkey % 9 = 0 THEN SHA256(CONCAT(d.text, 'x')) ELSE SHA256(d.text) END AS sha256
-FROM @orders o JOIN @documents d ON d.doc_id = o.o_custkey"""
+FROM (SELECT o_orderkey, o_custkey % (SELECT COUNT(*) FROM @documents) AS doc_id FROM @orders) o JOIN @documents d ON d.doc_id = o.doc_id"""
 VIEWS["fs_observed"] = """
 SELECT url, CASE WHEN page_id % 7 = 0 THEN SHA256(url) ELSE sha END AS observed_sha256,
        LENGTH(html) * (CASE WHEN page_id % 10 = 0 THEN 100000 ELSE 1 END) AS n_bytes, page_id % 4 <> 0 AS has_body
@@ -280,17 +292,18 @@ VIEWS["fc_cites"] = """
 SELECT doc_id AS cell, CASE WHEN doc_id % 10 = 0 THEN SHA256(CONCAT(text, 'x')) ELSE sha END AS sha256 FROM fc_docs
 UNION ALL SELECT doc_id, nsha FROM fc_docs WHERE doc_id % 3 = 0 AND nsha IS NOT NULL"""
 VIEWS["fc_ranged"] = """
-SELECT p.page_id AS cell, CASE WHEN p.page_id % 7 = 0 THEN 'https://other/'
+SELECT d.doc_id AS cell, CASE WHEN d.doc_id % 7 = 0 THEN 'https://other/'
     WHEN p.page_id % 3 = 0 THEN CASE WHEN p.page_id % 2 = 0 THEN p.url ELSE CONCAT('second/', CAST(p.page_id AS STRING)) END
     ELSE CASE WHEN p.page_id % 2 = 0 THEN CONCAT('https://host/base/a/', CAST(p.page_id AS STRING)) ELSE 'https://host/base/b' END END AS url,
-  CONCAT('bytes=0-', CAST(OCTETS(d.text) - (CASE WHEN p.page_id % 9 = 0 THEN 2 ELSE 1 END) AS STRING)) AS range,
-  CASE WHEN p.page_id % 13 = 0 THEN SHA256(CONCAT(d.text, 'x')) ELSE SHA256(d.text) END AS sha256,
-  CASE WHEN p.page_id % 10 = 9 THEN NULL WHEN p.page_id % 11 = 0 THEN CAST(1 - p.page_id % 2 AS INT) ELSE CAST(p.page_id % 2 AS INT) END AS index
-FROM fx_pages p JOIN @documents d ON d.doc_id = p.page_id"""
+  CONCAT('bytes=0-', CAST(OCTETS(d.text) - (CASE WHEN d.doc_id % 9 = 0 THEN 2 ELSE 1 END) AS STRING)) AS range,
+  CASE WHEN d.doc_id % 13 = 0 THEN SHA256(CONCAT(d.text, 'x')) ELSE SHA256(d.text) END AS sha256,
+  CASE WHEN d.doc_id % 10 = 9 THEN NULL WHEN d.doc_id % 11 = 0 THEN CAST(1 - p.page_id % 2 AS INT) ELSE CAST(p.page_id % 2 AS INT) END AS index
+FROM (SELECT doc_id, text, doc_id % (SELECT COUNT(*) FROM @pages) AS page_id FROM @documents) d JOIN fx_pages p ON p.page_id = d.page_id"""
 VIEWS["fc_ranges"] = """
 SELECT * FROM fc_ranged UNION ALL SELECT * FROM fc_ranged WHERE cell % 17 = 1"""
 VIEWS["fc_listings"] = """
-SELECT page_id AS cell, kind, body, base FROM fs_lists WHERE page_id % 6 <> 2"""
+SELECT d.doc_id AS cell, l.page_id, l.kind, l.body, l.base
+FROM (SELECT doc_id, doc_id % (SELECT COUNT(*) FROM @pages) AS page_id FROM @documents) d JOIN fs_lists l ON l.page_id = d.page_id WHERE l.page_id % 6 <> 2"""
 VIEWS["fc_entries"] = """
 SELECT cell, path, CASE WHEN line = 1 AND cell % 8 <> 5 THEN NULL WHEN line = 2 AND cell % 5 = 0 AND qty > 48 THEN 'ABC'
        WHEN cell % 6 = 1 AND qty = 1 AND line > 1 THEN NULL ELSE SHA256(path) END AS oid

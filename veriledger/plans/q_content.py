@@ -14,6 +14,18 @@ w2 AS (SELECT doc_id, CAST('0x' || substr(c, 3, 2) || substr(c, 1, 2) AS BIGINT)
 w4 AS (SELECT doc_id, CAST('0x' || substr(c, 7, 2) || substr(c, 5, 2) || substr(c, 3, 2) || substr(c, 1, 2) AS BIGINT) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(h, '.{8}')) AS c FROM hx))"""
 
 
+def _own(rows, body="body", digest=None):
+    """Bodies under the digest they have, or the one given."""
+    return rows.select((F.sha2(body, 256) if digest is None else F.col(digest)).alias("sha256"), F.col(body).cast("binary").alias("body")).where(F.col(body).isNotNull())
+
+
+def _store(*parts):
+    out = parts[0].select("sha256", F.col("body").cast("binary").alias("body"))
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("c1_grep_all_in_one", """
 WITH ct AS (SELECT c.cell, c.sha256, b.body FROM fc_cites c LEFT JOIN fb_blobs b ON b.sha256 = c.sha256),
 n AS (SELECT cell, count(*) AS n, count(body) AS m FROM ct GROUP BY cell),
@@ -42,8 +54,8 @@ def c2(spark, d):
 
 @query("c3_range_check", r"""
 WITH one AS (SELECT cell, count(*) AS n, min(url) AS url, min(range) AS range, min(sha256) AS sha256, min(index) AS idx FROM fc_ranges GROUP BY cell),
-pl AS (SELECT cell, kind, CASE WHEN kind = 'yaml_dash_list' THEN [regexp_extract(body, '    - (.*)\n  - no', 1), 'second/' || cell]
-                              WHEN kind = 'hf_tree_json' AND base <> '' THEN ['https://host/base/a/' || cell, 'https://host/base/b'] END AS p FROM fc_listings),
+pl AS (SELECT cell, kind, CASE WHEN kind = 'yaml_dash_list' THEN [regexp_extract(body, '    - (.*)\n  - no', 1), 'second/' || page_id]
+                              WHEN kind = 'hf_tree_json' AND base <> '' THEN ['https://host/base/a/' || page_id, 'https://host/base/b'] END AS p FROM fc_listings),
 z AS (SELECT o.cell, CASE WHEN o.n <> 1 THEN 'not one range' WHEN pl.cell IS NULL THEN 'cited alone' END AS r1, b.sha256 IS NULL AS nob,
   CASE WHEN strlen(b.body) <> CAST(regexp_extract(range, '-(\d+)', 1) AS BIGINT) + 1 THEN 'length differs' WHEN pl.p IS NULL THEN 'listing unreadable'
        WHEN list_contains(pl.p, o.url) AND idx IS NOT NULL AND pl.p[idx + 1] <> o.url THEN 'other position'
@@ -52,7 +64,9 @@ z AS (SELECT o.cell, CASE WHEN o.n <> 1 THEN 'not one range' WHEN pl.cell IS NUL
 SELECT cell, CASE WHEN r1 IS NULL AND nob THEN NULL ELSE coalesce(r1, r2) END AS reason,
        CASE WHEN r1 IS NULL AND nob THEN NULL ELSE coalesce(r1, r2) IS NULL END AS verdict FROM z""")
 def c3(spark, d):
-    return checks.range_check(frame(spark, d, "fc_ranges"), frame(spark, d, "fc_listings"), frame(spark, d, "fb_blobs"))
+    listings = frame(spark, d, "fc_listings").select("cell", "kind", "base", F.sha2("body", 256).alias("sha256"))
+    store = _store(frame(spark, d, "fb_blobs"), _own(frame(spark, d, "fs_lists")))
+    return checks.range_check(frame(spark, d, "fc_ranges"), listings, store)
 
 
 @query("c4_token_range_check", f"""
@@ -78,8 +92,7 @@ def c4(spark, d):
         (F.when(width == 2, F.col("w16.n_words")).otherwise(F.col("w32.n_words")) + (cell % 7 == 3).cast("int")).alias("count"),
         (F.when(width == 2, F.col("w16.max_word")).otherwise(F.col("w32.max_word")) + (cell % 5 == 0).cast("int")).alias("max_id"),
     )
-    store = frame(spark, d, "fb_blobs").select("sha256", F.col("body").cast("binary").alias("body"))
-    return checks.token_range_check(recorded, store)
+    return checks.token_range_check(recorded, _store(frame(spark, d, "fb_blobs")))
 
 
 @query("c5_item_digest_coverage", """
@@ -98,13 +111,16 @@ def c5(spark, d):
 
 
 @query("c6_weight_object", """
-WITH z AS (SELECT cell, body IS NULL AS nob, CASE
+WITH z AS (SELECT cell, NOT EXISTS (SELECT 1 FROM fc_weights a WHERE a.body IS NOT NULL AND a.expect_evidence_sha256 = w.sha256) AS nob, CASE
   WHEN cell % 19 = 0 THEN 'identities differ' WHEN cell % 17 = 0 THEN 'listing: not json' WHEN cell % 5 = 0 THEN 'listing: other revision' WHEN cell % 7 = 0 THEN 'listing: other repository'
   WHEN n_ranged <> 1 THEN 'not one range' WHEN cell % 23 = 0 THEN 'other evidence' WHEN cell % 43 = 0 THEN 'other file' WHEN cell % 41 = 0 THEN 'other commit' WHEN cell % 37 = 0 THEN 'range differs' END AS r1,
-  CASE WHEN cell % 3 <> 0 AND cell % 11 = 0 THEN 'no safetensors header' END AS r2 FROM fc_weights)
+  CASE WHEN cell % 3 <> 0 AND cell % 11 = 0 THEN 'no safetensors header' END AS r2 FROM fc_weights w)
 SELECT cell, CASE WHEN r1 IS NULL AND nob THEN NULL ELSE coalesce(r1, r2) END AS reason, CASE WHEN r1 IS NULL AND nob THEN NULL ELSE coalesce(r1, r2) IS NULL END AS verdict FROM z""")
 def c6(spark, d):
-    return checks.weight_object(frame(spark, d, "fc_weights"))
+    rows = frame(spark, d, "fc_weights")
+    claims = rows.withColumn("listing_sha256", F.sha2("listing_body", 256)).drop("body", "listing_body", "content")
+    archived = rows.select(F.col("expect_evidence_sha256").alias("sha256"), "body").where("body is not null")
+    return checks.weight_object(claims, _store(archived, _own(frame(spark, d, "fs_revisions"))))
 
 
 @query("c7_all_shard_digests", """
@@ -128,7 +144,8 @@ WITH z AS (SELECT s.subject, body IS NULL AND expect_revision IS NOT NULL AS nob
   WHEN expect_shared AND (SELECT count(DISTINCT o.subject) FROM fc_signed o WHERE o.expect_fingerprint = s.fingerprint AND o.subject <> s.subject) < 2 THEN 'signer not shared' END AS r FROM fc_signed s)
 SELECT subject, CASE WHEN NOT nob THEN r END AS reason, CASE WHEN NOT nob THEN r IS NULL END AS verdict FROM z""")
 def c8(spark, d):
-    return checks.signed_commit(frame(spark, d, "fc_signed"))
+    rows = frame(spark, d, "fc_signed")
+    return checks.signed_commit(rows.withColumn("sha256", F.sha2("body", 256)).drop("body"), _own(rows))
 
 
 @query("c9_repo_tree_check", """
@@ -168,7 +185,7 @@ SELECT subject, CASE WHEN r1 IS NULL AND ur THEN NULL ELSE coalesce(r1, r2) END
 def c11(spark, d):
     return checks.search_replay(
         frame(spark, d, "fn_claims"), frame(spark, d, "fn_totals"), frame(spark, d, "fn_digests"),
-        frame(spark, d, "fn_responses"), frame(spark, d, "fn_verdicts"),
+        frame(spark, d, "fn_responses").drop("body"), frame(spark, d, "fn_verdicts"), _own(frame(spark, d, "fn_responses"), digest="sha256"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veriledger.operators import ownership, validation
+from veriledger.operators import ownership, replay, validation
 from veriledger.plans import q_validation
 from veriledger.plans.catalog import query
 from veriledger.plans.fixtures import frame
@@ -74,7 +74,7 @@ _MISSING = " ".join(
 )
 
 
-@query("o10_gate", f"""
+GATE = f"""
 WITH own AS (SELECT DISTINCT subject, axis FROM ({_ALL})),
 dbl AS (SELECT DISTINCT cell_no FROM fl_evidence WHERE sha256 IN (SELECT sha256 FROM fl_evidence GROUP BY sha256 HAVING count(DISTINCT url) > 1)),
 g AS (SELECT c.cell_no, c.subject, c.axis, c.score, coalesce(c.check_method, c.bound_method, '') AS m,
@@ -87,11 +87,56 @@ z AS (SELECT cell_no, subject, axis, score, CASE
         {_MISSING}
         WHEN NOT {OKAY} THEN 'method not permitted'
         WHEN m = 'http_status' THEN 'no executor' END AS reason FROM g)
-SELECT *, CASE WHEN reason IS NOT NULL THEN 'fail' WHEN score = 1 THEN 'pass' ELSE 'execute' END AS verdict FROM z""")
+SELECT *, CASE WHEN reason IS NOT NULL THEN 'fail' WHEN score = 1 THEN 'pass' ELSE 'execute' END AS verdict FROM z"""
+
+
+@query("o10_gate", GATE)
 def o10(spark, d):
     return ownership.gate(ledger(spark, d, keep=True))
 
 
+# the replayed ledger: bounds that name literals, and the number of artifacts each check requires
+REPLAY = f"""
+WITH gt AS ({GATE.replace("fl_cells", "fr_cells")}),
+st AS (SELECT c.cell_no, CASE WHEN has_bound THEN bound_method ELSE check_method END AS m,
+   CASE WHEN has_bound THEN from_json(bound_fields['expect'], '["VARCHAR"]') ELSE check_expect END AS lits,
+   CAST((CASE WHEN has_bound THEN bound_fields ELSE check_fields END)['expect_artifacts'] AS BIGINT) AS want FROM fr_cells c WHERE has_check OR has_bound),
+ev AS (SELECT e.cell_no, lower(b.body) AS low FROM fl_evidence e LEFT JOIN fr_store b ON b.sha256 = e.sha256),
+cn AS (SELECT cell_no, count(*) AS n, count(low) AS nb FROM ev GROUP BY cell_no),
+hit AS (SELECT ev.cell_no, bool_or(coalesce(list_bool_and(list_transform(lits, lambda x: contains(low, lower(x)))), FALSE)) AS hit FROM ev JOIN st ON st.cell_no = ev.cell_no GROUP BY ev.cell_no),
+ex AS (SELECT st.cell_no, CASE m WHEN 'grep_retrieved' THEN CASE WHEN coalesce(len(lits), 0) = 0 THEN 'nothing expected' WHEN len(list_filter(lits, lambda x: length(trim(x)) < 4)) > 0 THEN 'literal too short'
+     WHEN want IS NULL THEN 'artifact count not declared' WHEN coalesce(cn.n, 0) <> want THEN 'artifact count differs' WHEN cn.nb < cn.n THEN 'not archived' WHEN NOT hit THEN 'not in one document' END
+   WHEN 'http_range' THEN 'no ranged artifact' WHEN 'repo_tree_probe' THEN 'not one tree' WHEN 'hf_probe.weight_object' THEN 'not a range beside its enumeration' ELSE 'no check frame' END AS why,
+   m IN ('grep_retrieved', 'http_range', 'repo_tree_probe', 'hf_probe.weight_object') AS known
+   FROM st LEFT JOIN cn ON cn.cell_no = st.cell_no LEFT JOIN hit ON hit.cell_no = st.cell_no),
+ge AS (SELECT gt.*, ex.why, ex.known, c.has_bound FROM gt JOIN fr_cells c ON c.cell_no = gt.cell_no LEFT JOIN ex ON ex.cell_no = gt.cell_no),
+rp AS (SELECT cell_no, subject, axis, class, CASE WHEN verdict = 'fail' THEN FALSE WHEN class = 'asserted' THEN TRUE WHEN known THEN why IS NULL END AS verdict,
+   CASE WHEN verdict = 'fail' THEN reason WHEN class <> 'asserted' THEN why END AS reason
+   FROM (SELECT *, unnest(list_filter([CASE WHEN score = 1 THEN 'asserted' END, CASE WHEN score NOT IN (0, 1) THEN 'positive' END, CASE WHEN has_bound THEN 'bounded negative' END], lambda x: x IS NOT NULL)) AS class FROM ge))"""
+
+
+class ReplayedLedger(q_validation.StandInLedger):
+    VIEWS = q_validation.StandInLedger.VIEWS | {"cells": "fr_cells"}
+
+
+def _replayed(spark, d):
+    led = ReplayedLedger(spark, d, keep=True)
+    return led, replay.replay(led, frame(spark, d, "fr_store"))
+
+
+@query("o10_replay", REPLAY + " SELECT * FROM rp")
+def o10_replay(spark, d):
+    return _replayed(spark, d)[1]
+
+
+@query("c12_replayed_classes", REPLAY + """
+SELECT class, count(*) FILTER (WHERE verdict) AS passed, count(*) FILTER (WHERE NOT verdict) AS failed, count(*) FILTER (WHERE verdict IS NULL) AS unreplayable, count(*) AS n,
+  CASE WHEN class = 'bounded negative' THEN (SELECT round(count(*) FILTER (WHERE has_bound) * 100.0 / count(*), 1) FROM fr_cells WHERE score = 0)::DOUBLE END AS coverage_pct FROM rp GROUP BY class""")
+def c12_classes(spark, d):
+    led, verdicts = _replayed(spark, d)
+    return replay.summary(verdicts, led.cells)
+
+
 @query("o11_settled_blocks", """
 SELECT cell_no, subject, axis, coalesce(check_method, bound_method) AS declared_method,
        CASE WHEN has_bound THEN bound_method ELSE check_method END AS asserted_method FROM fl_cells WHERE has_check OR has_bound""")
