@@ -207,8 +207,9 @@ def test_every_later_duplicate_and_every_owner(spark):
     r["sources"] += [("t", "host:other.org"), ("u", "host:other.org")]
     r["evidence"][0]["url"] = "https://other.org/a1"
     led = build(spark, r)
-    assert details(led, "V8") == ["98 after 1", "99 after 1"]
-    assert details(led, "V32") == ["host:other.org of t", "host:other.org of u"]
+    assert details(led, "V8") == ["98 after 1", "99 after 98"]
+    assert details(led, "V32") == ["host:other.org of t and 1 more"]
+    assert {(r.source, r.owner) for r in validation.foreign_owners(led).collect()} == {("host:other.org", "t"), ("host:other.org", "u")}
 
 
 def test_empty_lists_of_the_policy(spark):
@@ -232,3 +233,17 @@ def test_ownership_is_part_of_validation(spark):
     r = rows()
     r["policy"].remove(("s", 1, "axis_method", "grep_retrieved"))
     assert {x.rule for x in validation.validate(build(spark, r)).collect()} == {"O5"}
+
+
+def test_dates_of_the_ledger_and_of_the_cell_block(spark):
+    def found(led):
+        return sorted(x.detail for x in validation.ledger_date(led).unionByName(validation.RULES["V4"](led)).collect())
+
+    plain = build(spark, rows())
+    assert found(dataclasses.replace(plain, as_of="")) == [] and found(dataclasses.replace(plain, as_of="2024-13-45")) == []
+    mixed = rows()
+    bound(bound_as_of="2026-01-01")(mixed)  # a cell with a bound is judged by the bound's date
+    for cell in mixed["cells"]:
+        if cell["has_bound"]:
+            cell["check_fields"] = {"as_of": "soon"}
+    assert found(build(spark, mixed)) == []

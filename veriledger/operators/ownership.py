@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veriledger.functions import urls
 from veriledger.operators.validation import Ledger, broken_dependency, violations
+from veriledger.session import cut_lineage
 from veriledger.sources import registry
 
 KEY = ["subject", "axis"]
@@ -192,13 +193,14 @@ SET_RULES = {"O3": source_rule, "O4": document_rule, "O9": literal_rule}
 def ownership_rule(led: Ledger, rule: str) -> DataFrame:
     annotated = annotate(led)
     if rule in SET_RULES:
+        annotated = cut_lineage(annotated)
         return SET_RULES[rule](led, annotated)
     return row_rules(annotated).filter(F.col("rule") == rule)
 
 
 def foreign_evidence(led: Ledger) -> DataFrame:
-    """Every ownership violation."""
-    annotated = annotate(led)
+    """Every ownership violation; the annotated cells are computed once for all rules."""
+    annotated = cut_lineage(annotate(led))
     return reduce(DataFrame.unionByName, [fn(led, annotated) for fn in SET_RULES.values()], row_rules(annotated))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriledger.functions import content, urls
+from veriledger.functions.ranking import ordinals
 from veriledger.sources import registry
 
 
@@ -87,7 +88,8 @@ def _cell_rules(as_of: str) -> dict[str, Column]:
     scored = known & score.isin(0, 1, 2)
     has_check, has_bound = scored & c("has_check"), scored & c("has_bound")
     required = registry.required_method(axis)
-    check_as_of = F.try_element_at(c("check_fields"), F.lit("as_of"))
+    # a cell's block is its bound, else its check
+    block_as_of = F.when(c("has_bound"), c("bound_as_of")).otherwise(F.try_element_at(c("check_fields"), F.lit("as_of")))
 
     def missing(method_col: Column, fields: Column, prefix: str, cond: Column) -> Column:
         absent = F.filter(
@@ -99,8 +101,7 @@ def _cell_rules(as_of: str) -> dict[str, Column]:
     none = F.array().cast("array<string>")
     return {
         "V4": _details(
-            _when(~content.is_absent(c("bound_as_of"), "text") & ~content.is_iso_date(c("bound_as_of")), c("bound_as_of")),
-            _when(~content.is_absent(check_as_of, "text") & ~content.is_iso_date(check_as_of), check_as_of),
+            _when(~content.is_absent(block_as_of, "text") & ~content.is_iso_date(block_as_of), block_as_of),
         ),
         "V6": _details(_when(~known)),
         "V9": _details(_when(known & score.isNotNull() & ~score.isin(0, 1, 2), score)),
@@ -245,11 +246,16 @@ def undeclared_subject(led: Ledger) -> DataFrame:
 
 @_rule("V8")
 def duplicate_cell(led: Ledger) -> DataFrame:
-    """One row for every later cell of a pair, naming it and the first one."""
+    """One row for every later cell of a pair, naming it and the one before it.
+
+    Only cells of pairs that occur twice are put in order; a cell meets its predecessor by its ordinal.
+    """
     cells = _axis_cells(led).select("subject", "axis", "cell_no")
-    twice = cells.groupBy("subject", "axis").agg(F.count(F.lit(1)).alias("n"), F.min("cell_no").alias("first")).filter("n > 1")
-    later = cells.join(twice, ["subject", "axis"]).filter("cell_no <> first")
-    return violations(later, "V8", "subject", "axis", F.concat_ws(" ", F.col("cell_no").cast("string"), F.lit("after"), F.col("first").cast("string")))
+    twice = cells.groupBy("subject", "axis").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    placed = ordinals(cells.join(twice, ["subject", "axis"], "left_semi"), F.asc("subject"), F.asc("axis"), F.asc("cell_no"), out="at")
+    before = placed.select("subject", "axis", (F.col("at") + 1).alias("at"), F.col("cell_no").alias("before"))
+    later = placed.join(before, ["subject", "axis", "at"])
+    return violations(later, "V8", "subject", "axis", F.concat_ws(" ", F.col("cell_no").cast("string"), F.lit("after"), F.col("before").cast("string")))
 
 
 @_rule("V12")
@@ -309,21 +315,29 @@ def no_sources(led: Ledger) -> DataFrame:
 
 
 def undeclared_evidence(led: Ledger) -> DataFrame:
-    """Distinct (subject, axis, source) cited outside the subject's declared sources, with each of its owners."""
-    used = (
+    """Distinct (subject, axis, source) cited outside the subject's declared sources."""
+    return (
         evidence_with_cell(led).filter(F.col("score") != 0)
         .select("subject", "axis", urls.source_key(F.col("url")).alias("source")).distinct()
         .join(led.sources.select("subject"), "subject", "left_semi")
         .join(led.sources, ["subject", "source"], "left_anti")
     )
-    owners = led.sources.select("source", F.col("subject").alias("owner")).distinct()
-    return used.join(owners, "source", "left")
+
+
+def foreign_owners(led: Ledger) -> DataFrame:
+    """``source, owner``: who declares each source that somebody else cites; once per source, not once per use."""
+    cited = undeclared_evidence(led).select("source").distinct()
+    return led.sources.select("source", F.col("subject").alias("owner")).distinct().join(cited, "source", "left_semi")
 
 
 @_rule("V32")
 def foreign_source(led: Ledger) -> DataFrame:
-    detail = F.concat(F.col("source"), F.coalesce(F.concat(F.lit(" of "), F.col("owner").cast("string")), F.lit("")))
-    return violations(undeclared_evidence(led), "V32", "subject", "axis", detail)
+    """Each use names the first owner of its source and how many more there are; ``foreign_owners`` lists them all."""
+    owners = led.sources.select("source", "subject").distinct().groupBy("source").agg(F.min("subject").alias("owner"), F.count(F.lit(1)).alias("n_owners"))
+    more = F.when(F.col("n_owners") > 1, F.concat(F.lit(" and "), (F.col("n_owners") - 1).cast("string"), F.lit(" more")))
+    named = F.concat(F.lit(" of "), F.col("owner").cast("string"), F.coalesce(more, F.lit("")))
+    detail = F.concat(F.col("source"), F.coalesce(named, F.lit("")))
+    return violations(undeclared_evidence(led).join(owners, "source", "left"), "V32", "subject", "axis", detail)
 
 
 @_rule("V33")
@@ -371,9 +385,9 @@ def two_volatility_flags(led: Ledger) -> DataFrame:
 # ------------------------------------------------------------------------ whole ledger
 
 def ledger_date(led: Ledger) -> DataFrame:
-    """V4 on the ledger's own date: one row when it is no date."""
+    """V4 on the ledger's own date: one row when it has not the shape of a date; an empty one is none."""
     row = led.subjects.agg(F.lit(led.as_of).alias("as_of"))
-    return violations(row.filter(F.try_to_date(F.col("as_of"), "yyyy-MM-dd").isNull()), "V4", None, None, "as_of")
+    return violations(row.filter(~content.is_absent(F.col("as_of"), "text") & ~content.is_iso_date(F.col("as_of"))), "V4", None, None, "as_of")
 
 
 def validate(led: Ledger) -> DataFrame:

@@ -80,11 +80,11 @@ SQL = {
           WHEN EXISTS (SELECT 1 FROM fp_policy p WHERE p.key = 'axis_sources' AND p.value IS NOT NULL AND p.subject = z.subject AND p.axis = id)
           THEN EXISTS (SELECT 1 FROM fp_policy p WHERE p.key = 'axis_sources' AND p.subject = z.subject AND p.axis = id AND p.value = z.address)
           ELSE EXISTS (SELECT 1 FROM fp_sources x WHERE x.subject = z.subject AND x.source = z.address) END"""),
-    "v4_bad_as_of": _v("V4", "subject", "axis", "x", r"FROM (SELECT subject, axis, bound_as_of AS x FROM fl_cells UNION ALL SELECT subject, axis, check_fields['as_of'] FROM fl_cells) WHERE x <> '' AND NOT regexp_full_match(x, '\d{4}-\d{2}-\d{2}')"),
+    "v4_bad_as_of": _v("V4", "subject", "axis", "x", r"FROM (SELECT subject, axis, CASE WHEN has_bound THEN bound_as_of ELSE check_fields['as_of'] END AS x FROM fl_cells) WHERE x <> '' AND NOT regexp_full_match(x, '\d{4}-\d{2}-\d{2}')"),
     "v5_duplicate_subject": _v("V5", "subject", "NULL", "count(*)", "FROM fl_subjects GROUP BY subject HAVING count(*) > 1"),
     "v6_unknown_axis": _v("V6", "subject", "axis", "''", "FROM fl_cells WHERE axis NOT BETWEEN 1 AND 22"),
     "v7_undeclared_subject": _v("V7", "subject", "axis", "cell_no", "FROM fl_cells WHERE axis BETWEEN 1 AND 22 AND subject NOT IN (SELECT subject FROM fl_subjects)"),
-    "v8_duplicate_cell": _v("V8", "subject", "axis", "cell_no || ' after ' || f", "FROM (SELECT subject, axis, cell_no, min(cell_no) OVER (PARTITION BY subject, axis) AS f FROM fl_cells WHERE axis BETWEEN 1 AND 22) WHERE cell_no <> f"),
+    "v8_duplicate_cell": _v("V8", "subject", "axis", "cell_no || ' after ' || f", "FROM (SELECT subject, axis, cell_no, lag(cell_no) OVER (PARTITION BY subject, axis ORDER BY cell_no) AS f FROM fl_cells WHERE axis BETWEEN 1 AND 22) WHERE f IS NOT NULL"),
     "v9_bad_score": _v("V9", "subject", "axis", "score", "FROM fl_cells WHERE axis BETWEEN 1 AND 22 AND score NOT IN (0, 1, 2)"),
     "v10_na_forbidden": _v("V10", "subject", "axis", "name", f"FROM fl_cells JOIN {NAMES} ON id = axis WHERE score IS NULL AND axis NOT IN {NA}"),
     "v11_na_unexplained": _v("V11", "subject", "axis", "''", "FROM fl_cells WHERE axis BETWEEN 1 AND 22 AND score IS NULL AND trim(coalesce(na_reason, '')) = ''"),
@@ -125,9 +125,9 @@ SQL = {
     "v29_url_two_digests": _v("V29", "NULL", "NULL", "url || ' ' || sha256", "FROM (SELECT DISTINCT url, sha256 FROM fl_cited WHERE sha256 IS NOT NULL) WHERE url IN (SELECT url FROM fl_cited GROUP BY url HAVING count(DISTINCT sha256) > 1)"),
     "v30_digest_two_urls": _v("V30", "NULL", "NULL", "sha256 || ' ' || url", "FROM (SELECT DISTINCT url, sha256 FROM fl_cited WHERE url IS NOT NULL) WHERE sha256 IN (SELECT sha256 FROM fl_cited GROUP BY sha256 HAVING count(DISTINCT url) > 1)"),
     "v31_no_sources": _v("V31", "subject", "axis", "score", "FROM fl_cells WHERE score <> 0 AND subject NOT IN (SELECT subject FROM fp_sources)"),
-    "v32_foreign_source": _v("V32", "subject", "axis", "k || coalesce(' of ' || owner, '')", """FROM (SELECT u.*, o.subject AS owner FROM (
+    "v32_foreign_source": _v("V32", "subject", "axis", "k || coalesce(' of ' || owner || CASE WHEN n > 1 THEN ' and ' || (n - 1) || ' more' ELSE '' END, '')", """FROM (SELECT u.*, o.owner, o.n FROM (
         SELECT DISTINCT e.subject, e.axis, 'host:' || split_part(split_part(e.url, '//', 2), '/', 1) AS k FROM fl_evidence e JOIN fl_cells c ON c.cell_no = e.cell_no WHERE c.score <> 0) u
-        LEFT JOIN (SELECT DISTINCT subject, source FROM fp_sources) o ON o.source = k
+        LEFT JOIN (SELECT source, min(subject) AS owner, count(DISTINCT subject) AS n FROM fp_sources GROUP BY source) o ON o.source = k
         WHERE u.subject IN (SELECT subject FROM fp_sources) AND NOT EXISTS (SELECT 1 FROM fp_sources x WHERE x.subject = u.subject AND x.source = k))"""),
     "v33_missing_pair": _v("V33", "subject", "id", "name", f"FROM (SELECT DISTINCT subject FROM fl_subjects) s, {NAMES} WHERE NOT EXISTS (SELECT 1 FROM fl_cells c WHERE c.subject = s.subject AND c.axis = id)"),
     "v34_bounded_zeros_fell": _v("V34", "NULL", "NULL", "count(*) FILTER (WHERE has_bound) || ' of ' || count(*) || ' floor ' || (count(*) FILTER (WHERE has_bound) + 1)", "FROM fl_cells WHERE score = 0"),
@@ -139,3 +139,11 @@ SQL = {
 for _name, _sql in SQL.items():
     _rule = _name.split("_")[0].upper()
     query(_name, _sql)(lambda spark, d, r=_rule: validation.RULES[r](ledger(spark, d)))
+
+
+@query("v32_foreign_owners", """
+WITH u AS (SELECT DISTINCT e.subject, 'host:' || split_part(split_part(e.url, '//', 2), '/', 1) AS k FROM fl_evidence e JOIN fl_cells c ON c.cell_no = e.cell_no WHERE c.score <> 0)
+SELECT DISTINCT source, subject AS owner FROM fp_sources WHERE source IN (SELECT k FROM u WHERE u.subject IN (SELECT subject FROM fp_sources)
+  AND NOT EXISTS (SELECT 1 FROM fp_sources x WHERE x.subject = u.subject AND x.source = k))""")
+def v32_owners(spark, d):
+    return validation.foreign_owners(ledger(spark, d))
