@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from veriledger.functions.digests import prefix_digest, segment_hashes
 from veriledger.functions.ranking import carried, global_rank, ordinals
-from veriledger.operators import history
+from veriledger.operators import drift, history
 
 RUNS = "run long, round int, controls_total long, watched long, never_executes int, source_fingerprint string, inputs_fingerprint string"
 
@@ -73,3 +73,13 @@ def test_nulls_move_segment_hashes(spark):
     a = spark.createDataFrame([(1, None, "x")], "run long, p string, q string")
     b = spark.createDataFrame([(1, "x", None)], "run long, p string, q string")
     assert segment_hashes(a, "run", ["p", "q"]).first().h0 != segment_hashes(b, "run", ["p", "q"]).first().h0
+
+
+def test_equal_numbers_are_no_drift(spark):
+    pairs = [('{"a": 100}', '{"a": 1e2}', "NONE"), ('{"a": {"b": [1.50, 2]}}', '{"a": {"b": [1.5, 2.0]}}', "NONE"), ('{"a": 1}', '{"a": 1.5}', "MATERIAL"),
+             ('{"a": "1e2"}', '{"a": "100"}', "MATERIAL"), ('{"a": "x: 1.0, y"}', '{"a": "x: 1, y"}', "MATERIAL"), ('{"a": -0}', '{"a": 0.0}', "NONE"),
+             ('{"a": 9007199254740993}', '{"a": 9007199254740992}', "MATERIAL"), ('{"q": "\\\\", "b": 1.0}', '{"q": "\\\\", "b": 1}', "NONE"),
+             ('{"downloads": 10, "a": 3}', '{"downloads": 11, "a": 3.0}', "METADATA")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.kind for r in df.select("i", drift.drift_keys(F.col("a"), F.col("b"))["kind"].alias("kind")).collect()}
+    assert got == {i: k for i, (_, _, k) in enumerate(pairs)}

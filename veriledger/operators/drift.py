@@ -12,14 +12,31 @@ from veriledger.sources import registry
 CLASSES = ["ok", "limited", "gone", "volatile", "serialisation", "metadata", "material"]
 
 
+_JSON_TOKENS = r'("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+|-)'
+
+
+def _number(token: Column) -> Column:
+    """One spelling for equal numbers: whole ones without point and exponent, others as the nearest double."""
+    value = token.try_cast("double")
+    whole = (value == F.floor(value)) & (F.abs(value) < 2.0**53)
+    return F.when(token.rlike("^-?[0-9]+$"), F.when(token == "-0", "0").otherwise(token)).when(
+        whole, value.cast("decimal(20,0)").cast("string")).otherwise(value.cast("string"))
+
+
+def _numbers_alike(text: Column) -> Column:
+    """JSON text whose numbers, those outside strings, are spelled alike where they are equal."""
+    tokens = F.regexp_extract_all(text, F.lit(_JSON_TOKENS), 1)
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), _number(t)).otherwise(t)), "")
+
+
 def _canonical(text: Column) -> Column:
-    """Canonical text of a JSON document: object keys sorted, spacing gone."""
-    return F.to_json(F.try_parse_json(text))
+    """Canonical text of a JSON document: object keys sorted, spacing gone, equal numbers alike at any depth."""
+    return _numbers_alike(F.to_json(F.try_parse_json(text)))
 
 
 def _fields(text: Column) -> Column:
     """Top-level fields of a JSON object as canonical text; null and missing are alike."""
-    values = F.transform_values(F.from_json(text, "map<string,variant>"), lambda _, v: F.nullif(F.to_json(v), F.lit("null")))
+    values = F.transform_values(F.from_json(text, "map<string,variant>"), lambda _, v: F.nullif(_numbers_alike(F.to_json(v)), F.lit("null")))
     return F.map_filter(values, lambda _, v: v.isNotNull())
 
 
@@ -76,6 +93,17 @@ def drift_report(cited: DataFrame, blobs: DataFrame, observations: DataFrame) ->
     ))
 
 
+def affected_cells(report: DataFrame, cited: DataFrame) -> DataFrame:
+    """``url, class, label``: every cell that cites an address which is not as it was recorded."""
+    moved = report.where(F.col("class") != "ok").select("url", "class")
+    return cited.select("label", "url").distinct().join(moved, "url").select("url", "class", "label")
+
+
+def drift_findings(report: DataFrame, at: str) -> DataFrame:
+    """``at, url, class, moved, n_cells``: what a run found, one row for each address that is not as recorded."""
+    return report.where(F.col("class") != "ok").select(F.lit(at).alias("at"), "url", "class", "moved", "n_cells")
+
+
 def drift_run_record(report: DataFrame, cited: DataFrame, at: str) -> DataFrame:
     """One run record: counts by class, completeness, and a fingerprint of what was covered."""
     cover = cited.groupBy("url").agg(F.min("sha256").alias("sha256")).select(row_digest(F.col("url"), F.col("sha256")).alias("d"))

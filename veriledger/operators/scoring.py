@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,40 @@ def ledger_fingerprint(cells: DataFrame, policy: DataFrame) -> DataFrame:
     )
 
 
+DIGEST_PARTS = {
+    "cells": ["subject", "axis", "score"], "subjects": ["subject", "kind", "repo"], "sources": ["subject", "source"],
+    "policy": ["subject", "axis", "key", "value"], "warrants": ["subject", "source", "document"],
+    "superseded": ["subject", "address", "grp", "superseded_by", "still_valid_for"],
+}
+
+
+def digest_tree(led) -> DataFrame:
+    """``level, subject, part, n_rows, digest`` of a ledger: root, each table, each subject, each subject's rows of a table.
+
+    Row digests are summed per (subject, table) and the sums are folded upwards, so every level is a digest of all rows
+    below it, whatever their order, and no level gathers rows.
+    """
+    parts = [
+        getattr(led, part).select(F.col("subject").cast("string").alias("subject"), F.lit(part).alias("part"), row_digest(F.lit(part), *[F.col(c) for c in columns]).alias("d"))
+        for part, columns in DIGEST_PARTS.items()
+    ]
+    leaves = reduce(DataFrame.unionByName, parts).groupBy("subject", "part").agg(F.count(F.lit(1)).alias("n"), *digest_sums(F.col("d")))
+    folded = leaves.cube("subject", "part").agg(F.grouping_id().alias("g"), F.sum("n").alias("n_rows"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(8)])
+    level = F.when(F.col("g") == 0, "rows").when(F.col("g") == 1, "subject").when(F.col("g") == 2, "table").otherwise("root")
+    return folded.select(level.alias("level"), "subject", "part", "n_rows", close_digest(F.col("n_rows")).alias("digest"))
+
+
+def ledger_diff(here: DataFrame, there: DataFrame) -> DataFrame:
+    """``level, subject, part, change`` of the nodes in which two digest trees differ; equal ledgers give no row."""
+    theirs = there.select("level", F.col("subject").alias("_s"), F.col("part").alias("_p"), F.col("digest").alias("_d"))
+    mine = here.select(F.col("level").alias("_l"), "subject", "part", "digest")
+    same = (F.col("_l") == F.col("level")) & F.col("subject").eqNullSafe(F.col("_s")) & F.col("part").eqNullSafe(F.col("_p"))
+    change = F.when(F.col("_d").isNull(), "only here").when(F.col("digest").isNull(), "only there").when(F.col("digest") != F.col("_d"), "differing")
+    both = mine.join(theirs, same, "full_outer").select(
+        F.coalesce("_l", "level").alias("level"), F.coalesce("subject", "_s").alias("subject"), F.coalesce("part", "_p").alias("part"), change.alias("change"))
+    return both.where("change is not null")
+
+
 def cover_fingerprint(cited: DataFrame) -> DataFrame:
     """Fingerprint of the *set* of (url, digest) pairs: repeats and order do not matter."""
     pairs = cited.select("url", "sha256").distinct()

@@ -39,6 +39,16 @@ def r2(spark, d):
     return _report(spark, d)
 
 
+@query("r2_affected_cells", f"{REPORT} SELECT DISTINCT rp.url, class, label FROM rp JOIN fr_cited c ON c.url = rp.url WHERE class <> 'ok'")
+def r2_cells(spark, d):
+    return drift.affected_cells(_report(spark, d), frame(spark, d, "fr_cited"))
+
+
+@query("r3_findings", f"{REPORT}, fd AS ({REPORTED}) SELECT '2024-02-01T00:00:00Z' AS at, url, class, moved, n_cells FROM fd WHERE class <> 'ok'")
+def r3_findings(spark, d):
+    return drift.drift_findings(_report(spark, d), "2024-02-01T00:00:00Z")
+
+
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE class = '{c}') AS n_{c}" for c in drift.CLASSES)
 _WORDS = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {8 * i + 1}, 8)) AS BIGINT)) AS VARCHAR)" for i in range(8))
 

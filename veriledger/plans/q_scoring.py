@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from veriledger.operators import scoring, sensitivity
 from veriledger.plans.catalog import query
 from veriledger.plans.fixtures import frame
+from veriledger.plans.q_validation import ledger
 
 
 def _scores(spark, d):
@@ -98,6 +99,38 @@ def a5(spark, d):
     return scoring.ledger_fingerprint(frame(spark, d, "fx_cells"), frame(spark, d, "fp_policy"))
 
 
+_PARTS = {"cells": ("fl_cells", "subject, axis, coalesce(CAST(score AS VARCHAR), 'None')"), "subjects": ("fl_subjects", "subject, kind, repo"), "sources": ("fp_sources", "subject, source"),
+          "policy": ("fp_policy", "subject, axis, key, coalesce(value, 'None')"), "warrants": ("fp_warrants", "subject, source, document"),
+          "superseded": ("fp_superseded", "subject, address, grp, superseded_by, '[' || array_to_string(still_valid_for, ', ') || ']'")}
+
+
+def _tree(name, keep=None):
+    rows = " UNION ALL ".join(
+        f"SELECT CAST(subject AS VARCHAR) AS subject, '{part}' AS part, sha256(concat_ws('|', '{part}', {columns})) AS d FROM {view} WHERE {(keep or {}).get(part, 'TRUE')}"
+        for part, (view, columns) in _PARTS.items())
+    return f"""{name} AS (SELECT CASE grouping(subject, part) WHEN 0 THEN 'rows' WHEN 1 THEN 'subject' WHEN 2 THEN 'table' ELSE 'root' END AS level, subject, part, count(*) AS n_rows,
+   sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_WORDS})) AS digest FROM ({rows}) GROUP BY CUBE (subject, part))"""
+
+
+@query("a5_digest_tree", f"WITH {_tree('tr')} SELECT * FROM tr")
+def a5_tree(spark, d):
+    return scoring.digest_tree(ledger(spark, d))
+
+
+_OTHER = {"sources": "subject % 9 <> 4", "superseded": "subject % 7 <> 2", "warrants": "source NOT LIKE '%7%'"}
+
+
+@query("a5_ledger_diff", f"""WITH {_tree('tr')}, {_tree('ot', _OTHER)}
+SELECT level, subject, part, CASE WHEN h.digest IS NULL THEN 'only there' WHEN t.digest IS NULL THEN 'only here' ELSE 'differing' END AS change
+FROM (SELECT *, coalesce(subject, '-') || '/' || coalesce(part, '-') AS node FROM tr) h FULL JOIN (SELECT level AS tl, digest, coalesce(subject, '-') || '/' || coalesce(part, '-') AS node FROM ot) t
+  ON t.tl = h.level AND t.node = h.node WHERE h.digest IS DISTINCT FROM t.digest""")
+def a5_diff(spark, d):
+    here, other = ledger(spark, d), ledger(spark, d)
+    for part, keep in _OTHER.items():
+        setattr(other, part, getattr(other, part).where(keep))
+    return scoring.ledger_diff(scoring.digest_tree(here), scoring.digest_tree(other))
+
+
 @query("a6_cover_fingerprint", f"""
 WITH dg AS (SELECT sha256(url || '|' || sha256) AS d FROM (SELECT DISTINCT url, sha256 FROM fx_evidence))
 SELECT count(*) AS n_rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_WORDS})) AS fingerprint FROM dg""")
