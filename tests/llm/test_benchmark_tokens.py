@@ -1,7 +1,6 @@
-import itertools
-
 import collections
 import hashlib
+import itertools
 import random
 import re
 

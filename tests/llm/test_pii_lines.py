@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -124,13 +125,44 @@ def test_insert_and_delete_are_inverse(spark, docs_of):
     first = D.insert(D.empty_index(spark), one, shards=4)
     both = D.insert(first, two, shards=4)
     assert cut(D.apply(both, docs_of(pairs))) == brute_lines(pairs)
-    back = D.delete(both, two.select("doc_id"), shards=4)
+    back = D.delete(both, two.select("doc_id"))
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(back.refs) == rows(first.refs) and rows(back.counts) == rows(first.counts)
     assert [tuple(r)[:2] for r in sorted(back.filters.collect())] == [tuple(r)[:2] for r in sorted(first.filters.collect())]
     assert cut(D.apply(back, one)) == brute_lines(pairs[:25])
 
 
+def test_keys_that_collide_in_the_filter_stay_reversible(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(D, "PRINTS", 2)  # nearly every new key looks known
+    monkeypatch.setattr(D, "SHARD_KEYS", 20)
+    line = lambda k: f"line number {k} of the shared part, long enough to count"
+    pairs = [(i, "\n".join(line(k) for k in range(i % 7, 60, 3))) for i in range(30)]
+    parts = [docs_of(pairs[:10]), docs_of(pairs[10:20]), docs_of(pairs[20:])]
+    index = D.insert(D.empty_index(spark), parts[0], shards=2)
+    for part in parts[1:]:
+        index = D.insert(index, part)
+    assert index.shards > 2  # it has outgrown two shards
+    for part in (parts[1], parts[0]):  # out and in again
+        index = D.insert(D.delete(index, part.select("doc_id")), part)
+    counts = index.counts.collect()
+    assert len({bytes(r.key) for r in counts}) == len(counts) == 60
+    assert sum(r.n for r in index.filters.collect()) == 60
+    assert cut(D.apply(index, docs_of(pairs))) == brute_lines(pairs)
+    left = D.delete(index, parts[2].select("doc_id"))
+    assert cut(D.apply(left, docs_of(pairs[:20]))) == brute_lines(pairs[:20])
+
+
+def test_disguised_among_many_plain_addresses_in_linear_time():
+    text = " ".join(f"user{i}@example{i}.com or user{i} at other{i} dot com" for i in range(16_000))
+    start = time.process_time()
+    base, every = P.find_in(text)
+    assert len(base["email"]) == 16_000 and len(every["email"]) == 32_000
+    taken = time.process_time() - start
+    start = time.process_time()
+    P.find_in(text[: len(text) // 2])
+    assert taken < 4 * (time.process_time() - start) + 0.5  # half the text takes about half the time
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1 << 63, (5000, 2), dtype=np.uint64)

@@ -8,9 +8,11 @@ The state of an index is three tables: ``refs(key, doc_id)``, one row per key an
 ``counts(shard, key, n_docs, max_doc)``; and ``filters(shard, n, slots)``, one cuckoo filter per shard of
 keys.  ``insert`` counts the new documents' keys (combined before the shuffle, so a line that a third of
 all documents share is one row per task) and asks the shard's filter: a key that is not in it is new and is
-appended without reading the old counts, a key that may be in it is joined with them.  ``delete`` takes
+appended without reading the old counts, a key that may be in it is joined with them; where the filter was wrong, the
+key gets a slot after all, so that every key of the counts has one of its own.  ``delete`` takes
 documents out again, recounts only the keys they held, and removes keys without references from the
-filters.  Deleting what was inserted gives back the state before.
+filters.  Deleting what was inserted gives back the state before.  An index has a shard for at most ``SHARD_KEYS`` keys
+on average; one that outgrows them is dealt anew.
 
 Edge cases: null or empty text is one empty line.  Rows that share a ``doc_id`` count as one document
 and are cut alike.  Rows with a null id count for nothing and keep their lines.  Keys are compared by a 128-bit hash.
@@ -34,8 +36,10 @@ from veriledger.llm.common import arrow_rows, materialise
 MIN_CHARS = 40
 MIN_DOCS = 5
 SHARDS = 64
+SHARD_KEYS = 250_000
 SPACE = " \t\n\x0b\x0c\r"
 SLOTS = 4
+PRINTS = 65535
 
 
 def line_key(line: str) -> bytes | None:
@@ -77,7 +81,7 @@ class CuckooFilter:
         return cls(buckets)
 
     def _prints(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        prints = (keys[:, 1] % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
+        prints = (keys[:, 1] % np.uint64(PRINTS)).astype(np.uint16) + np.uint16(1)
         return prints, (keys[:, 0] & self.mask).astype(np.int64)
 
     def _other(self, bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -143,6 +147,7 @@ class Index:
     refs: DataFrame
     counts: DataFrame
     filters: DataFrame
+    shards: int = SHARDS
 
 
 REFS = "key binary, doc_id long"
@@ -172,8 +177,11 @@ def _words_of(table: pa.Table) -> np.ndarray:
 def _filter_of(table: pa.Table) -> tuple[CuckooFilter | None, int]:
     if not table.num_rows:
         return None, 0
-    slots = np.frombuffer(table.column("slots")[0].as_py(), np.uint16).reshape(-1, SLOTS).copy()
-    return CuckooFilter(len(slots), slots), table.column("n")[0].as_py()
+    n, data = table.column("n")[0].as_py(), table.column("slots")[0].as_py()
+    if data is None:
+        return None, n
+    slots = np.frombuffer(data, np.uint16).reshape(-1, SLOTS).copy()
+    return CuckooFilter(len(slots), slots), n
 
 
 def _asked(counts: pa.Table, filters: pa.Table) -> pa.Table:
@@ -206,17 +214,42 @@ def _built(table: pa.Table) -> pa.Table:
                      "slots": pa.array([made.slots.tobytes()], pa.binary())})
 
 
-def insert(index: Index, documents: DataFrame, shards: int = SHARDS) -> Index:
-    """The index with the lines of ``documents(doc_id, text)``."""
+def _added(filters: pa.Table, late: pa.Table) -> pa.Table:
+    """A shard's filter with more keys in it; without slots if it is too full to take them."""
+    made, n = _filter_of(filters)
+    shard = (filters if filters.num_rows else late).column("shard")[0].as_py()
+    fits = made is not None and len(made.slots) * SLOTS * 0.9 >= n + late.num_rows and (not late.num_rows or made.add(_words_of(late)))
+    return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([n + late.num_rows], pa.int64()),
+                     "slots": pa.array([made.slots.tobytes() if fits else None], pa.binary())})
+
+
+def _resharded(index: Index) -> Index:
+    """The index with shards for about half as many keys as one may hold, where its keys have outgrown them."""
+    n = index.counts.count()
+    if n <= index.shards * SHARD_KEYS:
+        return index
+    shards = 2 * -(-n // SHARD_KEYS)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    counts = materialise(index.counts.withColumn("shard", shard))
+    return Index(index.refs, counts, materialise(counts.groupBy("shard").applyInArrow(_built, FILTERS)), shards)
+
+
+def insert(index: Index, documents: DataFrame, shards: int | None = None) -> Index:
+    """The index with the lines of ``documents(doc_id, text)``; ``shards``: how many a new index gets (default: by its keys)."""
     first = index.refs.isEmpty()
     refs = line_refs(documents)
     if not first:
         refs = refs.join(index.refs, ["key", "doc_id"], "left_anti")
     refs = materialise(refs)
+    if not first:
+        shards = index.shards
+    elif shards is None:
+        shards = max(SHARDS, -(-refs.count() // SHARD_KEYS))  # no more distinct keys than references
     asked = materialise(_count(refs, shards).groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInArrow(
         _asked, "shard int, key binary, n_docs long, max_doc long, known boolean, slots binary"))
     mine = asked.where("key is not null")
     counts = mine.where("not known").select("shard", "key", "n_docs", "max_doc")
+    kept = asked.where("key is null").select("shard", F.col("n_docs").alias("n"), "slots")
     if not first:
         # the filter's "maybe": the exact counts decide; keys that it does not know are never looked up
         more = mine.where("known").select("shard", "key", F.col("n_docs").alias("n"), F.col("max_doc").alias("m"))
@@ -224,12 +257,16 @@ def insert(index: Index, documents: DataFrame, shards: int = SHARDS) -> Index:
             "shard", "key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"),
             F.greatest("max_doc", "m").alias("max_doc"))
         counts = counts.union(both)
-    counts = materialise(counts)
+        # "maybe" was wrong: the key is new all the same and gets a slot of its own, which its deletion will take out again
+        late = materialise(more.join(index.counts, ["shard", "key"], "left_anti").select("shard", "key"))
+        kept = kept.groupBy("shard").cogroup(late.groupBy("shard")).applyInArrow(_added, FILTERS)
+    counts, kept = materialise(counts), materialise(kept)
     # filters that were too small are built again from the exact keys
-    grown = asked.where("key is null and slots is null").select("shard")
+    grown = kept.where("slots is null").select("shard")
     rebuilt = counts.join(grown, "shard", "left_semi").groupBy("shard").applyInArrow(_built, FILTERS)
-    kept = asked.where("key is null and slots is not null").select("shard", F.col("n_docs").alias("n"), "slots")
-    return Index(materialise(index.refs.union(refs)) if not first else refs, counts, materialise(kept.union(rebuilt)))
+    filters = materialise(kept.where("slots is not null").union(rebuilt))
+    made = Index(refs if first else materialise(index.refs.union(refs)), counts, filters, shards)
+    return made if first else _resharded(made)
 
 
 def _without(filters: pa.Table, gone: pa.Table) -> pa.Table:
@@ -241,8 +278,9 @@ def _without(filters: pa.Table, gone: pa.Table) -> pa.Table:
                      "slots": pa.array([made.slots.tobytes()], pa.binary())})
 
 
-def delete(index: Index, doc_ids: DataFrame, shards: int = SHARDS) -> Index:
+def delete(index: Index, doc_ids: DataFrame) -> Index:
     """The index without the documents of ``doc_ids(doc_id)``."""
+    shards = index.shards
     ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     touched = materialise(index.refs.join(ids, "doc_id", "left_semi").select("key").distinct())
     refs = materialise(index.refs.join(ids, "doc_id", "left_anti").select("key", "doc_id"))
@@ -250,7 +288,7 @@ def delete(index: Index, doc_ids: DataFrame, shards: int = SHARDS) -> Index:
     counts = materialise(index.counts.join(touched, "key", "left_anti").select("shard", "key", "n_docs", "max_doc").union(left))
     gone = touched.join(counts, "key", "left_anti").select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key")
     filters = index.filters.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_without, FILTERS)
-    return Index(refs, counts, materialise(filters))
+    return Index(refs, counts, materialise(filters), shards)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

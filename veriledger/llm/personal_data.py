@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -218,11 +219,15 @@ def find_in(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         return base, base
     every = {}
     for kind, find in DETECTORS.items():
-        taken = sorted(base[kind])
+        # plain spans of a kind ascend and do not overlap: only the last one that starts no later can hold another
+        plain, taken = sorted(base[kind]), list(base[kind])
+        starts = [a for a, _ in plain]
         for span in find(tape.text):
             source = tape.source(span)
-            if source and not any(a <= source[0] and source[1] <= b for a, b in base[kind]):
-                taken.append(source)
+            if source:
+                at = bisect_right(starts, source[0]) - 1
+                if at < 0 or source[1] > plain[at][1]:
+                    taken.append(source)
         every[kind] = sorted(taken)
     return base, every
 
@@ -242,7 +247,8 @@ def find(documents: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column(1).to_pylist():
                 base, every = find_in(text or "")
-                rows.append([{"kind": k, "start": a, "end": b, "disguised": (a, b) not in base[k]} for k in KINDS for a, b in every[k]])
+                plain = {k: set(base[k]) for k in KINDS}
+                rows.append([{"kind": k, "start": a, "end": b, "disguised": (a, b) not in plain[k]} for k in KINDS for a, b in every[k]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     return arrow_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, spans {SPAN_TYPE}")
