@@ -19,3 +19,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def release_staged_tables(request):
+    """Rows that ``session.cut_lineage`` persisted go with the test that asked for them."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
