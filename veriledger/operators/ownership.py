@@ -193,7 +193,6 @@ SET_RULES = {"O3": source_rule, "O4": document_rule, "O9": literal_rule}
 def ownership_rule(led: Ledger, rule: str) -> DataFrame:
     annotated = annotate(led)
     if rule in SET_RULES:
-        annotated = cut_lineage(annotated)
         return SET_RULES[rule](led, annotated)
     return row_rules(annotated).filter(F.col("rule") == rule)
 
