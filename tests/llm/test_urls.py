@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from veriledger.llm import url_aliases as U
 
 PAGES = "page_id long, url string, html string, rule string, component long"
@@ -43,3 +45,21 @@ def test_redirect_table_hub_and_empty(spark):
     got = verdicts(spark, hub + hub[:2], redirects=redirects)
     assert len(got) == 42 and {v[3:] for v in got.values()} == {("block", "alias")}
     assert U.judge(pages(spark, [("http://a.org", None)]).where("false")).count() == 0
+
+
+def test_members_are_judged_by_their_own_path(spark):
+    # a.com has an empty path, which com/ does not fit; no member is allowed, so the block reaches all
+    got = verdicts(spark, [("http://a.com", CANON.format("http://x.net/es/1")), ("http://b.org/1", CANON.format("http://a.com")), ("http://a.com/", None)])
+    assert [got[i][3:] for i in (0, 1)] == [("block", "alias")] * 2 and got[2][3:] == ("allow", "rule")
+
+
+def test_line_feeds_long_urls_and_clashing_columns(spark):
+    far = "http://b.org/" + "y" * 100_000
+    rows = [("\nhttp://w.org/9", None), ("\nhttp://v.org/9", CANON.format("http://x.net/es/9")), (far, CANON.format("http://x.net/fr/1")), (far + "z", "")]
+    got = verdicts(spark, rows)
+    assert got[0] == ("w.org", "/9", None, "allow", "default") and got[1] == ("v.org", "/9", None, "block", "alias")
+    assert got[2][3:] == ("block", "alias") and got[2][1] == far[12:] and got[3][3:] == ("allow", "default")
+    more = pages(spark, rows)
+    for name in ("host", "path", "key", "verdict", "a", "b", "node", "u", "v", "m", "target", "decided_by"):
+        more = more.withColumn(name, F.lit("x"))
+    assert {r.page_id: r.verdict for r in U.judge(more).collect()} == {i: r[3] for i, r in got.items()}

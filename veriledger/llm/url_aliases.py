@@ -6,7 +6,8 @@ form one component (distributed connected components), and an explicit allow any
 takes precedence over any block in it.  A url's own rule always wins over what aliases say.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule, has no
-aliases and is allowed.  Null html declares nothing.  Repeated urls share one node and every row
+aliases and is allowed.  A line feed anywhere in a url, before ``://`` too, is an ordinary character.
+Urls of any length are read whole.  Null html declares nothing.  Repeated urls share one node and every row
 is judged.  Self-links add nothing.  Other columns of ``pages`` are ignored.  An empty table
 gives an empty result.
 """
@@ -28,21 +29,28 @@ RULES = [
 ]
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty without ``://``."""
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+    rest = _after_scheme(url)
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
 def url_key(url: Column) -> Column:
-    """Node of a url in the alias graph: scheme and fragment dropped, host lower-cased, query kept."""
-    host = lower_ascii(F.regexp_extract(url, r"^.*?://([^/?#]*)", 1))
-    path = F.regexp_extract(url, r"^.*?://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(url, r"^.*?://[^?#]*(\?[^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(host, F.regexp_replace(path, "^$", "/"), query))
+    """Node of a url in the alias graph: its host and path, as they are judged, and its query; scheme and fragment are dropped.
+
+    An empty path and ``/`` are two nodes, because rules tell them apart.
+    """
+    host, path = host_and_path(url)
+    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(host, path, query))
 
 
 def best_rule(host: Column, path: Column, rules=None) -> Column:
