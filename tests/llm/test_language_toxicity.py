@@ -45,13 +45,61 @@ def test_language_without_labels_or_rows(spark):
 def test_false_positives_are_corrected():
     rng = np.random.default_rng(1)
     grams = [rng.integers(0, 1 << 63, 300_000, dtype=np.uint64) for _ in range(2)]
-    made = L.Filter(["a", "b"], grams, "a")
+    made = L.Filter(["a", "b"], grams, "a", slots=1 << 20)
+    sized = L.Filter(["a", "b"], grams, "a")
+    assert sized.bits == 23 and sized.false_rate.max() < 0.014
     other = rng.integers(0, 1 << 63, 50_000, dtype=np.uint64)
     hits, total = made.hits(np.concatenate([grams[0][:1000], other]), np.repeat([0, 1], [1000, 50_000]), 2)
     assert made.false_rate[0] > 0.1 and hits[0, 0] == pytest.approx(1000, rel=1e-6)
     assert hits[1, 0] < 0.02 * total[1] and hits[0, 1] < 60
 
 
+def plain_grams(text):
+    """The n-grams of one text as strings, letter by letter."""
+    low = text.lower()
+    kept = [c if c.isalpha() else " " for i, c in enumerate(low)
+            if c.isalpha() or (i > 0 and low[i - 1].isalpha()) or (i + 1 < len(low) and low[i + 1].isalpha())]
+    out = []
+    for n in L.SIZES:
+        for i in range(len(kept) - n + 1):
+            gram = "".join(kept[i:i + n])
+            if gram.strip() and " " not in gram[1:-1] and (n > 1 or gram != " "):
+                out.append(gram)
+    return out
+
+
+def test_language_counts_equal_exact_sets(spark):
+    rows = [r for r in sample(300) if zlib.crc32(str(r[0]).encode()) % 4 != 2] + [(2000 + i, t, None, "s", 0) for i, t in enumerate(
+        ["ΛΟΓΟΣ", "der  thing, los", "über straße 12 über", "a", "the\ncorazón -- de que"])]
+    stands, texts = {}, {}
+    for _, text, lang, _, _ in rows:
+        if lang:
+            texts[lang] = texts.get(lang, 0) + 1
+            for gram in set(plain_grams(text)):
+                stands[gram, lang] = stands.get((gram, lang), 0) + 1
+    langs = sorted(texts)
+    share = {k: n / texts[k[1]] for k, n in stands.items()}
+    kept = {(g, x) for (g, x), s in share.items() if s >= L.MIN_SHARE
+            and s >= L.SPREAD * sum(share.get((g, y), 0) for y in langs if y != x) / (len(langs) - 1)}
+    model = L.fit(frame(spark, rows))
+    assert model.langs == langs
+    found = L.predict(frame(spark, rows), model).collect()
+    for (i, text, *_), row in zip(sorted(rows), sorted(found)):
+        grams = plain_grams(text)
+        exact = [sum((g, x) in kept for g in grams) for x in langs]
+        gram, owner, _ = L._grams([text])
+        hits, total = model.hits(gram, owner, 1)
+        assert total[0] == len(grams) and np.allclose(hits[0], exact, atol=1 + 0.03 * len(grams)), (text, hits, exact)
+        if sorted(exact)[-1] > sorted(exact)[-2] + 2 + 0.06 * len(grams):
+            assert row.doc_id == i and row.lang_pred == langs[exact.index(max(exact))]
+
+
+def test_a_text_is_lowered_on_its_own():
+    alone = L._grams(["ΛΟΓΟΣ"])[0]
+    gram, owner, _ = L._grams(["ΛΟΓΟΣ", "abc"])
+    assert sorted(alone) == sorted(gram[owner == 0])
+
+
 def labelled(spark, n=600):
     rng = random.Random(4)
     plain, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)], ["grub", "zonk", "plop"]

@@ -8,8 +8,9 @@ the language with the most corrected hits wins.
 Fitting takes, per language, about ``SAMPLE_DOCS`` labelled texts (those with the smallest hash of their
 id, all if fewer) and keeps an n-gram for a language if it stands in at least ``MIN_SHARE`` of its
 sampled texts, and in a share at least ``SPREAD`` times that of the other languages on average: n-grams common
-to all tell nothing.  The fitted filter has a fixed number of slots, so it is small enough to ship
-with the tasks whatever the size of the corpus.
+to all tell nothing.  The filter has ``SLOTS_PER_GRAM`` slots or more for each n-gram of the language that keeps
+most, so a false positive stays below (1 - exp(-HASHES / SLOTS_PER_GRAM)) ** HASHES, 1.4 %, however long the texts
+are; its size follows the sample, not the corpus, and it ships with the tasks.
 
 Edge cases: null text, and text without a letter, is ``und`` with score 0.  A text with letters but no known
 n-gram gets the most frequent language with score 0.  Ties go to the first language by name.  Without any
@@ -31,7 +32,8 @@ SAMPLE_DOCS = 2000
 SIZES = (1, 2, 3, 4)
 MIN_SHARE = 0.01
 SPREAD = 3.0
-SLOTS = 1 << 20
+SLOTS_LEAST = 1 << 16
+SLOTS_PER_GRAM = 16
 HASHES = 2
 BATCH_CHARS = 1 << 17
 HELD_OUT = 2
@@ -44,8 +46,9 @@ def held_out(doc_id: Column) -> Column:
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, lower-cased, with every run of non-letters as one space; and the text each belongs to."""
-    raw = np.frombuffer("".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t.lower()) for t in texts])
+    lowered = [t.lower() for t in texts]  # one by one: a final sigma depends on what follows it
+    raw = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
     return raw, owner
 
 
@@ -127,21 +130,26 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["lang", "gram", "n"])
 
 
-def _slots(gram: np.ndarray, k: int) -> np.ndarray:
+def _slots(gram: np.ndarray, k: int, bits: int) -> np.ndarray:
     h = gram * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)[k % 3])
-    return (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Filter:
-    """Bit-sliced Bloom filter: ``words[slot]`` has one bit per language."""
+    """Bit-sliced Bloom filter: ``words[slot]`` has one bit per language.
 
-    def __init__(self, langs: list[str], grams: list[np.ndarray], default: str):
+    ``slots``: a power of two; by default as many as the n-grams of the fullest language need.
+    """
+
+    def __init__(self, langs: list[str], grams: list[np.ndarray], default: str, slots: int | None = None):
         self.langs, self.default = langs, default
-        self.words = np.zeros((-(-len(langs) // 64) or 1, SLOTS), np.uint64)
+        need = max(SLOTS_LEAST, SLOTS_PER_GRAM * max(map(len, grams), default=0))
+        self.bits = ((slots or need) - 1).bit_length()
+        self.words = np.zeros((-(-len(langs) // 64) or 1, 1 << self.bits), np.uint64)
         rates = []
         for i, found in enumerate(grams):
             for k in range(HASHES):
-                self.words[i // 64][_slots(found, k)] |= np.uint64(1 << (i % 64))
+                self.words[i // 64][_slots(found, k, self.bits)] |= np.uint64(1 << (i % 64))
             rates.append((((self.words[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** HASHES)
         self.false_rate = np.array(rates)
 
@@ -149,7 +157,7 @@ class Filter:
         """Corrected hits per (text, language), and n-grams per text."""
         total = np.bincount(owner, minlength=n).astype(float)
         out = np.zeros((n, len(self.langs)))
-        places = [_slots(gram, k) for k in range(HASHES)]
+        places = [_slots(gram, k, self.bits) for k in range(HASHES)]
         for w, row in enumerate(self.words):
             mask = row[places[0]]
             for place in places[1:]:
