@@ -192,12 +192,56 @@ def leave_k_axes_out(vectors: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
+CHUNKS = ((0, 8), (8, 15), (15, len(registry.AXIS_IDS)))
+
+
+def _coded(vector: Column) -> Column:
+    """A score vector as one long, two bits an axis; 3 is not scored."""
+    parts = [F.shiftleft(F.coalesce(F.get(vector, F.lit(i)), F.lit(3)).cast("long"), 2 * i) for i in range(len(registry.AXIS_IDS))]
+    return reduce(Column.bitwiseOR, parts)
+
+
+def _chunk_drops(first: int, last: int, k: int) -> Column:
+    """Every set of at most k dropped axes within a chunk: its bits, its size, and the kept axes as two-bit places."""
+    width = last - first
+    sets = [(m, m.bit_count(), sum(1 << 2 * j for j in range(width) if not m >> j & 1)) for m in range(1 << width) if m.bit_count() <= k]
+    return F.array(*[F.struct(F.lit(m << first).alias("axes"), F.lit(size).alias("size"), F.lit(keep).cast("long").alias("keep"))
+                     for m, size, keep in sets])
+
+
+def drop_extremes(vectors: DataFrame, k: int) -> DataFrame:
+    """``(kind, drop, n, low, high)``: least and greatest total of a kind's vectors after each k-axis drop, by axes left.
+
+    A dynamic programme over chunks of axes.  A state is what was dropped so far, how many scored axes were
+    kept, and the scores still to come; of all vectors in one state only the least and the greatest total go on,
+    because equal suffixes and counts keep their order under every later drop.  The number of states after a
+    chunk is bounded by the drops, counts and suffixes there are, whatever the number of subjects, and vectors
+    that differ only in axes already passed are one.
+    """
+    state = vectors.select("kind", _coded(F.col("v")).alias("code"), F.lit(0).alias("drop"), F.lit(0).alias("dropped"), F.lit(0).alias("n"),
+                           F.lit(0).alias("low"), F.lit(0).alias("high")).distinct()
+    for first, last in CHUNKS:
+        width, left = last - first, len(registry.AXIS_IDS) - last
+        state = state.select("*", F.explode(_chunk_drops(first, last, k)).alias("c"))
+        state = state.where((F.col("dropped") + F.col("c.size")).between(k - left, k))
+        ones = F.col("code").bitwiseAND(F.col("c.keep"))
+        twos = F.shiftright("code", 1).bitwiseAND(F.col("c.keep"))
+        none = F.bit_count(ones.bitwiseAND(twos))
+        gain = F.bit_count(ones) + 2 * F.bit_count(twos) - 3 * none
+        state = state.select(
+            "kind", F.shiftright("code", 2 * width).alias("code"), F.col("drop").bitwiseOR(F.col("c.axes")).alias("drop"),
+            (F.col("dropped") + F.col("c.size")).alias("dropped"), (F.col("n") + width - F.col("c.size") - none).alias("n"),
+            (F.col("low") + gain).alias("low"), (F.col("high") + gain).alias("high"),
+        ).groupBy("kind", "drop", "dropped", "n", "code").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return state.select("kind", "drop", "n", "low", "high")
+
+
 def separation_at(vectors: DataFrame, upper: str, lower: str, k: int) -> DataFrame:
     """At depth k: drops where stratum ``upper`` ties with or falls below stratum ``lower``."""
-    sides = vectors.filter(F.col("kind").isin(upper, lower)).select("kind", "v").distinct()
-    per_drop = _drop_axes(sides, k).groupBy("drop").agg(
-        F.min(F.when(F.col("kind") == upper, F.col("key"))).alias("low"),
-        F.max(F.when(F.col("kind") == lower, F.col("key"))).alias("high"),
+    found = drop_extremes(vectors.filter(F.col("kind").isin(upper, lower)), k)
+    per_drop = found.groupBy("drop").agg(
+        F.min(F.when(F.col("kind") == upper, exact_key(F.col("low"), F.col("n")))).alias("low"),
+        F.max(F.when(F.col("kind") == lower, exact_key(F.col("high"), F.col("n")))).alias("high"),
     )
     return per_drop.agg(
         F.count_if(F.col("low") == F.col("high")).alias("ties"),
@@ -206,21 +250,23 @@ def separation_at(vectors: DataFrame, upper: str, lower: str, k: int) -> DataFra
 
 
 def separation_depth(vectors: DataFrame, upper: str, lower: str, max_k: int = 11) -> DataFrame:
-    """The smallest k whose drops break the separation; ``k`` null when none up to max_k does.
+    """``(k, searched_to, ties, inversions)``: the smallest k whose drops break the separation.
 
-    Only one summary row per depth reaches the driver, and the loop stops at the first hit.
+    ``k`` is null when no drop of up to ``searched_to`` axes does, which says nothing about deeper ones; with
+    ``max_k`` = 22 there always is one, if both strata have a subject.  Only one summary row per depth reaches
+    the driver, and the loop stops at the first hit.
     """
     spark = vectors.sparkSession
-    schema = "k int, ties long, inversions long"
+    schema = "k int, searched_to int, ties long, inversions long"
     vectors = vectors.persist()
     try:
         for k in range(1, max_k + 1):
             row = separation_at(vectors, upper, lower, k).first()
             if row["ties"] + row["inversions"]:
-                return spark.createDataFrame([tuple(row)], schema)
+                return spark.createDataFrame([(k, k, row["ties"], row["inversions"])], schema)
     finally:
         vectors.unpersist()
-    return spark.createDataFrame([(None, 0, 0)], schema)
+    return spark.createDataFrame([(None, max_k, 0, 0)], schema)
 
 
 def stratum_extremes(keys: DataFrame, upper: str, lower: str) -> DataFrame:

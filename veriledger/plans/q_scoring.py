@@ -208,7 +208,7 @@ u AS (SELECT a.i, v.kind, v.t - coalesce(c.score, 0) AS t2, v.n - (CASE WHEN c.s
       FROM range(1, 23) a(i), v LEFT JOIN fx_cells c ON c.subject = v.subject AND c.axis = a.i),
 p AS (SELECT i, min(CAST(t2 * CAST(232792560 / n2 AS BIGINT) AS BIGINT)) FILTER (WHERE kind = 'fully-open') AS lo,
              max(CAST(t2 * CAST(232792560 / n2 AS BIGINT) AS BIGINT)) FILTER (WHERE kind = 'open-weights') AS hi FROM u GROUP BY i)
-SELECT 1 AS k, count(*) FILTER (WHERE lo = hi) AS ties, count(*) FILTER (WHERE lo < hi) AS inversions FROM p""")
+SELECT 1 AS k, 1 AS searched_to, count(*) FILTER (WHERE lo = hi) AS ties, count(*) FILTER (WHERE lo < hi) AS inversions FROM p""")
 def a13(spark, d):
     return sensitivity.separation_depth(_vectors(spark, d), "fully-open", "open-weights")
 
