@@ -118,3 +118,16 @@ def test_mutations_of_expectations(spark):
     got = one(mutation.field_mutation_coverage(rows, cites, blobs, F.lit("h2")))
     assert len(got) == 7 and all(r["n"] == 1 for r in got.values())  # the failing baseline takes no part
     assert {m for m, r in got.items() if r["survived"]} == set()
+
+
+def test_every_category_is_a_row(spark):
+    rows = [("s1" if i % 3 else "s2", i, None if i == 50 else f"c{i % 20:02}") for i in range(60)] + [("s2", 1, "c01")]
+    excluded = spark.createDataFrame(rows, "subject string, id int, category string")
+    counts = {r.category: (r.n, r.adjacent) for r in reconcile.category_counts(excluded, ["c03"]).collect()}
+    assert len(counts) == 21 and counts["c03"] == (3, True) and counts[None] == (1, False) and counts["c10"] == (2, False)
+    assert reconcile.category_top(reconcile.category_counts(excluded, ["c03"]), 2).count() == 2
+    per = reconcile.subject_categories(excluded, ["c03"])
+    assert sum(r.n for r in per.collect()) == 60 and per.filter("subject = 's2'").count() == 20
+    top = {r.subject: r for r in reconcile.category_profile(per, 2).collect()}
+    assert top["s1"].excluded == 40 - sum(1 for s, i, c in rows if s == "s1" and c is None) and top["s2"].top.count(",") == 1
+    assert reconcile.subject_categories(excluded.where("false")).isEmpty() and reconcile.category_counts(excluded.where("false")).isEmpty()

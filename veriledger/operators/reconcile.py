@@ -187,20 +187,29 @@ def filter_cost(unfiltered: DataFrame, filtered: DataFrame, verbs: str = funnel.
     return relevant.join(filtered.select("subject", "id").distinct(), ["subject", "id"], "left_anti").dropDuplicates(["subject", "id"])
 
 
-def category_top(excluded_ids: DataFrame, adjacent: list[str] = PROFILE_ADJACENT, k: int = TOP_CATEGORIES) -> DataFrame:
-    """The most common categories among distinct excluded documents (a top-k report)."""
-    counts = excluded_ids.dropDuplicates(["id"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "category").limit(k).withColumn("adjacent", F.col("category").isin(adjacent))
+def category_counts(excluded: DataFrame, adjacent: list[str] = PROFILE_ADJACENT) -> DataFrame:
+    """``(category, n, adjacent)``: every category among the distinct excluded documents; no category is null too."""
+    counts = excluded.dropDuplicates(["id"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("adjacent", F.coalesce(F.col("category").isin(adjacent), F.lit(False)))
 
 
-def category_profile(excluded: DataFrame, adjacent: list[str] = PROFILE_ADJACENT, k: int = 3) -> DataFrame:
-    """Per subject: excluded, adjacent, and the k most common categories as text."""
+def category_top(counts: DataFrame, k: int = TOP_CATEGORIES) -> DataFrame:
+    """Report view: the k most common of ``category_counts``."""
+    return counts.orderBy(F.desc("n"), "category").limit(k)
+
+
+def subject_categories(excluded: DataFrame, adjacent: list[str] = PROFILE_ADJACENT) -> DataFrame:
+    """``(subject, category, n, rank, adjacent)``: every category of a subject's excluded documents, most common first."""
     counts = excluded.filter("category is not null").groupBy("subject", "category").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("n"), "category"))
-    shown = F.when(F.col("r") <= k, F.struct("r", F.concat_ws(":", "category", F.col("n").cast("string")).alias("t")))
-    ranked = counts.withColumn("r", rank)
-    return ranked.groupBy("subject").agg(
-        F.sum("n").alias("excluded"), F.coalesce(F.sum(F.when(F.col("category").isin(adjacent), F.col("n"))), F.lit(0)).alias("adjacent"),
+    return counts.select("subject", "category", "n", rank.alias("rank"), F.col("category").isin(adjacent).alias("adjacent"))
+
+
+def category_profile(categories: DataFrame, k: int = 3) -> DataFrame:
+    """Report view of ``subject_categories``: excluded, adjacent, and the k most common categories as text."""
+    shown = F.when(F.col("rank") <= k, F.struct("rank", F.concat_ws(":", "category", F.col("n").cast("string")).alias("t")))
+    return categories.groupBy("subject").agg(
+        F.sum("n").alias("excluded"), F.coalesce(F.sum(F.when(F.col("adjacent"), F.col("n"))), F.lit(0)).alias("adjacent"),
         F.array_sort(F.collect_list(shown)).alias("top"),
     ).select("subject", "excluded", "adjacent", F.array_join(F.transform("top", lambda s: s["t"]), ",").alias("top"))
 

@@ -184,25 +184,40 @@ def n14(spark, d):
     return _excluded(spark, d).select("subject", "id")
 
 
-@query("n15_category_profile", f"""
-WITH {CAND}, g AS (SELECT subject, category, count(*) AS n FROM cd GROUP BY subject, category),
-r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, category) AS r FROM g)
+_RANKED = f"""WITH {_EXCLUDED}, g AS (SELECT subject, category, count(*) AS n FROM ex WHERE category IS NOT NULL GROUP BY subject, category),
+r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, category) AS r FROM g)"""
+
+
+@query("n15_category_profile", f"""{_RANKED}
 SELECT subject, CAST(sum(n) AS BIGINT) AS excluded, CAST(coalesce(sum(n) FILTER (WHERE category = 'fr'), 0) AS BIGINT) AS adjacent,
        string_agg(category || ':' || n, ',' ORDER BY r) FILTER (WHERE r <= 3) AS top FROM r GROUP BY subject""")
 def n15(spark, d):
-    return reconcile.category_profile(_texts(spark, d), ADJACENT)
+    return reconcile.category_profile(reconcile.subject_categories(_excluded(spark, d), ADJACENT))
+
+
+@query("n15_subject_categories", f"""{_RANKED} SELECT subject, category, n, r AS rank, category = 'fr' AS adjacent FROM r""")
+def n15_subjects(spark, d):
+    return reconcile.subject_categories(_excluded(spark, d), ADJACENT)
+
+
+_COUNTED = f"WITH {_EXCLUDED} SELECT category, count(DISTINCT id) AS n, coalesce(category = 'fr', FALSE) AS adjacent FROM ex GROUP BY category"
+
+
+@query("n15_category_counts", _COUNTED)
+def n15_counts(spark, d):
+    return reconcile.category_counts(_excluded(spark, d), ADJACENT)
 
 
-@query("n15_category_top", f"""WITH {CAND} SELECT category, count(DISTINCT id) AS n, category = 'fr' AS adjacent FROM cd GROUP BY category ORDER BY n DESC, category LIMIT 14""")
+@query("n15_category_top", _COUNTED + " ORDER BY n DESC, category LIMIT 14")
 def n15_top(spark, d):
-    return reconcile.category_top(_texts(spark, d), ADJACENT)
+    return reconcile.category_top(reconcile.category_counts(_excluded(spark, d), ADJACENT))
 
 
 @query("n16_filter_bound", f"""
-WITH {CAND} SELECT subject, count(*) AS excluded, count(*) FILTER (WHERE category = 'fr') AS adjacent, count(*) FILTER (WHERE category = 'fr' AND regexp_matches(title, 'licens|released|distribut', 'i')) AS adjacent_titled FROM cd GROUP BY subject
-UNION ALL SELECT '*', count(DISTINCT id), count(DISTINCT id) FILTER (WHERE category = 'fr'), count(DISTINCT id) FILTER (WHERE category = 'fr' AND regexp_matches(title, 'licens|released|distribut', 'i')) FROM cd""")
+WITH {_EXCLUDED} SELECT subject, count(*) AS excluded, count(*) FILTER (WHERE category = 'fr') AS adjacent, count(*) FILTER (WHERE category = 'fr' AND regexp_matches(title, 'licens|released|distribut', 'i')) AS adjacent_titled FROM ex GROUP BY subject
+UNION ALL SELECT '*', count(DISTINCT id), count(DISTINCT id) FILTER (WHERE category = 'fr'), count(DISTINCT id) FILTER (WHERE category = 'fr' AND regexp_matches(title, 'licens|released|distribut', 'i')) FROM ex WHERE category IS NOT NULL""")
 def n16(spark, d):
-    return reconcile.filter_bound(_texts(spark, d), ADJACENT, VERBS)
+    return reconcile.filter_bound(_excluded(spark, d), ADJACENT, VERBS)
 
 
 @query("n17_label_from_queries", """
