@@ -118,6 +118,10 @@ def test_mutations_of_expectations(spark):
     got = one(mutation.field_mutation_coverage(rows, cites, blobs, F.lit("h2")))
     assert len(got) == 7 and all(r["n"] == 1 for r in got.values())  # the failing baseline takes no part
     assert {m for m, r in got.items() if r["survived"]} == set()
+    more = rows.union(spark.createDataFrame([(3, ["Gamma"], 1), (None, ["gamma"], 0)], rows.schema))
+    got = one(mutation.field_mutation_coverage(more, cites.union(spark.createDataFrame([(3, "h2")], cites.schema)), blobs, F.lit("h2")))
+    assert {m: (r["n"], r["survived"]) for m, r in got.items() if r["survived"]} == {"transplant evidence": (2, 1)}
+    assert mutation.field_mutation_coverage(rows.where("false"), cites, blobs, F.lit("h2")).isEmpty()
 
 
 def test_every_category_is_a_row(spark):
