@@ -8,8 +8,6 @@ is taken over the eight sums and the row count.
 
 from __future__ import annotations
 
-import gzip
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -86,27 +84,6 @@ def prefix_digest(segments: DataFrame, span: int = SEGMENT_ROWS) -> DataFrame:
     return folded.select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("p0").cast("string"), F.col("p1").cast("string")), 256).alias("digest"))
 
 
-def gunzip():
-    """Arrow UDF: inflate one archived object per row (Spark has no built-in for gzip members).
-
-    Built by a factory so that the function travels by value to the Python workers.
-    """
-
-    @F.pandas_udf(T.BinaryType())
-    def inflate(body: pd.Series) -> pd.Series:
-        def one(raw):
-            if raw is None:
-                return None
-            try:
-                return gzip.decompress(raw)
-            except (OSError, EOFError, zlib.error):
-                return None
-
-        return body.map(one)
-
-    return inflate
-
-
 def count_words(raw: bytes, width: int, bound: int | None) -> tuple[int, int | None, int]:
     """(words, largest word, words not below the bound) of bytes read as little-endian words of 2 or 4 bytes."""
     words = np.frombuffer(raw, dtype={2: "<u2", 4: "<u4"}[width], count=len(raw) // width)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veriledger.operators import scoring, sensitivity
-from veriledger.plans.catalog import query
+from veriledger.plans.catalog import DIGEST_WORDS, query
 from veriledger.plans.fixtures import frame
 from veriledger.plans.q_validation import ledger
 
@@ -84,17 +84,12 @@ def a4(spark, d):
     return scoring.dominates(frame(spark, d, "fx_cells"), known)
 
 
-_WORDS = ", ".join(
-    f"CAST(sum(CAST(('0x' || substr(d, {8 * i + 1}, 8)) AS BIGINT)) AS VARCHAR)" for i in range(8)
-)
-
-
 @query("a5_ledger_fingerprint", f"""
 WITH dg AS (
   SELECT sha256(concat_ws('|', 'cell', subject, axis, coalesce(CAST(score AS VARCHAR), 'None'))) AS d FROM fx_cells
   UNION ALL
   SELECT sha256(concat_ws('|', 'policy', subject, axis, key, coalesce(value, 'None'))) FROM fp_policy)
-SELECT count(*) AS n_rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_WORDS})) AS fingerprint FROM dg""")
+SELECT count(*) AS n_rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {DIGEST_WORDS})) AS fingerprint FROM dg""")
 def a5(spark, d):
     return scoring.ledger_fingerprint(frame(spark, d, "fx_cells"), frame(spark, d, "fp_policy"))
 
@@ -109,7 +104,7 @@ def _tree(name, keep=None):
         f"SELECT CAST(subject AS VARCHAR) AS subject, '{part}' AS part, sha256(concat_ws('|', '{part}', {columns})) AS d FROM {view} WHERE {(keep or {}).get(part, 'TRUE')}"
         for part, (view, columns) in _PARTS.items())
     return f"""{name} AS (SELECT CASE grouping(subject, part) WHEN 0 THEN 'rows' WHEN 1 THEN 'subject' WHEN 2 THEN 'table' ELSE 'root' END AS level, subject, part, count(*) AS n_rows,
-   sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_WORDS})) AS digest FROM ({rows}) GROUP BY CUBE (subject, part))"""
+   sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {DIGEST_WORDS})) AS digest FROM ({rows}) GROUP BY CUBE (subject, part))"""
 
 
 @query("a5_digest_tree", f"WITH {_tree('tr')} SELECT * FROM tr")
@@ -133,7 +128,7 @@ def a5_diff(spark, d):
 
 @query("a6_cover_fingerprint", f"""
 WITH dg AS (SELECT sha256(url || '|' || sha256) AS d FROM (SELECT DISTINCT url, sha256 FROM fx_evidence))
-SELECT count(*) AS n_rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_WORDS})) AS fingerprint FROM dg""")
+SELECT count(*) AS n_rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {DIGEST_WORDS})) AS fingerprint FROM dg""")
 def a6(spark, d):
     return scoring.cover_fingerprint(frame(spark, d, "fx_evidence"))
 

@@ -1,13 +1,24 @@
-"""Source, scan and sink queries."""
+"""Source, scan and sink queries.
+
+Stores, ledgers and tables are written into the shared folder first and then read by the operator under test; a
+folder belongs to one query, input and session, so a repeated run replaces it or adds nothing to it.
+"""
+
+import hashlib
 
 from pyspark.sql import functions as F
 
 from veriledger.operators import scoring
-from veriledger.plans.catalog import query
-from veriledger.plans.fixtures import frame
+from veriledger.plans.catalog import DIGEST_WORDS, query
+from veriledger.plans.fixtures import AS_OF, frame
+from veriledger.session import shared_dir
 from veriledger.sources import blobs, documents, ledger, registry, sinks
 
 
+def _folder(spark, d, name):
+    return f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()[:10]}"
+
+
 def _ledger_docs(spark, d):
     """The clean ledger as JSON documents, one per subject (at most 22 cells each)."""
     cells = frame(spark, d, "fx_cells").groupBy("subject").agg(F.collect_list(F.struct(
@@ -22,8 +33,10 @@ def _ledger_docs(spark, d):
 @query("s1_read_ledger", """
 SELECT CAST(subject AS VARCHAR) AS subject, axis, score, FALSE AS has_check, has_bound, '2024-06-01' AS as_of FROM fx_cells""")
 def s1(spark, d):
-    docs = _ledger_docs(spark, d).select(ledger.parse_ledger(F.col("doc")).alias("l")).select("l.*")
-    return ledger.cells_of(docs).select("subject", "axis", "score", "has_check", "has_bound").withColumn("as_of", F.lit("2024-06-01"))
+    path = _folder(spark, d, "ledger")
+    _ledger_docs(spark, d).write.mode("overwrite").text(path)
+    cells = ledger.cells_of(ledger.read_ledger(spark, path), "as_of")
+    return cells.select("subject", "axis", "score", "has_check", "has_bound", "as_of")
 
 
 @query("s2_all_cited", """
@@ -35,15 +48,31 @@ def s2(spark, d):
 @query("s3_read_facts", """
 SELECT 'fact-' || page_id AS name, length(html) AS value, 'chars' AS unit, 'byte_length' AS method, url, sha AS sha256 FROM fx_pages""")
 def s3(spark, d):
-    docs = frame(spark, d, "fs_facts").select(ledger.parse_facts(F.col("body")).alias("f")).select("f.*")
-    return ledger.facts_of(docs).withColumn("method", F.col("method.name"))
+    path = _folder(spark, d, "facts")
+    frame(spark, d, "fs_facts").select("body").write.mode("overwrite").text(path)
+    return ledger.read_facts(spark, path).withColumn("method", F.col("method.name"))
 
 
 @query("s4_blob_scan", """
-WITH bl AS (SELECT sha256(text) AS h, min(strlen(text)) AS n FROM documents GROUP BY 1)
-SELECT cell, sha256, n AS n_bytes, n IS NOT NULL AS archived FROM fs_cites LEFT JOIN bl ON h = sha256""")
+WITH bl AS (SELECT DISTINCT sha256(text) AS h, text FROM documents WHERE text IS NOT NULL)
+SELECT cell, sha256, strlen(text) AS n_bytes, sha256(text) AS body_sha256, text IS NOT NULL AS archived FROM fs_cites LEFT JOIN bl ON h = sha256""")
 def s4(spark, d):
-    return blobs.archived_flags(frame(spark, d, "fs_cites"), frame(spark, d, "fb_blobs"))
+    path = _folder(spark, d, "members")
+    blobs.write_gzip_store(frame(spark, d, "documents").select(F.col("text").cast("binary").alias("body")).distinct(), path)
+    members = blobs.read_gzip_store(spark, path)
+    # what is asked of the bytes is computed beside them, the answers meet the citations
+    read = members.select("sha256", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("body_sha256"))
+    return frame(spark, d, "fs_cites").join(read, "sha256", "left").withColumn("archived", F.col("n_bytes").isNotNull())
+
+
+@query("s4_member_status", """
+SELECT sha256(text) AS sha256, 'ok' AS status, count(*) AS n_documents FROM documents WHERE text IS NOT NULL GROUP BY text""")
+def s4_status(spark, d):
+    path = _folder(spark, d, "status")
+    bodies = frame(spark, d, "documents").select(F.col("text").cast("binary").alias("body"))
+    blobs.write_gzip_store(bodies, path)  # copies meet the member that is there
+    counts = bodies.groupBy(F.sha2("body", 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n_documents"))
+    return blobs.read_gzip_store(spark, path).select("sha256", "status").join(counts, "sha256")
 
 
 @query("s5_blob_store", """
@@ -111,18 +140,55 @@ WITH t AS (SELECT c.subject, count(*) FILTER (WHERE score = 2) AS a, count(*) FI
   count(*) - count(score) AS na, sum(score) / (2.0 * count(score)) AS x, sum(score) / (2.0 * count(*)) AS lo, (sum(score) + 2 * (count(*) - count(score))) / (2.0 * count(*)) AS hi,
   sum(CASE WHEN score IS NULL THEN 0 WHEN s.kind = 'api-only' AND axis = 12 THEN 0 WHEN axis IN (5, 7, 16, 17, 19) OR (s.kind = 'api-only' AND axis IN (13, 14, 15)) THEN 1 ELSE 2 END) / (2.0 * count(score)) AS cap
   FROM fx_cells c JOIN fx_subjects s ON s.subject = c.subject GROUP BY c.subject)
-SELECT subject, format('| {} | {} | {} | {} | {} | {:.3f} | {:.3f} | {:.3f} | {:.3f} |', subject, a, b, z, na, x, lo, hi, cap) AS line FROM t""")
+SELECT row_number() OVER (ORDER BY x DESC NULLS FIRST, subject) AS rank, format('| {} | {} | {} | {} | {} | {:.3f} | {:.3f} | {:.3f} | {:.3f} |', subject, a, b, z, na, x, lo, hi, cap) AS line FROM t""")
 def s11(spark, d):
-    scores = scoring.score(frame(spark, d, "fx_cells"), frame(spark, d, "fx_subjects"))
-    return sinks.score_table(scores).select("subject", "line")
+    path = _folder(spark, d, "score-table")
+    _emit_scores(spark, d, path)
+    return sinks.read_table(spark, path)
+
+
+def _emit_scores(spark, d, path):
+    cells = frame(spark, d, "fx_cells")
+    fingerprint = scoring.ledger_fingerprint(cells, frame(spark, d, "fp_policy")).first().fingerprint  # one row
+    sinks.emit_table(sinks.score_table(scoring.score(cells, frame(spark, d, "fx_subjects"))), AS_OF, fingerprint, path)
+
+
+@query("s11_table_stamp", f"""
+WITH dg AS (SELECT sha256(concat_ws('|', 'cell', subject, axis, coalesce(CAST(score AS VARCHAR), 'None'))) AS d FROM fx_cells
+  UNION ALL SELECT sha256(concat_ws('|', 'policy', subject, axis, key, coalesce(value, 'None'))) FROM fp_policy)
+SELECT '{AS_OF}' AS stamp, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {DIGEST_WORDS})) AS fingerprint,
+  (SELECT count(DISTINCT subject) FROM fx_cells) AS n_lines, 'ok' AS status FROM dg""")
+def s11_stamp(spark, d):
+    path = _folder(spark, d, "stamped-table")
+    _emit_scores(spark, d, path)
+    return sinks.table_parts(spark, path).groupBy("stamp", "fingerprint", "status").agg(F.sum("n").alias("n_lines"))
 
 
 @query("s12_emit_records", """
 SELECT subject, format('{{"subject":{},"n_2":{},"n_1":{},"n_0":{},"n_na":{}}}', subject, count(*) FILTER (WHERE score = 2), count(*) FILTER (WHERE score = 1),
   count(*) FILTER (WHERE score = 0), count(*) - count(score)) AS record FROM fx_cells GROUP BY subject""")
 def s12(spark, d):
-    scores = scoring.score(frame(spark, d, "fx_cells"), frame(spark, d, "fx_subjects"))
-    return sinks.record_json(scores.select("subject", "n_2", "n_1", "n_0", "n_na"), "subject")
+    path = _folder(spark, d, "records")
+    sinks.emit_records(_counts(spark, d), AS_OF, "", path)
+    return sinks.read_records(spark, path).withColumn("subject", F.get_json_object("record", "$.subject").cast("long"))
+
+
+def _counts(spark, d):
+    return scoring.score(frame(spark, d, "fx_cells"), frame(spark, d, "fx_subjects")).select("subject", "n_2", "n_1", "n_0", "n_na")
+
+
+@query("s12_verify_records", """
+WITH t AS (SELECT subject, count(*) FILTER (WHERE score = 2) AS n2, count(*) - count(score) AS na FROM fx_cells GROUP BY subject)
+SELECT CAST(subject AS VARCHAR) AS subject, 'n_2' AS field, CAST(n2 + 1 AS VARCHAR) AS stored, CAST(n2 AS VARCHAR) AS recomputed FROM t WHERE subject % 3 = 1
+UNION ALL SELECT CAST(subject AS VARCHAR), 'n_na', NULL, CAST(na AS VARCHAR) FROM t WHERE subject % 4 = 2""")
+def s12_verify(spark, d):
+    path = _folder(spark, d, "verified-records")
+    counts = _counts(spark, d)
+    moved = counts.withColumns({
+        "n_2": F.col("n_2") + (F.col("subject") % 3 == 1).cast("int"), "n_na": F.when(F.col("subject") % 4 != 2, F.col("n_na")), "day": F.lit("old"),
+    })
+    sinks.emit_records(moved, AS_OF, "", path)
+    return sinks.verify_records(counts.withColumn("day", F.lit("new")), path, ["subject"], ["day"])
 
 
 @query("s13_verify_record", """

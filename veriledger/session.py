@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime-settable options that every job of this library relies on.  Skewed
@@ -31,3 +33,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir():
         return df.checkpoint(eager=False)
     return df.persist()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that all executors see: the one ``spark.checkpoint.dir`` names, or the context's own.
+
+    A local session without either gets a temporary folder; a cluster without it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _OWN.get(spark.sparkContext.applicationId)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="ledger-shared-")
+    return folder
+
+
+_OWN: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriledger.functions.digests import gunzip
+from veriledger.sources import stores
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -16,13 +16,17 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def read_gzip_store(spark: SparkSession, path: str) -> DataFrame:
     """``blobs(sha256, body, status)`` from ``<sha256>.gz`` files of any size, one row each.
 
-    ``status`` is ``ok`` or ``corrupt``; a corrupt member has a null body, so that unreadable and
-    not archived stay two facts.
+    ``status`` is ``ok``, ``corrupt`` or ``mismatch``; a corrupt member has a null body, so that unreadable and
+    not archived stay two facts.  A folder that is not there is an empty store.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    digest = F.regexp_extract(F.col("path"), r"([^/]+)\.gz$", 1)
-    read = files.select(digest.alias("sha256"), gunzip()(F.col("content")).alias("body"))
-    return read.withColumn("status", F.when(F.col("body").isNull(), "corrupt").otherwise("ok"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return stores.register(spark).read.format("gzip_store").option("tasks", tasks).load(path)
+
+
+def write_gzip_store(bodies: DataFrame, path: str) -> None:
+    """Add ``bodies(body)`` to a store of gzip members; digests are computed by the writer, members that are there stay."""
+    stores.register(bodies.sparkSession)
+    bodies.select("body").write.format("gzip_store").mode("append").save(path)
 
 
 def blob_scan(cited: DataFrame, blobs: DataFrame) -> DataFrame:

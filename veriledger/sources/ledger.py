@@ -12,6 +12,8 @@ BLOCK = ("method string, asserts string, observed string, expect array<string>,
          "expect_artifacts string, expect_repo string, expect_revision string, expect_commit string, expect_files string, "
          "expect_matches string, expect_subject_name string, expect_queries string, as_of string, "
          "searched_archived array<string>, searched_live array<string>, searched array<string>")
+
+
 def _struct(ddl: str) -> str:
     """``name type, …`` as the inside of ``struct<name:type, …>``."""
     return ", ".join(part.strip().replace(" ", ":", 1) for part in ddl.split(","))
@@ -30,10 +32,11 @@ FACTS = ("facts map<string,struct<value:bigint, unit:string, "
 
 
 def read_ledger(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Ledger documents, one row per document; refused when a document has no coverage floor.
+    """Ledger documents, one row per document; a document without a coverage floor fails whatever reads it.
 
     ``lines`` reads one document per line, which splits over tasks; a single pretty-printed
-    document needs ``lines=False``.  A missing path gives an empty ledger.
+    document needs ``lines=False``.  A missing path gives an empty ledger.  The refusal is part of the
+    plan: it costs no scan of its own and no reader can get round it.
     """
     reader = spark.read.schema(LEDGER).option("multiLine", not lines).option("mode", "FAILFAST")
     try:
@@ -42,9 +45,13 @@ def read_ledger(spark: SparkSession, path: str, lines: bool = True) -> DataFrame
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         return spark.createDataFrame([], LEDGER)
-    if not docs.filter("zero_bounds_floor is null").isEmpty():
-        raise ValueError("the ledger has no zero_bounds_floor; the coverage ratchet would not run")
-    return docs
+    return with_floor(docs)
+
+
+def with_floor(docs: DataFrame) -> DataFrame:
+    """``docs``, failing on the first document that states no ``zero_bounds_floor``."""
+    refusal = F.raise_error(F.lit("the ledger has no zero_bounds_floor; the coverage ratchet would not run"))
+    return docs.filter(F.when(F.col("zero_bounds_floor").isNull(), refusal.cast("boolean")).otherwise(True))
 
 
 def parse_ledger(text: Column) -> Column:
@@ -55,8 +62,9 @@ def subjects_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode("subjects").alias("s")).select("s.*").withColumnRenamed("id", "subject")
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode("cells").alias("c")).select("c.*").withColumns(
+def cells_of(docs: DataFrame, *carried: str) -> DataFrame:
+    """Cells of all documents; ``carried`` fields of the document go with each of its cells."""
+    return docs.select(*carried, F.explode("cells").alias("c")).select(*carried, "c.*").withColumns(
         {"has_check": F.col("check").isNotNull(), "has_bound": F.col("bound").isNotNull()}
     )
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veriledger.sources import stores
+
 
 def score_line(c=F.col) -> Column:
     """One Markdown row of the score table."""
@@ -25,14 +27,29 @@ def score_table(scores: DataFrame) -> DataFrame:
 
 
 def emit_table(lines: DataFrame, stamp: str, fingerprint: str, path: str) -> None:
-    """Write sorted text parts; the parts are ranges of the order, so reading them in name order is sorted.
+    """Replace the table at ``path`` by ``lines(sort_key, subject, line)`` in their order, stamped with date and ledger fingerprint.
 
-    The stamp and the ledger fingerprint go to a side file, so no task has to hold the table.
+    Parts are ranges of the order, so no task holds the table; stamp and parts become visible by one commit.
     """
-    spark = lines.sparkSession
-    lines.orderBy("sort_key", "subject").select("line").write.mode("overwrite").text(f"{path}/rows")
-    head = [(f"<!-- emitted as of {stamp} -->",), (f"<!-- ledger-fingerprint: {fingerprint} -->",)]
-    spark.createDataFrame(head, "line string").coalesce(1).write.mode("overwrite").text(f"{path}/stamp")
+    _stamped(lines.orderBy("sort_key", "subject").select("line"), stamp, fingerprint, path)
+
+
+def _stamped(lines: DataFrame, stamp: str, fingerprint: str, path: str) -> None:
+    stores.register(lines.sparkSession)
+    lines.write.format("stamped_table").option("stamp", stamp).option("fingerprint", fingerprint).mode("overwrite").save(path)
+
+
+def table_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Stored parts with their stamp; ``status`` is ``ok``, ``missing`` or ``altered``, from the bytes."""
+    return stores.register(spark).read.format("stamped_table").option("view", "parts").load(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """``(rank, line)`` of a stored table, ranks from 1 in stored order; a missing or altered part fails the reader."""
+    lines = stores.register(spark).read.format("stamped_table").load(path)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = table_parts(spark, path).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return lines.join(starts, "part").select((F.col("_start") + F.col("pos") + 1).alias("rank"), "line")
 
 
 def record_json(df: DataFrame, *keys: str) -> DataFrame:
@@ -40,8 +57,28 @@ def record_json(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.to_json(F.struct(*df.columns)).alias("record"))
 
 
-def emit_records(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def emit_records(df: DataFrame, stamp: str, fingerprint: str, path: str) -> None:
+    """Replace the records at ``path`` by the rows of ``df``, one JSON object a line."""
+    _stamped(df.select(F.to_json(F.struct(*df.columns)).alias("line")), stamp, fingerprint, path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Stored records as ``record``, JSON text."""
+    return stores.register(spark).read.format("stamped_table").load(path).select(F.col("line").alias("record"))
+
+
+def record_fields(records: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys…, field, value)`` of JSON ``record``s; keys and values are text, a null field is an absent one."""
+    fields = records.select(F.from_json("record", "map<string,string>").alias("_fields"))
+    named = F.explode(F.map_filter("_fields", lambda k, v: ~k.isin(keys) & v.isNotNull())).alias("field", "value")
+    return fields.select(*[F.col("_fields")[k].alias(k) for k in keys], named)
+
+
+def verify_records(recomputed: DataFrame, path: str, keys: list[str], not_recomputable: list[str] = ()) -> DataFrame:
+    """Fields on which the records stored at ``path`` and the recomputed rows disagree; nothing is written."""
+    fresh = recomputed.select(F.to_json(F.struct(*recomputed.columns)).alias("record"))
+    stored = read_records(recomputed.sparkSession, path)
+    return verify_record(record_fields(stored, keys), record_fields(fresh, keys), keys, not_recomputable)
 
 
 def verify_record(stored: DataFrame, recomputed: DataFrame, keys: list[str], not_recomputable: list[str] = ()) -> DataFrame:
