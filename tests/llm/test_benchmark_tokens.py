@@ -44,14 +44,24 @@ def test_hits_same_as_brute_force_in_both_ways(spark, docs_of):
     docs = [(i, text(rng.randrange(0, 60)) + rng.choice(["", " " + (rng.choice(items)[1] or "")])) for i in range(60)]
     docs += [(100, None), (101, ""), (102, "only THREE, words!"), (103, text(30000)), (104, items[0][1]), (104, items[0][1])]
     table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, hits string")
-    for limit in (C.MAX_SET, 5):
-        out = C.report(docs_of(docs, "hits words item_id"), table, max_set=limit)
+    for limits in ((C.MAX_SET, C.MAX_BYTES), (5, C.MAX_BYTES), (C.MAX_SET, 100)):
+        hits = C.hits(docs_of(docs, "hits words item_id"), table, C.N, *limits)
+        assert hits.count() == len(docs)
+        out = C.report(docs_of(docs, "hits words item_id"), table, C.N, *limits)
         got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in out.collect()]
         assert sorted(got, key=repr) == brute_hits(docs, items)
     kept = C.drop_contaminated(docs_of(docs), table)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d[0] for d in brute_hits(docs, items) if not d[5])
 
 
+def test_sifting_keeps_every_window_and_little_else(spark):
+    windows = spark.range(20000).selectExpr("xxhash64(id) hash")
+    rows = spark.range(60000).selectExpr("id", "xxhash64(id) hash", "10 length").unionByName(
+        spark.createDataFrame([(-1, 0, -5)], "id long, hash long, length int"))
+    kept = {r.id for r in C._sifted(rows, windows, 20000).collect()}
+    assert kept >= {-1, *range(20000)} and len(kept) < 20001 + 0.03 * 40000
+
+
 def test_empty_tables(spark, docs_of):
     table = spark.createDataFrame([], "item_id long, text string")
     assert C.digest(docs_of(["a b"]), table).first().contaminated is False

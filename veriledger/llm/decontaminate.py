@@ -7,8 +7,9 @@ with the tasks; a hit is then verified by joining its words with the item's word
 built-in functions: tokens, hashes and the look-up stay in the row, only verified or claimed
 hits leave it.
 
-The hash set is shipped only while the items have at most ``max_set`` distinct windows; above
-that the windows of all documents are joined with the items on their hash by a shuffle.
+The hash set is shipped only while the items have at most ``max_set`` distinct windows of at most ``max_bytes``.  Above that
+a bit filter of the windows, of bounded size, is shipped instead: document windows that pass it are joined with the
+items by a shuffle, the others never leave their task.
 
 Edge cases: null or wordless texts have no words, no hits and are kept; items without words have
 no window.  Repeated document rows are judged each on their own.  Other columns are ignored.
@@ -19,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriledger.llm.common import drop_ids, lower_ascii, materialise, sha256_of
+from veriledger.llm.common import BITS_LEAST, BITS_MOST, drop_ids, lower_ascii, materialise, sha256_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 10
 MAX_SET = 200_000
+MAX_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -42,7 +44,8 @@ def _claims(length: int, hashes: list[int] | None) -> Column:
     if hashes is not None:
         starts = F.filter(starts, lambda i: F.xxhash64(F.slice("words", i, length)).isin(hashes))
     return F.transform(starts, lambda i: F.struct(
-        i.alias("start"), F.lit(length).alias("length"), F.array_join(F.slice("words", i, length), " ").alias("window")))
+        i.alias("start"), F.lit(length).alias("length"), F.array_join(F.slice("words", i, length), " ").alias("window"),
+        F.xxhash64(F.slice("words", i, length)).alias("hash")))
 
 
 def item_windows(items: DataFrame, n: int = N) -> DataFrame:
@@ -58,31 +61,71 @@ def item_windows(items: DataFrame, n: int = N) -> DataFrame:
     )
 
 
-def hits(documents: DataFrame, items: DataFrame, n: int = N, max_set: int = MAX_SET) -> DataFrame:
-    """``row_id, doc_id, n_words, hits`` per document row; hits = array of (start, length, items), verified."""
+def _mask(hash_: Column) -> Column:
+    """Three of the 64 bits of a filter word, from the low bits of a hash."""
+    one = F.lit(1).cast("long")
+    bits = [F.call_function("shiftleft", one, F.pmod(F.shiftrightunsigned(hash_, 6 * k), F.lit(64)).cast("int")) for k in range(3)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def _word(hash_: Column, words: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(hash_, 18), F.lit(words))
+
+
+def _sifted(rows: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
+    """``rows`` without those whose ``hash`` is surely in no window; rows of length below 1 stay.
+
+    A blocked Bloom filter with about 16 bits for a window in at most ``BITS_MOST`` bits, the proven bound of what
+    is broadcast; the join on the words decides about what it lets through.
+    """
+    words = BITS_LEAST // 64
+    while words * 64 < min(16 * n_windows, BITS_MOST):
+        words *= 2
+    bits = windows.select(_word(F.col("hash"), words).alias("filter_word"), _mask(F.col("hash")).alias("bits"))
+    bits = bits.groupBy("filter_word").agg(F.bit_or("bits").alias("bits"))
+    marked = rows.join(F.broadcast(bits), _word(F.col("hash"), words) == F.col("filter_word"), "left")
+    inside = F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(_mask(F.col("hash"))) == _mask(F.col("hash"))
+    return marked.where((F.col("length") < 1) | inside).drop("filter_word", "bits")
+
+
+def hits(documents: DataFrame, items: DataFrame, n: int = N, max_set: int = MAX_SET, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``row_id, doc_id, n_words, hits`` per document row; hits = array of (start, length, items), verified.
+
+    At most ``max_set`` windows of at most ``max_bytes`` with their items are looked up in the plan and broadcast.  Beyond
+    that a bit filter sifts the windows of the documents, and what is left is joined by a shuffle.
+    """
     windows = item_windows(items, n)
-    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most n values
-    known = windows.select("length", "hash").limit(max_set + 1).collect()  # bounded: decides how to look up
-    in_set = len(known) <= max_set
+    weight = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda s, x: s + F.octet_length(x) + 16)
+    sizes = windows.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("bytes")).collect()  # at most n rows
+    lengths, n_windows = sorted(r.length for r in sizes), sum(r.n for r in sizes)
+    in_set = n_windows <= max_set and sum(r.bytes for r in sizes) <= max_bytes
+    known = windows.select("length", "hash").collect() if in_set else []  # at most max_set
     docs = documents.select("doc_id", words_of(F.col("text")).alias("words")).select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", "words", F.size("words").alias("n_words"))
-    claims = F.array().cast("array<struct<start:int,length:int,window:string>>")
+    claims = F.array().cast("array<struct<start:int,length:int,window:string,hash:bigint>>")
     for length in lengths:
         claims = F.concat(claims, _claims(length, [r[1] for r in known if r[0] == length] if in_set else None))
+    if not in_set:
+        # every document keeps one row; its length is none of a window and spreads these rows over the join's tasks
+        spread = (-1 - F.pmod(F.xxhash64("row_id"), F.lit(1 << 20))).cast("int")
+        claims = F.concat(claims, F.array(F.struct(
+            F.lit(0).alias("start"), spread.alias("length"), F.lit("").alias("window"), F.lit(0).cast("long").alias("hash"))))
     rows = docs.select("row_id", "doc_id", "n_words", F.explode_outer(claims).alias("c")).select(
         "row_id", "doc_id", "n_words", "c.*")
     texts = windows.select("length", "window", "items")
-    found = rows.join(F.broadcast(texts) if in_set else texts, ["length", "window"], "left")
+    if not in_set:
+        rows = _sifted(rows, windows, n_windows)
+    found = rows.drop("hash").join(F.broadcast(texts) if in_set else texts, ["length", "window"], "left")
     return found.groupBy("row_id", "doc_id", "n_words").agg(
         F.collect_list(F.when(F.col("items").isNotNull(), F.struct("start", "length", "items"))).alias("hits"))
 
 
-def report(documents: DataFrame, items: DataFrame, n: int = N, max_set: int = MAX_SET) -> DataFrame:
+def report(documents: DataFrame, items: DataFrame, n: int = N, max_set: int = MAX_SET, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items, contaminated`` per document."""
     covered = F.array_distinct(F.flatten(F.transform(
         "hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    out = hits(documents, items, n, max_set).select(
+    out = hits(documents, items, n, max_set, max_bytes).select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), names.alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
                       (F.col("n_hit") > 0).alias("contaminated"))
