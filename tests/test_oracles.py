@@ -11,7 +11,8 @@ import __spark_entry__ as contract
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ["a1_score", "a9_order_transitions", "v24_required_field", "v33_missing_pair", "o4_document_sets", "p1_source_key", "s6_archive_plan",
-          "c1_grep_all_in_one", "f4_token_ids_below", "n12_term_groups", "r2_drift_report", "r7_rank_check", "v41_validate", "v29_url_two_digests", "v32_foreign_source", "p11_classify_wall"]
+          "c1_grep_all_in_one", "f4_token_ids_below", "n12_term_groups", "r2_drift_report", "r7_rank_check", "v41_validate", "v29_url_two_digests", "v32_foreign_source", "p11_classify_wall",
+          "s1_read_ledger", "s4_blob_scan", "s11_emit_tables", "s12_verify_records", "n18_route_hits", "p19_render_note"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables not present")
 

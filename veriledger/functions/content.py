@@ -184,15 +184,26 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
+def _stated(text: Column, otherwise: str) -> Column:
+    return F.when(is_blank(text), F.lit(otherwise)).otherwise(text)
+
+
 def render_note(axis: Column, name: Column, hit: Column, totals: Column, n_candidates: Column,
-                n_screened: Column, rationale: Column) -> Column:
-    """The narrative of a searched cell: what was run, what was found, what bounds it."""
+                n_screened: Column, rationale: Column, title: Column, url: Column, quote: Column) -> Column:
+    """The narrative of a searched cell: what was run, what was found, what bounds it.
+
+    A positive names its report by ``title``, ``url`` and ``quote`` and says of each that is blank that it is not recorded.
+    """
     word = registry.lookup(registry.HIT_AXES, axis)
     head = F.when(hit, F.concat(F.lit("Found: a third party reports a "), word, F.lit(" reproduction."))).otherwise(
         F.concat(F.lit("Nothing found: no third party reports a "), word, F.lit(" reproduction."))
     )
     body = F.format_string(
-        " Searched for '%s' (hits %s): %d distinct candidates, %d kept by the sentence screen. %s",
-        name, totals, n_candidates, n_screened, F.coalesce(rationale, F.lit("No adjudication recorded.")),
+        " Searched for '%s' (hits %s): %d distinct candidates, %d kept by the sentence screen.",
+        name, totals, n_candidates, n_screened,
     )
-    return F.concat(head, body)
+    report = F.when(hit, F.format_string(
+        " The report is %s at %s: %s.",
+        _stated(title, "(title not recorded)"), _stated(url, "(address not recorded)"), _stated(quote, "(quote not recorded)"),
+    )).otherwise("")
+    return F.concat(head, body, report, F.lit(" "), F.coalesce(rationale, F.lit("No adjudication recorded.")))

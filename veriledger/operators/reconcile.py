@@ -243,7 +243,7 @@ def route_hits(cells: DataFrame, records: DataFrame) -> DataFrame:
     """Rewrite the notes of searched cells; a positive goes only to the axes its record names.
 
     ``cells(subject, axis, score, note)``, ``records(subject, name, hit, affects, totals,
-    n_candidates, n_screened, rationale)``.  Scores are passed through unchanged;
+    n_candidates, n_screened, rationale, title, url, quote)``.  Scores are passed through unchanged;
     ``blocked`` says why a cell stops the write.
     """
     axes = content.affected_axes(F.col("affects"))
@@ -251,7 +251,8 @@ def route_hits(cells: DataFrame, records: DataFrame) -> DataFrame:
     joined = cells.filter(F.col("axis").isin(list(registry.HIT_AXES))).join(routed.withColumn("searched", F.lit(True)), "subject", "left")
     positive = F.coalesce(F.col("hit") & F.array_contains("axes", F.col("axis")), F.lit(False))
     note = content.render_note(
-        F.col("axis"), F.col("name"), positive, F.col("totals"), F.col("n_candidates"), F.col("n_screened"), F.col("rationale")
+        F.col("axis"), F.col("name"), positive, F.col("totals"), F.col("n_candidates"), F.col("n_screened"), F.col("rationale"),
+        F.col("title"), F.col("url"), F.col("quote"),
     )
     blocked = F.when(F.col("searched").isNull(), "never searched").when(F.col("unroutable"), "unroutable hit")
     return joined.select(

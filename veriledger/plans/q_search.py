@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from veriledger.functions import content
 from veriledger.operators import funnel, reconcile
 from veriledger.plans.catalog import query
 from veriledger.plans.fixtures import frame
@@ -228,14 +229,21 @@ def n17(spark, d):
     return reconcile.label_from_queries(queries, ["en", "fr", "de", "es"])
 
 
-_NOTE = """'Searched for ''model ' || r.subject || ''' (hits license=' || r.subject % 9 || '): ' || (r.subject % 50) || ' distinct candidates, ' || (r.subject % 6) || ' kept by the sentence screen. ' || coalesce(r.rationale, 'No adjudication recorded.')"""
+_RUN = """'Searched for ''model ' || r.subject || ''' (hits license=' || r.subject % 9 || '): ' || (r.subject % 50) || ' distinct candidates, ' || (r.subject % 6) || ' kept by the sentence screen. '"""
+_FOUND = """'The report is ' || CASE WHEN r.subject % 4 = 1 THEN '(title not recorded)' ELSE 'Report ' || r.subject END || ' at '
+   || CASE WHEN trim(r.url) = '' THEN '(address not recorded)' ELSE r.url END || ': ' || coalesce(r.quote, '(quote not recorded)') || '. '"""
+_WHY = "coalesce(r.rationale, 'No adjudication recorded.')"
 _WORD = "CASE c.axis WHEN 16 THEN 'bit-identical' ELSE 'approximate' END"
 
 
+def _title(subject):
+    return F.when(subject % 4 != 1, F.concat(F.lit("Report "), subject.cast("string")))
+
+
 @query("n18_route_hits", f"""
 WITH z AS (SELECT c.subject, c.axis, c.score, c.note, r.subject IS NULL AS never, r.hit AND r.subject % 4 >= 2 AS unr,
    coalesce(r.hit AND ((r.subject % 4 = 0 AND c.axis = 17) OR r.subject % 4 = 1), FALSE) AS positive,
-   CASE WHEN r.hit AND ((r.subject % 4 = 0 AND c.axis = 17) OR r.subject % 4 = 1) THEN 'Found: a third party reports a ' || {_WORD} || ' reproduction. ' ELSE 'Nothing found: no third party reports a ' || {_WORD} || ' reproduction. ' END || {_NOTE} AS nn
+   CASE WHEN r.hit AND ((r.subject % 4 = 0 AND c.axis = 17) OR r.subject % 4 = 1) THEN 'Found: a third party reports a ' || {_WORD} || ' reproduction. ' || {_RUN} || {_FOUND} ELSE 'Nothing found: no third party reports a ' || {_WORD} || ' reproduction. ' || {_RUN} END || {_WHY} AS nn
    FROM fx_cells c LEFT JOIN fn_adjudged r ON r.subject = c.subject WHERE c.axis IN (16, 17))
 SELECT subject, axis, score, positive, CASE WHEN never THEN 'never searched' WHEN unr THEN 'unroutable hit' END AS blocked,
        CASE WHEN NOT never AND NOT unr THEN nn END AS new_note, CASE WHEN NOT never AND NOT unr THEN nn IS DISTINCT FROM note END AS changed FROM z""")
@@ -244,22 +252,22 @@ def n18(spark, d):
     records = frame(spark, d, "fn_adjudged").select(
         "subject", "hit", "affects", "rationale", F.concat(F.lit("model "), subject.cast("string")).alias("name"),
         F.concat(F.lit("license="), (subject % 9).cast("string")).alias("totals"),
-        (subject % 50).alias("n_candidates"), (subject % 6).alias("n_screened"),
+        (subject % 50).alias("n_candidates"), (subject % 6).alias("n_screened"), _title(subject).alias("title"), "url", "quote",
     )
     return reconcile.route_hits(frame(spark, d, "fx_cells"), records)
 
 
 @query("p19_render_note", f"""
-SELECT r.subject, c.axis, 'Nothing found: no third party reports a ' || {_WORD} || ' reproduction. ' || {_NOTE} AS note FROM fn_adjudged r JOIN fx_cells c ON c.subject = r.subject AND c.axis IN (16, 17)""")
+SELECT r.subject, c.axis, CASE WHEN r.hit THEN 'Found: a third party reports a ' || {_WORD} || ' reproduction. ' || {_RUN} || {_FOUND}
+  ELSE 'Nothing found: no third party reports a ' || {_WORD} || ' reproduction. ' || {_RUN} END || {_WHY} AS note
+FROM fn_adjudged r JOIN fx_cells c ON c.subject = r.subject AND c.axis IN (16, 17)""")
 def p19(spark, d):
-    from veriledger.functions import content
-
     subject = F.col("subject")
     cells = frame(spark, d, "fx_cells").filter("axis in (16, 17)").select("subject", "axis")
-    joined = frame(spark, d, "fn_adjudged").select("subject", "rationale").join(cells, "subject")
+    joined = frame(spark, d, "fn_adjudged").join(cells, "subject")
     note = content.render_note(
-        F.col("axis"), F.concat(F.lit("model "), subject.cast("string")), F.lit(False), F.concat(F.lit("license="), (subject % 9).cast("string")),
-        subject % 50, subject % 6, F.col("rationale"),
+        F.col("axis"), F.concat(F.lit("model "), subject.cast("string")), F.col("hit"), F.concat(F.lit("license="), (subject % 9).cast("string")),
+        subject % 50, subject % 6, F.col("rationale"), _title(subject), F.col("url"), F.col("quote"),
     )
     return joined.select("subject", "axis", note.alias("note"))
 
