@@ -7,6 +7,7 @@ import os
 
 import pytest
 
+from veriledger.plans import fixtures, q_sources
 from veriledger.sources import blobs, documents, ledger, sinks
 
 LEDGER = {
@@ -145,3 +146,12 @@ def test_records_verified_against_the_store(spark, tmp_path):
     fresh = spark.createDataFrame([(1, 5, "x\ny", "new"), (2, 7, None, "new"), (3, 1, None, "new")], schema)
     got = {(r.k, r.field, r.stored, r.recomputed) for r in sinks.verify_records(fresh, path, ["k"], ["day"]).collect()}
     assert got == {("2", "a", None, "7"), ("2", "b", "z", None), ("3", "a", None, "1")}
+
+
+def test_observed_sizes_beyond_32_bits(spark, tmp_path):
+    pages = [(10, "https://a.example/x", "x" * 30_000), (12, "https://a.example/y", None), (13, "https://a.example/z", "xyz")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    seen = fixtures.frame(spark, str(tmp_path), "fs_observed")
+    assert {r.url[-1]: r.n_bytes for r in seen.collect()} == {"x": 3_000_000_000, "y": None, "z": 3}
+    plan = q_sources.s6(spark, str(tmp_path))
+    assert {r.url[-1]: (r.decision, r.n_bytes) for r in plan.collect() if r.url[-1] != "y"} == {"x": ("too large", 3_000_000_000), "z": ("store", 3)}
