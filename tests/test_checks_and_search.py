@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriledger.operators import content_checks as checks
-from veriledger.operators import drift, facts, funnel, history, mutation, reconcile
+from veriledger.operators import drift, facts, funnel, history, mutation, probes, reconcile
+from veriledger.sources import documents
 
 
 def one(df):
@@ -135,3 +136,20 @@ def test_every_category_is_a_row(spark):
     top = {r.subject: r for r in reconcile.category_profile(per, 2).collect()}
     assert top["s1"].excluded == 40 - sum(1 for s, i, c in rows if s == "s1" and c is None) and top["s2"].top.count(",") == 1
     assert reconcile.subject_categories(excluded.where("false")).isEmpty() and reconcile.category_counts(excluded.where("false")).isEmpty()
+
+
+def test_a_digest_stored_often_is_read_once(spark):
+    store = spark.createDataFrame([("a", b"12")] * 40 + [("b", b"345"), ("c", None), ("uncited", b"1")], "sha256 string, body binary")
+    asked = spark.createDataFrame([(d, "contains", str(i)) for d in "abc" for i in range(30)], "sha256 string, kind string, arg string")
+    assert sorted(r.sha256 for r in probes.bodies_of(asked.select("sha256").distinct(), store).collect()) == ["a", "b"]
+    found = probes.measure(asked, store, ["contains"]).collect()
+    assert len(found) == 60 and {(r.sha256, r.arg) for r in found if r.flag} == {("a", "1"), ("a", "2"), ("a", "12"), ("b", "3"), ("b", "4"), ("b", "5")}
+
+
+def test_a_revision_response_is_parsed_once(spark):
+    body = '{"sha": "r", "id": "o/m", "siblings": [{"rfilename": "b.bin"}, {"rfilename": "a.safetensors"}, {"rfilename": "sub/x.bin"}]}'
+    rows = spark.createDataFrame([(1, body, "r"), (2, body, "q"), (3, "<html>", "r"), (4, None, "r"), (5, "{}", "r")], "id int, body string, revision string")
+    df = rows.select("id", documents.enumerate_revision(F.col("body"), F.lit("o/m"), F.col("revision")).alias("r"))
+    assert df._jdf.queryExecution().analyzed().toString().count("from_json") == 1
+    assert {r.id: (r.r.shards, r.r.reason) for r in df.collect()} == {
+        1: (["a.safetensors", "b.bin"], None), 2: (None, "other revision"), 3: (None, "not json"), 4: (None, "not json"), 5: (None, "not json")}

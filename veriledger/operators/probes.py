@@ -150,6 +150,12 @@ def _words():
     return words
 
 
+def bodies_of(cited: DataFrame, store: DataFrame) -> DataFrame:
+    """``sha256, body`` of the cited digests, one row each: a digest's lists meet its bytes once, however often it is stored."""
+    bodies = store.select("sha256", F.col("body").cast("binary").alias("body")).where("body is not null")
+    return bodies.join(cited.select("sha256"), "sha256", "left_semi").dropDuplicates(["sha256"])
+
+
 def measure(probes: DataFrame, store: DataFrame, kinds: list[str], chunk: int = CHUNK) -> DataFrame:
     """``sha256, kind, arg, n, m, flag, text`` of every distinct probe of an archived digest.
 
@@ -161,7 +167,7 @@ def measure(probes: DataFrame, store: DataFrame, kinds: list[str], chunk: int =
     placed = wanted.join(sizes, "sha256").select(
         "sha256", "kind", "arg", (F.col("kind") == WORDS).alias("_lane"), F.pmod(F.xxhash64("kind", "arg"), F.ceil(F.col("_n") / chunk)).alias("_chunk"))
     lists = placed.groupBy("sha256", "_lane", "_chunk").agg(F.collect_list(F.struct("kind", "arg")).alias("_probes"))
-    met = lists.join(store.select("sha256", F.col("body").cast("binary").alias("body")).where("body is not null"), "sha256")
+    met = lists.join(bodies_of(sizes, store), "sha256")
     body, digest = F.col("body"), F.col("sha256")
 
     def one(p: Column) -> Column:

@@ -86,11 +86,15 @@ def shard_names(response: Column) -> Column:
 
 def enumerate_revision(body: Column, url_repo: Column, url_revision: Column) -> Column:
     """``struct(shards, reason)``; reason says why the response does not answer for its address."""
-    response = F.from_json(body, REVISION_RESPONSE)
-    unread = response.isNull() | (response["sha"].isNull() & response["siblings"].isNull())
-    reason = (
-        F.when(unread, "not json")
-        .when(~response["sha"].eqNullSafe(url_revision), "other revision")
-        .when(response["id"].isNotNull() & (response["id"] != "") & (response["id"] != url_repo), "other repository")
-    )
-    return F.struct(F.when(reason.isNull(), shard_names(response)).alias("shards"), reason.alias("reason"))
+
+    def read(response: Column) -> Column:
+        unread = response.isNull() | (response["sha"].isNull() & response["siblings"].isNull())
+        reason = (
+            F.when(unread, "not json")
+            .when(~response["sha"].eqNullSafe(url_revision), "other revision")
+            .when(response["id"].isNotNull() & (response["id"] != "") & (response["id"] != url_repo), "other repository")
+        )
+        return F.struct(F.when(reason.isNull(), shard_names(response)).alias("shards"), reason.alias("reason"))
+
+    # a lambda's argument is evaluated once: the body is parsed once, not for every use of the response
+    return F.get(F.transform(F.array(F.from_json(body, REVISION_RESPONSE)), read), F.lit(0))
