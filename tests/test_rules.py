@@ -247,3 +247,17 @@ def test_dates_of_the_ledger_and_of_the_cell_block(spark):
         if cell["has_bound"]:
             cell["check_fields"] = {"as_of": "soon"}
     assert found(build(spark, mixed)) == []
+
+
+def test_every_use_beside_every_owner(spark, monkeypatch):
+    monkeypatch.setattr(validation, "DEAL", 1)
+    r = rows()
+    r["sources"] += [("t", "host:other.org"), ("u", "host:other.org"), ("u", "host:other.org")]
+    for i in range(3):
+        r["evidence"][i]["url"] = "https://other.org/a1"
+    r["evidence"][3]["url"] = "https://nobody.org/a1"
+    r["evidence"][4]["url"] = None
+    found = validation.foreign_uses(build(spark, r)).collect()
+    axes = [e["axis"] for e in r["evidence"][:5]]
+    want = [(a, f"host:other.org of {o}") for a in axes[:3] for o in "tu"] + [(axes[3], "host:nobody.org"), (axes[4], None)]
+    assert sorted(((x.axis, x.detail) for x in found), key=str) == sorted(want, key=str)
