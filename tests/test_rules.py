@@ -5,7 +5,9 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
+from veriledger import session
 from veriledger.operators import ownership, validation
+from veriledger.plans import q_validation
 from veriledger.sources import registry
 
 URL = "https://example.org/a{}"
@@ -261,3 +263,34 @@ def test_every_use_beside_every_owner(spark, monkeypatch):
     axes = [e["axis"] for e in r["evidence"][:5]]
     want = [(a, f"host:other.org of {o}") for a in axes[:3] for o in "tu"] + [(axes[3], "host:nobody.org"), (axes[4], None)]
     assert sorted(((x.axis, x.detail) for x in found), key=str) == sorted(want, key=str)
+
+
+def test_a_kept_ledger_reads_the_given_rows_once(spark, tmp_path):
+    def given(name, schema, found):
+        spark.createDataFrame(found, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    given("supplier", "s_suppkey long", [(i,) for i in range(1, 12)])
+    given("lineitem", "l_suppkey long, l_partkey long, l_returnflag string", [(1 + i % 11, i * 7 % 97, "RNA"[i % 3]) for i in range(900)])
+    given("pages", "page_id long, url string, html string", [(i, f"https://h{i % 5}.example/{i}", f"page {i % 40}") for i in range(50)])
+    plain, kept = (q_validation.ledger(spark, str(tmp_path), keep) for keep in (False, True))
+    for name in plain.VIEWS:
+        rows_of = [sorted(map(repr, getattr(led, name).collect())) for led in (plain, kept)]
+        assert rows_of[0] == rows_of[1] != [], name
+        assert all("/staged-" in f for f in getattr(kept, name).inputFiles()), name
+    floor = [spark.range(1).select(led.bounded_zero_floor.alias("n")).first().n for led in (plain, kept)]
+    assert floor[0] == floor[1] > 1
+
+
+def test_a_checkpoint_is_computed_when_it_is_made(monkeypatch):
+    class Rows:
+        def __init__(self, folder):
+            self.sparkSession = self.sparkContext = self
+            self.getCheckpointDir = lambda: folder
+
+        def checkpoint(self, eager=False):
+            return f"eager {eager}"
+
+        def persist(self):
+            return "persisted"
+
+    assert [session.cut_lineage(Rows(f)) for f in ("/shared", None)] == ["eager True", "persisted"]
