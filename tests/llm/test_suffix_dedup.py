@@ -77,3 +77,48 @@ def test_intervals_give_all_short_prefixes():
     raw = data.tobytes()
     want = [True] + [raw[a:a + 50] != raw[b:b + 50] for a, b in zip(order[:-1], order[1:])]
     assert got.tolist() == want
+
+
+def test_runs_alone_with_their_value_meet_no_sort(spark, docs_of, monkeypatch):
+    """Copies are settled where equal runs meet: the transform gets only values with several distinct runs."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    copies = [(i, t) for i, t in enumerate([text(400) for _ in range(6)] * 2)]
+    passage = text(45)  # shared seeds, but no equal windows
+    near = [(20 + i, text(60) + passage + text(60)) for i in range(3)]
+    docs = docs_of([*copies, *near])
+    packed = "shard int, kind int, n int, data binary"
+    flat = docs.select("doc_id", "text")
+    marks = flat.coalesce(1).mapInArrow(S._runs_of_batch(1, 50), packed).groupBy("shard").applyInArrow(S._repeated(1), packed)
+    homes = docs.selectExpr("0 shard", "cast(doc_id as long) doc_id", "text", "xxhash64(text) th")
+    pieces = homes.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(S._texts_of_runs(1, 1, 50), packed).toArrow()
+    met = []
+    real = S.sorted_suffixes
+    monkeypatch.setattr(S, "sorted_suffixes", lambda data, depth: met.append(data.tobytes()) or real(data, depth))
+    S._removed(1, 50)(pieces.combine_chunks())
+    assert len(met) == 1
+    assert not any(t[i:i + 50].encode() in met[0] for _, t in copies for i in range(351))
+    assert max(met[0].count(passage[j:j + S.SEED].encode()) for j in range(26)) > 1
+    assert digests(docs) == brute([*copies, *near])
+
+
+@pytest.mark.parametrize("dense", [0, S.DENSE, 10 ** 9])
+@pytest.mark.parametrize("alphabet", [b"\0a", b"ab", b"\0abc", b"a"])
+def test_repeats_hold_for_any_bytes(monkeypatch, dense, alphabet):
+    """NUL bytes of the texts are no ends of texts, whichever way the intervals are extended."""
+    monkeypatch.setattr(S, "DENSE", dense)
+    for seed in range(40):
+        rng = random.Random(seed)
+        base = bytes(rng.choice(alphabet) for _ in range(300))
+        texts = []
+        for _ in range(rng.randrange(1, 10)):
+            a = rng.randrange(200)
+            texts.append(base[a:a + rng.randrange(12, 70)] if rng.random() < 0.6 else bytes(rng.choice(alphabet) for _ in range(rng.randrange(12, 70))))
+        texts = list(dict.fromkeys(texts))
+        docs = [rng.randrange(5) for _ in texts]
+        first = {}
+        windows = [(k, i, t[i:i + 12]) for k, t in enumerate(texts) for i in range(len(t) - 11)]
+        for k, _, w in windows:
+            first[w] = min(first.get(w, 5), docs[k])
+        want = {(k, i + j) for k, i, w in windows if first[w] < docs[k] for j in range(12)}
+        assert {(k, p) for k, a, b in S.repeats(texts, np.array(docs), 12) for p in range(a, b)} == want

@@ -16,6 +16,7 @@ sorted shard by shard:
 4. ``_removed`` concatenates the distinct runs of a shard, builds their Burrows-Wheeler transform, and
    derives common prefixes by increasing value with breadth-first backward extension
    (``short_prefixes``), stopping at ``length``: what is left between two shorter prefixes are equal windows.
+   A run whose value no other distinct run has is left out: equal windows lie in runs of one value.
 5. ``_cut_texts`` unites the removed ranges of every document.
 
 Edge cases: null text is empty; texts shorter than ``length`` bytes lose nothing.  A repeat within one
@@ -41,7 +42,8 @@ SEED = 20
 SHARD_BYTES = 12 << 20
 PIECE_BYTES = 2 << 20
 HOT = 20_000
-CHUNK = 1 << 20
+CHUNK = 1 << 16  # arrays of so many numbers stay in a core's cache
+DENSE = 5  # all intervals are extended at once while those of interest hold more than a fifth of the suffixes
 NO_DOC = np.iinfo(np.int64).min
 
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -176,6 +178,13 @@ def _home_column(shards: int):
     return F.pmod(i.bitwiseXOR(F.shiftright(i, 7)).bitwiseXOR(F.shiftright(i, 17)), F.lit(shards)).cast("int")
 
 
+def _named(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of one document shard and hashes that tell rows of one id apart; where an id has one row the hash is 0, which packs to nothing."""
+    ids, th = _doc_ids(docs.column("doc_id").combine_chunks()), docs.column("th").to_numpy()
+    _, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+    return ids, np.where(count[place] > 1, th, 0)
+
+
 def _runs_of_batch(shards: int, length: int):
     """Rows ``(shard, sure, n, data)``: packed run entries; ``sure`` ones are known to repeat."""
 
@@ -187,11 +196,11 @@ def _runs_of_batch(shards: int, length: int):
                 continue
             row = ids[doc]
             value &= ~np.uint64(0xFFFF)
-            order = np.lexsort((row, value))
+            order = np.argsort(value)
             value, row, start, size = (x[order] for x in (value, row, start, size))
             heads = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             counts = np.diff(np.append(heads, len(value)))
-            several = np.repeat(row[heads] != row[heads + counts - 1], counts)
+            several = np.repeat(np.minimum.reduceat(row, heads) != np.maximum.reduceat(row, heads), counts)
             # entries known to repeat go on as they are; one of each tells the value's shard (start -1, their number as size)
             entry = ~several
             entry[heads] = True
@@ -250,7 +259,7 @@ def _texts_of_runs(shards: int, cells: int, length: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows or not found.num_rows:
             return pa.Table.from_batches([_batch_of([])])
-        ids, th = _doc_ids(docs.column("doc_id").combine_chunks()), docs.column("th").to_numpy()
+        ids, th = _named(docs)
         data, offsets = _bytes_of(docs.column("text").combine_chunks())
         raw = data.tobytes()
         packed = list(zip(*(found.column(c).to_pylist() for c in ("kind", "n", "data")), strict=True))
@@ -285,7 +294,8 @@ def _texts_of_runs(shards: int, cells: int, length: int):
         v, d, s = (np.array([p[j] for p in kept], k) for j, k in ((0, np.uint64), (1, np.int64), (2, np.int32)))
         z = np.array([len(p[3]) for p in kept], np.int32)
         press = zstandard.ZstdCompressor(level=3)
-        rows = [(at, 0, len(k), b"".join((_planes(ids[d[k]]), _planes(th[d[k]]), _planes(s[k]), _planes(z[k]),
+        mark = (v >> np.uint64(32)).astype(np.uint32)
+        rows = [(at, 0, len(k), b"".join((_planes(mark[k]), _planes(ids[d[k]]), _planes(th[d[k]]), _planes(s[k]), _planes(z[k]),
                                           press.compress(b"".join([kept[i][3] for i in k.tolist()])))))
                 for at, k in _dealt(((v >> np.uint64(20)) % np.uint64(cells)).astype(np.int64), cells)]
         ranges = np.array(gone, np.int64).reshape(-1, 3)
@@ -323,25 +333,55 @@ def _quads(ns, blobs) -> list[np.ndarray]:
     return [np.concatenate(c) for c in columns]
 
 
+def _order_of(key: np.ndarray, bits: int) -> np.ndarray:
+    """Indices that sort keys of ``bits`` bits; key and index are sorted as one word where both fit, which is faster."""
+    low = len(key).bit_length()
+    if bits + low > 64:
+        return np.argsort(key)
+    both = key << np.uint64(low)
+    both |= np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    both &= np.uint64((1 << low) - 1)
+    return both.astype(np.int64)
+
+
 def sorted_suffixes(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order of ``data`` by the first ``depth`` (or more) symbols, by prefix doubling; past the end counts as smallest."""
+    """Suffix order of ``data`` by the first ``depth`` (or more) symbols, by prefix doubling; the start follows the end.
+
+    Only suffixes that still tie with another one are sorted again.
+    """
     n = len(data)
-    wide = np.zeros(n + 8, np.uint64)
-    wide[:n] = data
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key |= wide[j:j + n] << np.uint64(8 * (7 - j))
-    have = 8
-    while True:
-        order = np.argsort(key)
-        if have >= depth:
-            return order
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]))
-        key = rank << 32
-        key[:max(0, n - have)] |= rank[have:]
+    met = np.bincount(data, minlength=256) > 0
+    bits = max(1, int(met.sum() - 1).bit_length())
+    have = min(8, max(1, (64 - n.bit_length()) // bits))
+    ring = (np.cumsum(met) - 1).astype(np.uint64)[np.append(data, np.resize(data, have))]
+    key = ring[:n].copy()
+    for j in range(1, have):
+        key <<= np.uint64(bits)
+        key |= ring[j:j + n]
+    order = _order_of(key, have * bits)
+    key = key[order]
+    head = np.append(True, key[1:] != key[:-1])
+    # the rank of a suffix is the place where those that tie with it begin
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    wide = n.bit_length()
+    while have < depth:
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+        if not len(tied):
+            break
+        at = order[tied]
+        after = at + have
+        after[after >= n] %= n
+        key = rank[at] << np.uint64(wide)
+        key |= rank[after]
+        by_key = _order_of(key, 2 * wide)
+        at, key = at[by_key], key[by_key]
+        fresh = np.append(True, key[1:] != key[:-1])
+        order[tied], head[tied] = at, fresh
+        rank[at] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
         have *= 2
+    return order
 
 
 def short_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -351,20 +391,36 @@ def short_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarra
     extended by every symbol c that precedes one of them.  The end of the interval of cw is a
     border of common prefix |w|, unless a shorter one was found there before; only intervals
     that set a border are extended again.  Values appear in increasing order and the search stops at ``depth``.
+    While the intervals that set a border hold many suffixes, all intervals are extended at once.
     """
     n = len(data)
     bwt = data[order - 1]
     by_symbol = np.argsort(bwt, kind="stable")
+    turn = np.append(True, np.diff(bwt[by_symbol]) != 0)
+    border = np.zeros(n + 1, bool)
+    border[0] = border[n] = True
+    left, right = np.array([0], np.int32), np.array([n], np.int32)
+    level = 0
+    while level < depth and DENSE * int((right - left).sum()) > n:
+        # neighbours that follow one symbol part where the suffixes after it lie in different intervals
+        of = np.cumsum(border[:n], dtype=np.int32)[by_symbol]
+        fresh = turn.copy()
+        fresh[1:] |= of[1:] != of[:-1]
+        fresh &= ~border[:n]
+        border[:n] |= fresh
+        at = np.flatnonzero(border).astype(np.int32)
+        pick = np.append(fresh, False)[at[1:]]
+        left, right = at[:-1][pick], at[1:][pick]
+        level += 1
+    if level == depth or not len(left):
+        return border[:n]
     forward = np.empty(n, np.int32)
     forward[by_symbol] = np.arange(n, dtype=np.int32)
     nxt, prv = np.full(n, n, np.int32), np.full(n, -1, np.int32)
-    same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
+    same = ~turn[1:]
     nxt[by_symbol[:-1][same]] = by_symbol[1:][same]
     prv[by_symbol[1:][same]] = by_symbol[:-1][same]
-    border = np.zeros(n + 1, bool)
-    border[0] = border[n] = True
-    left, right = np.array([0], np.int32), np.array([n], np.int32)
-    for _ in range(depth):
+    for _ in range(level, depth):
         if not len(left):
             break
         total = np.cumsum(right - left, dtype=np.int64)
@@ -422,18 +478,21 @@ def _removed(shards: int, length: int):
         kind, n, data = (table.column(c).to_pylist() for c in ("kind", "n", "data"))
         # equal runs of several batches: the smallest document stands for them, the others go whole
         first: dict[bytes, tuple[int, ...]] = {}  # document, then hash and start of each place
+        marks: list[int] = []  # of the texts in ``first``: 32 bits of the value
         out: list[tuple[int, int, int, int]] = []
         press = zstandard.ZstdDecompressor()
         for k, m, packed in zip(kind, n, data, strict=True):
             if k == 1:
                 continue
-            at, whole = 0, press.decompress(packed[24 * m:])
-            for d, t, s, z in zip(*(x.tolist() for x in _quads([m], [packed])), strict=True):
+            at, whole = 0, press.decompress(packed[28 * m:])
+            mark, _ = _from_planes(packed, 0, np.uint32, m)
+            for v, d, t, s, z in zip(*(x.tolist() for x in (mark, *_quads([m], [packed[4 * m:]]))), strict=True):
                 text = whole[at:at + z]
                 at += z
                 old = first.get(text)
                 if old is None:
                     first[text] = (d, t, s)
+                    marks.append(v)
                 elif old[0] > d:
                     first[text] = (d, t, s)
                     out.extend((old[0], *old[j:j + 2], old[j + 1] + z) for j in range(1, len(old), 2))
@@ -441,8 +500,10 @@ def _removed(shards: int, length: int):
                     out.append((d, t, s, s + z))
                 else:  # the same document holds it twice: both stand
                     first[text] = (*old, t, s)
-        if first:
-            texts = list(first)
+        # equal windows lie in runs of one value: a run that is alone with its value shares nothing with the others
+        _, place, count = np.unique(np.array(marks, np.uint32), return_inverse=True, return_counts=True)
+        texts = [text for text, several in zip(first, (count[place] > 1).tolist(), strict=True) if several]
+        if texts:
             for k, a, b in repeats(texts, np.array([first[t][0] for t in texts], np.int64), length):
                 places = first[texts[k]]
                 out.extend((places[0], places[j], places[j + 1] + a, places[j + 1] + b) for j in range(1, len(places), 2))
@@ -468,7 +529,7 @@ def _united(start: np.ndarray, end: np.ndarray, size: int) -> list[tuple[int, in
 
 def _cut_texts(docs: pa.Table, found: pa.Table) -> pa.Table:
     """The result rows of one shard of documents."""
-    ids, th = _doc_ids(docs.column("doc_id").combine_chunks()), docs.column("th").to_numpy()
+    ids, th = _named(docs)
     data, offsets = _bytes_of(docs.column("text").combine_chunks())
     raw = data.tobytes()
     where: dict[tuple[int, int], list[tuple[int, int]]] = {}
