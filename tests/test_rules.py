@@ -1,6 +1,7 @@
 """Every rule: a baseline that must pass, then one corruption that it must catch."""
 
 import dataclasses
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +295,36 @@ def test_a_checkpoint_is_computed_when_it_is_made(monkeypatch):
             return "persisted"
 
     assert [session.cut_lineage(Rows(f)) for f in ("/shared", None)] == ["eager True", "persisted"]
+
+
+def test_uses_and_owners_dealt_into_tiles_keep_nulls(spark, monkeypatch):
+    monkeypatch.setattr(validation, "DEAL", 2)
+    monkeypatch.setattr(validation, "BLOCK", 2)
+    r = rows()
+    owners = [None, "t", "u", "v", "w"]
+    r["sources"] += [(o, "host:other.org") for o in owners + owners] + [("t", None), ("u", "host:unused.org"), ("t", "host:third.org")]
+    urls = ["https://other.org/a1"] * 5 + ["https://third.org/a1", "https://nobody.org/a1", None]
+    for e, url in zip(r["evidence"], urls):
+        e["url"] = url
+    r["evidence"].append({**r["evidence"][0], "pos": 1})
+    found = [(x.rule, x.subject, x.axis, x.detail) for x in validation.foreign_uses(build(spark, r)).collect()]
+    want = [(axis, "host:other.org" + (f" of {o}" if o else "")) for axis in range(1, 6) for o in owners]
+    want += [(6, "host:third.org of t"), (7, "host:nobody.org"), (8, None)]
+    assert sorted(found, key=str) == sorted((("V32", "s", axis, detail) for axis, detail in want), key=str)
+    r["evidence"] = r["evidence"][5:8]
+    r["sources"] = [("s", SOURCE)]
+    assert sorted(x.detail or "" for x in validation.foreign_uses(build(spark, r)).collect()) == ["", "host:nobody.org", "host:third.org"]
+
+
+def test_uses_beside_owners_are_small_on_disk_and_spread_over_tasks(spark, tmp_path):
+    n_uses, n_owners = 200, 4096
+    r = rows()
+    cell, cite = r["cells"][0], r["evidence"][0]
+    r["cells"] = [{**cell, "cell_no": i, "subject": f"user{i}"} for i in range(n_uses)]
+    r["evidence"] = [{**cite, "cell_no": i, "subject": f"user{i}", "url": "https://other.org/a1"} for i in range(n_uses)]
+    r["sources"] = [(f"user{i}", SOURCE) for i in range(n_uses)] + [(hashlib.sha256(str(i).encode()).hexdigest(), "host:other.org") for i in range(n_owners)]
+    validation.foreign_uses(build(spark, r)).write.parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert (found.count(), found.distinct().count()) == (n_uses * n_owners,) * 2
+    sizes = [f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")]
+    assert len(sizes) > 2 and sum(sizes) < n_uses * n_owners  # less than a byte a row, where a whole list of owners for each use takes several
